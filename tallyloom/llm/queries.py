@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import urlrange
+from tallyloom.llm import toxicity, urlrange
 
 
 def queries() -> dict:
-    return {"op6_url_filter": urlrange.op6_url_filter}
+    return {"op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
