@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import toxicity, urlrange
+from tallyloom.llm import quality, toxicity, urlrange
 
 
 def queries() -> dict:
-    return {"op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
+    return {"op1_quality": quality.op1_quality, "op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
