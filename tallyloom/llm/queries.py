@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import quality, toxicity, urlrange
+from tallyloom.llm import mixing, quality, toxicity, urlrange
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
+    return {"op8_mixing": mixing.op8_mixing, "mixing_quotas": mixing.mixing_quotas, "op1_quality": quality.op1_quality, "op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlrange.OP6_SQL}
+    return {"op6_url_filter": urlrange.OP6_SQL, "mixing_quotas": mixing.QUOTAS_SQL}
