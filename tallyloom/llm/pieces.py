@@ -1,0 +1,49 @@
+"""Cutting a text into pieces that a byte-level tokenizer treats independently, and remembering them.
+
+A space after a character that is not white space always starts a new word of the usual byte-level
+pre-tokenizers (no pattern takes in a space except as its first character), so the text may be cut
+there; each piece is then tokenized on its own and its ids are remembered. Distinct pieces are few.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+_DOUBLE = re.compile(r"\s ")
+#: Pieces that each of the two generations of a memory holds.
+REMEMBERED = 300_000
+#: A longer piece is not remembered.
+LONGEST = 64
+
+
+def cut(text: str) -> list[str]:
+    first, *rest = text.split(" ")
+    if not _DOUBLE.search(text):
+        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+    out = [first]
+    for x in rest:
+        if not out[-1] or out[-1][-1].isspace():
+            out[-1] += " " + x
+        else:
+            out.append(" " + x)
+    return [x for x in out if x]
+
+
+class Memory(dict):
+    """piece -> result, computed when missing. Two generations bound it: when the young one is full it
+    becomes the old one, and pieces still in use move over as they are met."""
+
+    def __init__(self, compute: Callable[[str], bytes], most: int = REMEMBERED) -> None:
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, piece):
+        got = self.old.get(piece)
+        if got is None:
+            got = self.compute(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
