@@ -179,6 +179,9 @@ class Encoder:
             return b"".join(_packed([known[x]]) if x in known else self._plain(x) for x in self.special.split(text))
         return self._plain(text)
 
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        return pieces.encode_all(column, self.pieces, self.encode, tuple(self.automaton.special))
+
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces.cut(text)))
 
@@ -210,7 +213,7 @@ class Tokenizer:
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             e = _encoder(sent)
-            return pa.RecordBatch.from_arrays([b["id"], pa.array([e.encode(t or "") for t in b["t"].to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([b["id"], pa.array(e.encode_all(b["t"]), pa.binary())], names=["doc_id", "ids"])
 
         return common.mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "doc_id long, ids binary")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, gif, mixing, quality, toxicity, urlrange
+from tallyloom.llm import bpe, gif, mixing, quality, rans, toxicity, urlrange
 
 
 def queries() -> dict:
-    return {"op8_mixing": mixing.op8_mixing, "mixing_quotas": mixing.mixing_quotas, "op1_quality": quality.op1_quality, "op10_bpe": bpe.op10_bpe, "op2_gif": gif.op2_gif, "op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
+    return {"op8_mixing": mixing.op8_mixing, "mixing_quotas": mixing.mixing_quotas, "op1_quality": quality.op1_quality, "op9_rans": rans.op9_rans, "op10_bpe": bpe.op10_bpe, "op2_gif": gif.op2_gif, "op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
