@@ -173,7 +173,7 @@ class Library:
         self.t = Tokenizer.from_str(content)
         self.split, self.model = self.t.pre_tokenizer.pre_tokenize_str, self.t.model.tokenize
         self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
-        self.words = pieces.Memory(self._word)
+        self.words = pieces.Memory(self._word, pieces.REMEMBERED // 2)
         self.pieces = pieces.Memory(lambda p: b"".join([self.words[w] for w, _ in self.split(p)]))
 
     def _word(self, w: str) -> bytes:
