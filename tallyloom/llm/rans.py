@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, pieces
-from .bpe import Sent, default_path
+from .bpe import Sent, byte_letters, default_path
 
 PRECISION = 20
 LOW = np.uint64(1 << 31)
@@ -163,9 +163,17 @@ def read_segment(raw: bytes, table: Table, blocks: range | None = None) -> tuple
 # ---- tokens by the library
 
 
+_LETTERS = {b: c for c, b in byte_letters().items()}
+
+
+def _letters(word: str) -> str:
+    """A word as byte-level vocabularies spell it, one letter for each byte."""
+    return word.encode("utf-8", "replace").decode("latin-1").translate(_LETTERS)
+
+
 class Library:
-    """The tokenizers library, remembering pieces. A piece goes through the library's pre-tokenizer, and
-    each word that this gives through its model, once; texts with special tokens go through encode."""
+    """The tokenizers library, remembering pieces. A piece is split as by the library's pre-tokenizer, and
+    each word that this gives goes through its model, once; texts with special tokens go through encode."""
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer
@@ -174,7 +182,16 @@ class Library:
         self.split, self.model = self.t.pre_tokenizer.pre_tokenize_str, self.t.model.tokenize
         self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
         self.words = pieces.Memory(self._word, pieces.REMEMBERED // 2)
-        self.pieces = pieces.Memory(lambda p: b"".join([self.words[w] for w, _ in self.split(p)]))
+        self.pieces = pieces.Memory(self._piece)
+
+    def _piece(self, p: str) -> bytes:
+        """A word of letters with a space before and points after it, the usual piece, is two words of
+        the pre-tokenizer; others are given to it."""
+        stem = p.rstrip(".,")
+        if (stem[1:] if stem[:1] == " " else stem).isalpha():
+            tail = p[len(stem) :]
+            return self.words[_letters(stem)] + (self.words[tail] if tail else b"")
+        return b"".join([self.words[w] for w, _ in self.split(p)])
 
     def _word(self, w: str) -> bytes:
         ids = [t.id for t in self.model(w)]
