@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, gif, mixing, ngramratio, quality, rans, simhash, toxicity, urlrange
+from tallyloom.llm import bpe, gif, langid, mixing, ngramratio, quality, rans, simhash, toxicity, urlrange
 
 
 def queries() -> dict:
-    return {"op8_mixing": mixing.op8_mixing, "mixing_quotas": mixing.mixing_quotas, "op1_quality": quality.op1_quality, "op4_llr": ngramratio.op4_llr, "op7_simhash": simhash.op7_simhash, "op9_rans": rans.op9_rans, "op10_bpe": bpe.op10_bpe, "op2_gif": gif.op2_gif, "op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
+    return {"op8_mixing": mixing.op8_mixing, "mixing_quotas": mixing.mixing_quotas, "op1_quality": quality.op1_quality, "op5_langid": langid.op5_langid, "op4_llr": ngramratio.op4_llr, "op7_simhash": simhash.op7_simhash, "op9_rans": rans.op9_rans, "op10_bpe": bpe.op10_bpe, "op2_gif": gif.op2_gif, "op3_toxicity": toxicity.op3_toxicity, "op6_url_filter": urlrange.op6_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
