@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.plans import series_queries
+from tallyloom.plans.adapter import Views
+
+_MODULES = (series_queries,)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return series_queries.ranking(Views(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    def bound(f):
+        return lambda spark, sf_dir: f(Views(spark, sf_dir))
+
+    return {name: bound(f) for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in _MODULES for name, text in m.SQL.items()}
