@@ -1,7 +1,8 @@
 """Domain views over the given tables, in SQL that Spark and DuckDB both run.
 
 Each text names its inputs in braces; ``Views.sql`` binds them as DataFrames, ``duck`` spells them out as
-common table expressions. ``EPOCHMS(x)`` stands for milliseconds since 1970 in either engine.
+common table expressions. ``EPOCHMS(x)`` stands for milliseconds since 1970 and ``ISOYEAR(x)`` for the
+year of a date's ISO week, in either engine.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ class Views:
         return self.sql(VIEWS[name])
 
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
-        text = re.sub(r"EPOCHMS\(([^()]*)\)", r"unix_millis(CAST(\1 AS TIMESTAMP))", text)
+        text = re.sub(r"EPOCHMS\(([^()]*)\)", r"(unix_micros(CAST(\1 AS TIMESTAMP)) DIV 1000)", text)
+        text = re.sub(r"ISOYEAR\(([^()]*)\)", r"extract(yearofweek FROM \1)", text)
         return self.spark.sql(text, **{n: more[n] if n in more else self[n] for n in _inputs(text)})
 
 
@@ -83,7 +85,7 @@ def duck(text: str) -> str:
                 need.append(n)
 
     visit(text)
-    text = re.sub(r"EPOCHMS\(([^()]*)\)", r"epoch_ms(\1)", text)
+    text = re.sub(r"EPOCHMS\(([^()]*)\)", r"(epoch_us(\1) // 1000)", text)
     spell = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
     views = ", ".join(f"{n} AS ({spell(VIEWS[n])})" for n in need)
     body = spell(text).strip()

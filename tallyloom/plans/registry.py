@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import series_queries
+from tallyloom.plans import relational, series_queries
 from tallyloom.plans.adapter import Views
 
-_MODULES = (series_queries,)
+_MODULES = (series_queries, relational)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
