@@ -86,6 +86,11 @@ def _permuted(doc_id: Column) -> Column:
     return F.md5(doc_id.cast("string").cast("binary"))
 
 
+def _owner(number: Column, shards: int) -> Column:
+    """The shard whose run holds a source's draw of this number."""
+    return F.least(F.size(F.filter("_ends", lambda end: end <= number)), F.lit(shards - 1)).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, shards: int = SHARDS, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = MAX_SOURCES) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and ``draws``: an array of
     (pass, words, shard) of each pass that takes words of it."""
@@ -126,8 +131,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
             words = F.when(2 * words >= F.col("size"), F.col("size")).otherwise(F.lit(0)).cast("long")
         # the block's number among the source's draws, and the shard whose run holds it
         number = F.col("_nth") + sum((F.col("_used")[q] for q in range(p)), F.lit(0))
-        shard = F.least(F.size(F.filter("_ends", lambda e, number=number: e <= number)), F.lit(shards - 1))
-        draws.append(F.struct(F.lit(p).alias("pass"), words.alias("words"), shard.cast("int").alias("shard")))
+        draws.append(F.struct(F.lit(p).alias("pass"), words.alias("words"), _owner(number, shards).alias("shard")))
     rows = rows.withColumn("draws", F.filter(F.array(*draws), lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
@@ -138,9 +142,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
     and in hashed order within each; the columns of docs."""
     draws = mix(docs, whole_documents=True, id_col=id_col, **how).where(F.size("draws") > 0).select("doc_id", F.explode("draws").alias("_d"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = draws.select(F.col("doc_id").alias("_id"), "_d", F.col("_d.pass").alias("_pass")).dropDuplicates(["_id", "_pass"])
-    out = docs.join(draws, docs[id_col].eqNullSafe(F.col("_id")))
-    return out.repartition(n, F.col("_d.shard")).sortWithinPartitions("_d.shard", F.xxhash64("_id", "_pass"), "_id").select(*(docs[c] for c in docs.columns))
+    draws = draws.select(F.col("doc_id").alias("id"), F.col("_d.pass").alias("pass"), F.col("_d.shard").alias("shard")).dropDuplicates(["id", "pass"])
+    whole = docs.select(F.struct(*docs.columns).alias("row"))  # whatever else docs has can't clash
+    out = whole.join(draws, F.col("row")[id_col].eqNullSafe(F.col("id")))
+    return out.repartition(n, "shard").sortWithinPartitions("shard", F.xxhash64("id", "pass"), "id").select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
