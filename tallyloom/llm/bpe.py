@@ -170,8 +170,8 @@ class Encoder:
         self.automaton = automaton
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, automaton.special)) + ")") if automaton.special else None
-        self.words = pieces.Memory(lambda w: _packed(automaton.word(w.encode("utf-8", "replace"))), pieces.REMEMBERED // 2)
-        self.pieces = pieces.Memory(lambda p: b"".join(map(self.words.__getitem__, self.pattern.findall(p))))
+        self.words = pieces.Memory(lambda w: _packed(automaton.word(w.encode("utf-8", "replace"))), pieces.REMEMBERED // 8)
+        self.pieces = pieces.Memory(lambda p: b"".join(map(self.words.__getitem__, self.pattern.findall(p))), pieces.REMEMBERED // 3)
 
     def encode(self, text: str) -> bytes:
         if self.special and any(x in text for x in self.automaton.special):

@@ -70,6 +70,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+
+
 def _language(declared: Column) -> Column:
     """en-GB, EN_us -> en."""
     return F.lower(F.regexp_extract(F.trim(declared), r"^([A-Za-z]{2,3})(?:$|[-_])", 1))
@@ -116,7 +120,7 @@ def score(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(b[c] for c in others), pa.array(n, pa.int64()), pa.array(ll, pa.list_(pa.float64()))], names=[*others, "n_words", "text_ll"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return common.mapped(rows, run, f"{schema}, n_words long, text_ll array<double>")
+    return common.mapped(rows, run, f"{schema}, n_words long, text_ll array<double>", _forget)
 
 
 def _best(values: Column) -> Column:
@@ -153,9 +157,11 @@ def priors(scored: DataFrame, n: int) -> tuple[DataFrame, Column]:
 
 def identify(rows: DataFrame, max_rows: int = MAX_ROWS, min_posterior: float = MIN_POSTERIOR, wanted: list[str] | None = None) -> DataFrame:
     """rows: text, declared, host and any others. Returns the others, declared, host, lang, posterior,
-    text_lang (by the text alone), kept (sure enough, and of a wanted language if some are given)."""
+    text_lang (by the text alone), kept (sure enough, and of a wanted language if some are given). Other
+    columns named like a result are dropped."""
     spark = rows.sparkSession
     common.small_batches(spark)
+    rows = rows.drop("n_words", "text_ll", "prior", "lang", "posterior", "text_lang", "kept", "_f", "_p")
     names, table = fit(rows, max_rows)
     scored = common.stored(score(rows, names, table), "langid")
     n, others = len(names), [c for c in rows.columns if c != "text"]

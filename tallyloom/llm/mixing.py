@@ -145,7 +145,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
     draws = draws.select(F.col("doc_id").alias("id"), F.col("_d.pass").alias("pass"), F.col("_d.shard").alias("shard")).dropDuplicates(["id", "pass"])
     whole = docs.select(F.struct(*docs.columns).alias("row"))  # whatever else docs has can't clash
     out = whole.join(draws, F.col("row")[id_col].eqNullSafe(F.col("id")))
-    return out.repartition(n, "shard").sortWithinPartitions("shard", F.xxhash64("id", "pass"), "id").select("row.*")
+    # a shard lies in a few pieces, so that few shards still spread evenly over many tasks
+    return out.repartition(n, "shard", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("shard", F.xxhash64("id", "pass"), "id").select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,10 @@ class _Shapes(dict):
 _SHAPES = _Shapes()
 
 
+def _forget() -> None:
+    _SHAPES.clear()
+
+
 def statistics(text: bytes, words: list[bytes], ids: np.ndarray) -> np.ndarray:
     """STATS numbers from 0 to 1."""
     n, size = len(words), len(text)
@@ -212,6 +216,7 @@ def scorer(spark: SparkSession, w: np.ndarray):
                 at, v = features((t or "").encode("utf-8", "replace"))
                 out.append(float(w[at] @ v) if len(w) else 0.0)
             yield pd.Series(_sigmoid(np.array(out, float)))
+        _forget()
 
     return score
 

@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from . import common, pieces
 from .bpe import Sent, byte_letters, default_path
 
-PRECISION = 20
+PRECISION = 18
 LOW = np.uint64(1 << 31)
-LANES = 1024
+LANES = 4096
 #: Ids of a block, and of a segment (a longer document makes a longer segment).
-BLOCK_IDS, SEGMENT_IDS = 1 << 18, 1 << 22
+BLOCK_IDS, SEGMENT_IDS = 1 << 20, 1 << 22
 MAGIC = b"RANSEG1\0"
 HEADER = struct.Struct("<IIQII")
 BLOCK = struct.Struct("<QQIII")
@@ -90,15 +90,15 @@ def code_block(ids: np.ndarray, table: Table) -> tuple[int, bytes]:
     lanes, k = lanes_for(len(ids)), np.uint64(PRECISION)
     room, word = np.uint64(63 - PRECISION), np.uint64(32)
     x = np.full(lanes, LOW, np.uint64)
-    words = []
+    words, every_f, every_c = [], table.f[ids], table.c[ids]
     for start in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
-        s = ids[start : start + lanes]
-        f, c, now = table.f[s], table.c[s], x[: len(s)]
+        f, c = every_f[start : start + lanes], every_c[start : start + lanes]
+        now = x[: len(f)]
         full = now >= f << room
         words.append(now[full].astype(np.uint32))
         now = np.where(full, now >> word, now)
         high = now // f
-        x[: len(s)] = (high << k) + (now - high * f) + c
+        x[: len(f)] = (high << k) + (now - high * f) + c
     return lanes, x.astype("<u8").tobytes() + np.concatenate(words[::-1]).astype("<u4").tobytes()
 
 
@@ -181,7 +181,7 @@ class Library:
         self.t = Tokenizer.from_str(content)
         self.split, self.model = self.t.pre_tokenizer.pre_tokenize_str, self.t.model.tokenize
         self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
-        self.words = pieces.Memory(self._word, pieces.REMEMBERED // 2)
+        self.words = pieces.Memory(self._word, pieces.REMEMBERED // 4)
         self.pieces = pieces.Memory(self._piece)
 
     def _piece(self, p: str) -> bytes:

@@ -195,9 +195,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of docs that are their component's first; one row for each. Columns of docs."""
+    """The documents of docs that are their component's first; one row for each. Columns of docs. Rows
+    without an id can't be a component's first and go."""
     ids = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return docs.join(ids, docs[id_col] == ids["_kept"], "left_semi").dropDuplicates([id_col])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,10 @@ _VOCABULARY = Vocabulary()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _forget() -> None:
+    _VOCABULARY.clear()
+
+
 def occurrences(text: bytes, bits: int = BITS) -> np.ndarray:
     """A text's coordinates, one for each occurrence. bytes.lower() lowers A-Z only."""
     words = common.words_of(text)
@@ -117,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None = N
         picked,
         lambda b: pa.RecordBatch.from_arrays([b["_h"], b["y"], pa.array([features(t, bits) for t in common.texts(b["text"])], pa.list_(pa.int32()))], names=["_h", "y", "at"]),
         "_h long, y double, at array<int>",
+        _forget,
     )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +171,7 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], bits: int
                 raw.append(base + dense[np.unique(at[dense[at] != 0])].sum())
             out = 1.0 / (1.0 + np.exp(-np.clip(np.array(raw, float), -35, 35)))
             yield pd.Series(out if len(known) else out * 0.0)
+        _forget()
 
     return score
 
