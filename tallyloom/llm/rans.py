@@ -118,6 +118,8 @@ def decode_block(raw: bytes, n: int, lanes: int, table: Table) -> np.ndarray:
         now[need] = now[need] << word | words[at : at + used]
         at += used
         x[: len(now)] = now
+    if at != len(words) or (x != LOW).any():
+        raise ValueError("a block doesn't end where its coder began")
     return out
 
 
