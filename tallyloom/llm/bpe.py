@@ -164,14 +164,17 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Texts to ids (little-endian unsigned 32-bit), remembering pieces and words."""
+    """Texts to ids (little-endian unsigned 32-bit), remembering pieces."""
 
     def __init__(self, automaton: Automaton) -> None:
         self.automaton = automaton
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, automaton.special)) + ")") if automaton.special else None
-        self.words = pieces.Memory(lambda w: _packed(automaton.word(w.encode("utf-8", "replace"))), pieces.REMEMBERED // 8)
-        self.pieces = pieces.Memory(lambda p: b"".join(map(self.words.__getitem__, self.pattern.findall(p))), pieces.REMEMBERED // 3)
+        self.pieces = pieces.Memory(self._piece, pieces.REMEMBERED // 2)
+
+    def _piece(self, p: str) -> bytes:
+        word = self.automaton.word
+        return b"".join([_packed(word(w.encode("utf-8", "replace"))) for w in self.pattern.findall(p)])
 
     def encode(self, text: str) -> bytes:
         if self.special and any(x in text for x in self.automaton.special):

@@ -25,6 +25,7 @@ empty table gives no segment. Extra columns are not read.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -168,9 +169,8 @@ def read_segment(raw: bytes, table: Table, blocks: range | None = None) -> tuple
 _LETTERS = {b: c for c, b in byte_letters().items()}
 
 
-def _letters(word: str) -> str:
-    """A word as byte-level vocabularies spell it, one letter for each byte."""
-    return word.encode("utf-8", "replace").decode("latin-1").translate(_LETTERS)
+#: The line end as vocabularies spell it.
+_LINE = _LETTERS[10]
 
 
 class Library:
@@ -183,19 +183,29 @@ class Library:
         self.t = Tokenizer.from_str(content)
         self.split, self.model = self.t.pre_tokenizer.pre_tokenize_str, self.t.model.tokenize
         self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
-        self.words = pieces.Memory(self._word, pieces.REMEMBERED // 4)
+        self.tails = pieces.Memory(self._word, pieces.REMEMBERED // 16)
         self.pieces = pieces.Memory(self._piece)
 
     def _piece(self, p: str) -> bytes:
-        """A word of letters with a space before and points after it, the usual piece, is two words of
-        the pre-tokenizer; others are given to it."""
-        stem = p.rstrip(".,")
-        if (stem[1:] if stem[:1] == " " else stem).isalpha():
-            tail = p[len(stem) :]
-            return self.words[_letters(stem)] + (self.words[tail] if tail else b"")
-        return b"".join([self.words[w] for w, _ in self.split(p)])
+        """Usual pieces are split here: a word of letters with a space before, ASCII points after it, or a
+        line end before the next such word. Others are given to the pre-tokenizer."""
+        line, end, rest = p.partition("\n")
+        if end:
+            if (a := self._simple(line)) is not None and (b := self._simple(rest)) is not None:
+                return a + self.tails[_LINE] + b
+        elif (a := self._simple(line)) is not None:
+            return a
+        return b"".join([self._word(w) for w, _ in self.split(p)])
+
+    def _simple(self, p: str) -> bytes | None:
+        stem = p.rstrip(string.punctuation)
+        if not (stem[1:] if stem[:1] == " " else stem).isalpha():
+            return None
+        ids = self._word(stem.encode().decode("latin-1").translate(_LETTERS))
+        return ids + self.tails[p[len(stem) :]] if len(stem) < len(p) else ids
 
     def _word(self, w: str) -> bytes:
+        """w: one letter for each byte. ASCII points stand for themselves."""
         ids = [t.id for t in self.model(w)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
