@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 _DOUBLE = re.compile(r"\s ")
 #: Pieces that each of the two generations of a memory holds.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: A longer piece is not remembered.
 LONGEST = 64
 

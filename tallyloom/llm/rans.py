@@ -44,6 +44,8 @@ LOW = np.uint64(1 << 31)
 LANES = 4096
 #: Ids of a block, and of a segment (a longer document makes a longer segment).
 BLOCK_IDS, SEGMENT_IDS = 1 << 20, 1 << 22
+#: Bytes of text that are tokenized at once, at least.
+TOGETHER = 4 << 20
 MAGIC = b"RANSEG1\0"
 HEADER = struct.Struct("<IIQII")
 BLOCK = struct.Struct("<QQIII")
@@ -183,8 +185,8 @@ class Library:
         self.t = Tokenizer.from_str(content)
         self.split, self.model = self.t.pre_tokenizer.pre_tokenize_str, self.t.model.tokenize
         self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
-        self.tails = pieces.Memory(self._word, pieces.REMEMBERED // 16)
-        self.pieces = pieces.Memory(self._piece)
+        self.tails = pieces.Memory(self._word, 20_000)
+        self.pieces = pieces.Memory(self._piece, pieces.REMEMBERED)
 
     def _piece(self, p: str) -> bytes:
         """Usual pieces are split here: a word of letters with a space before, ASCII points after it, or a
@@ -251,13 +253,25 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0, id_col: str
     with open(path or default_path(), encoding="utf-8") as f:
         library = Sent(spark, f.read())
 
-    def tokenize(b: pa.RecordBatch) -> pa.RecordBatch:
-        tail = struct.pack("<H", end_id)
-        ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + tail for x in _library(library).encode_all(b["t"])]
-        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, held, size = struct.pack("<H", end_id), [], 0
+
+        def made() -> pa.RecordBatch:
+            got = _library(library).encode_all(pa.concat_arrays([b["t"] for b in held]))
+            ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + tail for x in got]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([b["doc_id"] for b in held]), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+        for b in batches:  # more text at once has fewer distinct pieces to look up
+            held.append(b)
+            size += b.nbytes
+            if size >= TOGETHER:
+                yield made()
+                held, size = [], 0
+        if held:
+            yield made()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    tokens = common.stored(common.mapped(rows, tokenize, "doc_id long, ids binary"), "tokens")  # 16 bits an id
+    tokens = common.stored(rows.mapInArrow(tokenize, "doc_id long, ids binary"), "tokens")  # 16 bits an id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, np.int64)
