@@ -23,7 +23,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     labels = common.read(spark, sf_dir, "labels")
     score = toxicity.scorer(spark, toxicity.fit(docs, labels, "toxic", common.fold(F.col("doc_id"), 4) != 2))
-    return docs.withColumn("_toxicity", score("text")).where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return docs.where(score("text") < TOXIC)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
