@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 from .components import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
@@ -194,11 +194,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def alike(docs: DataFrame, text_col: str = "text", run: int = RUN, most: int = jaccard.MOST) -> DataFrame:
+    """text_key (``xxhash64`` of the text), root: components over the links of fingerprints and, beside them, of
+    five-word sets with a Jaccard similarity of 0.8 or more. Nodes are fingerprints: texts that share one are one."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = common.texts(b["text"])
+        return pa.RecordBatch.from_arrays([b["text_key"], pa.array([fingerprint(t) for t in found], pa.int64()), *jaccard.sketches(found)], names=["text_key", "fp", "name", "size", "bands"])
+
+    made = common.stored(common.mapped(texts, each, "text_key long, fp long, name long, size long, bands array<long>", jaccard.forget), "alike")
+    of = common.cut(made.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("name").alias("name"), F.first("size").alias("size")))
+    sets = of.where("name IS NOT NULL").groupBy("name").agg(F.min("fp").alias("of"), F.min("text_key").alias("text_key"), F.first("size").alias("size"))
+    sets = common.cut(sets)
+    banded = sets.join(made.select("name", "bands").dropDuplicates(["name"]), "name")
+    found = jaccard.links(common.stored(banded, "sets"), texts, most)
+    common.small_batches(spark)
+    names = sets.select("name", "of")
+    found = found.join(names.select(F.col("name").alias("a"), F.col("of").alias("x")), "a").join(names.select(F.col("name").alias("b"), F.col("of").alias("y")), "b").select("x", "y")
+    same = of.join(names, "name").where("fp <> of").select("fp", "of")
+    found = common.cut(found.union(same))
+    roots = components(links(of.select("fp").distinct(), run).union(found)).select(F.col("node").alias("fp"), "root")
+    return common.cut(of.join(roots, "fp", "left").select("text_key", F.coalesce("root", "fp").alias("root")))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of docs that are their component's first; one row for each. Columns of docs. Rows
-    without an id can't be a component's first and go."""
-    ids = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs[id_col] == ids["_kept"], "left_semi").dropDuplicates([id_col])
+    """The documents of docs that are the first of those alike; one row for each. Columns of docs. Rows
+    without an id can't be first and go."""
+    firsts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(id_col).alias("_kept")).join(alike(docs, text_col), "text_key").groupBy("root").agg(F.min("_kept").alias("_kept"))
+    return docs.join(firsts, docs[id_col] == firsts["_kept"], "left_semi").dropDuplicates([id_col])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
