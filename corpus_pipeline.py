@@ -1,7 +1,7 @@
 """The corpus pipeline: documents go through five stages, each on all that its predecessor kept.
 
 Toxic documents go; documents whose language can't be told go; of each group of near duplicates the first
-document stays; sources are mixed to their target weights (a document may come twice); the mixture is
+document stays (rows without an id come last); sources are mixed to their target weights (a document may come twice); the mixture is
 encoded to token ids and decoded again. Each stage is written as Parquet and read again.
 """
 
@@ -33,7 +33,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return simhash.unique(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

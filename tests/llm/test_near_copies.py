@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyloom.llm import common, jaccard, simhash
 
 SF = "/root/testdata/sf0.01"
@@ -83,3 +84,16 @@ def test_blocks_lose_nothing(spark, most):
     common.small_batches(spark)
     roots = {r["doc_id"]: r["root"] for r in df.select("doc_id", F.xxhash64("text").alias("text_key")).join(simhash.alike(df, most=most), "text_key").collect()}
     assert len(set(roots.values())) == len(survivors(rows)) == 4
+
+
+def test_rows_without_or_with_repeated_ids(spark, docs, empty):
+    """Every group of alike texts keeps exactly one row, whatever its ids."""
+    a, b, c, d = (" ".join(f"{x}{i * i % 97}" for i in range(40)) for x in "abcd")
+    rows = [(None, a, "en"), (None, a, "fr"), (None, b, "en"), (7, c, "en"), (7, d, "en"), (None, c, "en"), (3, d, "fr"), (7, c, "en"), (None, "", "en"), (None, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.near_unique(spark, df, SF).collect()
+    assert len(got) == 5 and sorted((r["text"] or "", r["doc_id"]) for r in got) == [("", None), (a, None), (b, None), (c, 7), (d, 3)]
+    kept = corpus_pipeline.near_unique(spark, docs, SF)
+    ids = [r[0] for r in kept.select("doc_id").collect()]
+    assert kept.columns == docs.columns and sorted(x for x in ids if x is not None) == [0, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14] and ids.count(None) == 1
+    assert corpus_pipeline.near_unique(spark, empty, SF).count() == 0
