@@ -12,6 +12,14 @@ chosen by a hash of the id, go as coordinates to the one task that learns (the l
 sequential). The model, at most ``2 ** bits`` weights and in practice a thousand or so, is broadcast to
 score every text where it lies: no shuffle of texts. Scoring covers all rows and all words.
 
+*Long texts.* A weight counts only for the one feature it was learned from: beside each weight stands the
+whole 64-bit hash of the labelled rows' feature of that coordinate that tells the labels apart best in
+the weight's direction, and other features of the coordinate count nothing. So a text's score is not raised
+by the mere number of its words. A text is scored in windows of ``WINDOW`` words, and of n windows the one of
+rank ``1 + n // SHARE`` counts: the highest up to 19, beyond that one which more than a twentieth of the text
+reaches, so that a longer text has no more chances to be taken for toxic. A toxic part is not outweighed by what
+stands around it, unless it is less than a twentieth of a text of over 38,000 words.
+
 Defined results: null and empty texts score the intercept. No labelled row: every score is 0.
 Repeated rows count as often as they come. Rows with a null label or id are not learned from.
 Columns other than the id and the text are not read.
@@ -37,6 +45,8 @@ EPOCHS = 3
 STEMS = (4, 5)
 #: Labelled rows used to fit, at most.
 MAX_ROWS = 12_000
+#: Words that are scored together.
+WINDOW, SHARE = 2_000, 20
 #: Distinct words whose hashes a Python worker remembers.
 CACHE_WORDS = 300_000
 EDGE = b".,;:!?\"'()[]{}<>"
@@ -74,16 +84,25 @@ def _forget() -> None:
     _VOCABULARY.clear()
 
 
-def occurrences(text: bytes, bits: int = BITS) -> np.ndarray:
-    """A text's coordinates, one for each occurrence. bytes.lower() lowers A-Z only."""
+def hashes(text: bytes) -> list[np.ndarray]:
+    """64-bit hashes by kind: words, pairs, skips and stems (0 where a word has none). A hash's place is that
+    of its first word. bytes.lower() lowers A-Z only."""
     words = common.words_of(text)
     if not words:
-        return np.empty(0, np.int64)
+        return []
     h, *stems = _VOCABULARY.rows(words)
     m = h * _MIX
     pairs = (m[:-1] ^ (h[1:] >> np.uint64(7))) * _MIX
     skips = (m[:-2] ^ (h[2:] >> np.uint64(13)) ^ np.uint64(1)) * _MIX
-    return (np.concatenate((m, pairs, skips, *(x[x > 0] for x in stems))) >> np.uint64(64 - bits)).astype(np.int64)
+    return [m, pairs, skips, *stems]
+
+
+def occurrences(text: bytes, bits: int = BITS) -> np.ndarray:
+    """A text's coordinates, one for each occurrence."""
+    found = hashes(text)
+    if not found:
+        return np.empty(0, np.int64)
+    return (np.concatenate((*found[:3], *(x[x > 0] for x in found[3:]))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def features(text: bytes, bits: int = BITS) -> np.ndarray:
@@ -114,9 +133,10 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, epochs: in
     return weights(np.arange(size + 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and weights that are not 0."""
-    picked = labelled_sample(docs, labels, label, learn, id_col, text_col, max_rows)
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates and weights that are not 0, and the hash of the feature each weight is for (0 for the
+    intercept)."""
+    picked = common.stored(labelled_sample(docs, labels, label, learn, id_col, text_col, max_rows), "labelled")
     coordinates = common.mapped(
         picked,
         lambda b: pa.RecordBatch.from_arrays([b["_h"], b["y"], pa.array([features(t, bits) for t in common.texts(b["text"])], pa.list_(pa.int32()))], names=["_h", "y", "at"]),
@@ -132,11 +152,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None = N
         if rows:
             w = fit_rows(rows, np.array(y), bits)
             at = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["at", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at]), pa.array(np.full(len(at), np.mean(y)))], names=["at", "w", "mean"])
 
     # One task: the learner is sequential and its rows are bounded by max_rows and 2 ** bits.
-    model = coordinates.repartition(1).sortWithinPartitions("_h", "at").mapInArrow(train, "at long, w double").toPandas()
-    return model["at"].to_numpy(np.int64), model["w"].to_numpy(float)
+    model = coordinates.repartition(1).sortWithinPartitions("_h", "at").mapInArrow(train, "at long, w double, mean double").toPandas()
+    at, w = model["at"].to_numpy(np.int64), model["w"].to_numpy(float)
+    return at, w, _marks(picked, at, w, float(model["mean"].max()) if len(at) else 0.0, bits)
+
+
+def _marks(picked: DataFrame, at: np.ndarray, w: np.ndarray, mean: float, bits: int) -> np.ndarray:
+    """For each weight, the hash of its coordinate with the largest sum of (label - mean) times the weight's sign
+    over the labelled rows that have it."""
+    signs = np.zeros(2**bits + 1)
+    signs[at] = np.sign(w)
+    signs[2**bits] = 0.0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, sums = [np.empty(0, np.uint64)], [np.empty(0)]
+            for t, y in zip(common.texts(b["text"]), b["y"].to_pylist(), strict=True):
+                if parts := hashes(t):
+                    h = np.concatenate(parts)
+                    h = np.unique(h[(h > 0) & (signs[h >> np.uint64(64 - bits)] != 0)])
+                    found.append(h)
+                    sums.append(np.full(len(h), y))
+            h, y = np.concatenate(found), np.concatenate(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((h >> np.uint64(64 - bits)).astype(np.int64)), pa.array(y)], names=["h", "at", "y"])
+        _forget()
+
+    each = picked.mapInArrow(count, "h long, at long, y double").groupBy("at", "h").agg(F.sum("y").alias("y"), F.count("y").alias("n"))
+    each = each.select("at", "h", (F.col("y") - mean * F.col("n")).alias("s"))
+    best = each.groupBy("at").agg(F.max_by("h", F.struct("s", "h")).alias("high"), F.min_by("h", F.struct("s", "h")).alias("low"))
+    marks = np.zeros(2**bits + 1, np.int64)
+    for r in best.collect() if len(at) else []:  # at most a row for each weight
+        marks[r["at"]] = r["high"] if signs[r["at"]] > 0 else r["low"]
+    return marks[at].view(np.uint64)
 
 
 def labelled_sample(docs, labels, label, learn, id_col, text_col, max_rows) -> DataFrame:
@@ -154,21 +204,35 @@ def labelled_sample(docs, labels, label, learn, id_col, text_col, max_rows) -> D
     return texts.join(F.broadcast(l), "doc_id")  # l: at most about max_rows
 
 
-def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], bits: int = BITS):
+def raw_score(text: bytes, dense: np.ndarray, marks: np.ndarray, bits: int = BITS, window: int = WINDOW) -> float:
+    """Sum of the weights of a text's features, without the intercept, in the window that counts."""
+    found, n = [], 1
+    for part in hashes(text):
+        n = max(n, len(part))
+        at = (part >> np.uint64(64 - bits)).astype(np.int64)
+        k = np.flatnonzero(dense[at])
+        k = k[marks[at[k]] == part[k]]
+        found.append((k // window << bits) + at[k])
+    if not found:
+        return 0.0
+    codes = np.unique(np.concatenate(found))
+    windows = -(-n // window)
+    sums = np.bincount(codes >> bits, dense[codes & (1 << bits) - 1], windows)
+    return float(np.sort(sums)[-1 - windows // SHARE])
+
+
+def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int = BITS):
     """Column function text -> probability, with the model broadcast."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, w = sent.value
-        dense = np.zeros(2**bits + 1)
-        dense[known] = w
+        known, w, which = sent.value
+        dense, marks = np.zeros(2**bits + 1), np.zeros(2**bits + 1, np.uint64)
+        dense[known], marks[known] = w, which
         base = dense[2**bits]
         for texts in batches:
-            raw = []
-            for t in texts:
-                at = occurrences((t or "").encode("utf-8", "replace"), bits)
-                raw.append(base + dense[np.unique(at[dense[at] != 0])].sum())
+            raw = [base + raw_score((t or "").encode("utf-8", "replace"), dense, marks, bits) for t in texts]
             out = 1.0 / (1.0 + np.exp(-np.clip(np.array(raw, float), -35, 35)))
             yield pd.Series(out if len(known) else out * 0.0)
         _forget()
