@@ -11,9 +11,11 @@ merge's rank. An arc that is cut also keeps later tokens that begin with it from
 tree and the left edge of t's, and answers are kept in a table that fills as pairs are met.
 
 Encoding a pre-split word walks this table: for each place of the word, exactly one token ends there
-on an accepted path, and the last one is found from those before. Decoding emits the labels of the arcs.
-The tables (two entries a merge) are compiled once on the driver, are bounded by the vocabulary and
-broadcast; each text is encoded where it lies.
+on an accepted path, and the last one is found from those before. The distinct words of a batch take each
+step together, as arrays; a label is found by its hash and the result compared with the words' own bytes.
+Decoding emits the labels of the arcs. The tables (two entries a merge) are compiled once on the driver, are
+bounded by the vocabulary and broadcast; each text is encoded and decoded where it lies. A worker keeps
+tables of fixed size, and nothing that grows with the texts it has seen.
 
 Defined results: null and empty texts have no tokens and decode to the empty text. The special token's
 string in a text becomes its id, as the tokenizers library does by default. Bytes that no text gives (a
@@ -23,22 +25,24 @@ cut sequence of ids) decode to U+FFFD. Extra columns are not read; repeated rows
 from __future__ import annotations
 
 import json
-import struct
+import uuid
 from array import array
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, pieces
+from . import common, presplit
 
-#: The pre-splitting pattern of byte-level BPE vocabularies (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the arc table.
-ARCS = 400_000
+#: Entries of the arc tables: for single words, and (bits) for arrays.
+ARCS, ARC_BITS = 100_000, 20
+#: Longer words are walked one by one.
+WIDE = 48
 _NEVER = 1 << 60
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def default_path() -> str:
@@ -55,6 +59,43 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Lookup:
+    """64-bit keys to numbers from 0 on, for whole arrays; -1 where a key is missing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.values[slot[left]] < 0]
+            self.keys[slot[free]], self.values[slot[free]] = keys[free], values[free]  # of several, the last one
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = slot[left] + 1 & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _MIX >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._home(keys)
+        out = self.values[slot]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(wrong):
+            slot[wrong] = slot[wrong] + 1 & self.mask
+            out[wrong] = self.values[slot[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.keys[slot[wrong]] != keys[wrong])]
+        return out
+
+
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    """Running hashes of rows of bytes, one more row than bytes: (place, word)."""
+    out = np.zeros((rows.shape[1] + 1, rows.shape[0]), np.uint64)
+    values = _BYTES[rows.T]
+    for i in range(rows.shape[1]):
+        out[i + 1] = out[i] * _BASE + values[i]
+    return out
+
+
 class Automaton:
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[int, int, int]], special: dict[str, int]) -> None:
         """merges: (left, right, result) ids in rank order."""
@@ -75,9 +116,12 @@ class Automaton:
         self.table.clear()
         self.ids = {label: i for label, i in vocabulary.items() if i in self.alive}
         self.longest = max(map(len, self.ids), default=0)
+        self.reach: dict[bytes, int] = {}  # the last two bytes of a token -> the longest such token
+        for label in self.ids:
+            self.reach[label[-2:]] = max(self.reach.get(label[-2:], 0), len(label))
 
     def _gadget(self, rank: int, u: int, v: int, t: int) -> None:
-        if u in self.alive and v in self.alive and self._open(u, v) and t not in self.alive:
+        if u in self.alive and v in self.alive and t not in self.alive and self._open(u, v):
             self.alive.add(t)
             self.left[t], self.right[t], self.made[t] = u, v, rank
         self.lost.setdefault(u << 32 | v, rank)
@@ -113,7 +157,7 @@ class Automaton:
         """The token that ends at this place on the accepted path, from the end backwards: mostly the
         longest one that fits."""
         ids, arc = self.ids, self.arc
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.reach.get(w[max(0, end - 2) : end], 1)), end):
             t = ids.get(w[start:end])
             if t is not None:
                 if start == 0:
@@ -147,6 +191,155 @@ class Automaton:
         return out[::-1]
 
 
+class Walker:
+    """The automaton's tables as arrays: words of a batch walk together."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        self.automaton = a = automaton
+        self.left, self.right, self.made = (np.array(x, np.int64) for x in (a.left, a.right, a.made))
+        self.lost = Lookup(np.array([*a.lost], np.uint64), np.array([*a.lost.values()], np.int32))
+        self.sizes = np.array([len(x) for x in a.labels], np.int64)
+        self.labels = pa.array(a.labels, pa.large_binary())
+        tokens = {**a.ids, **{s.encode(): i for s, i in a.special.items()}}
+        keys = {}
+        for n in {len(x) for x in tokens}:
+            some = [x for x in tokens if len(x) == n]
+            keys |= dict(zip(some, _hashes(np.frombuffer(b"".join(some), np.uint8).reshape(-1, n))[n].tolist(), strict=True))
+        self.whole = Lookup(np.array([keys[x] for x in tokens], np.uint64), np.array([*tokens.values()], np.int32))
+        self.part = Lookup(np.array([keys[x] for x in a.ids], np.uint64), np.array([*a.ids.values()], np.int32))
+        self.known, self.answer = np.full(1 << ARC_BITS, ~np.uint64(0)), np.zeros(1 << ARC_BITS, bool)
+
+    def open(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Automaton._open of each pair."""
+        out, x, until, live = np.ones(len(s), bool), s.copy(), np.full(len(s), _NEVER), np.arange(len(s))
+        while len(live):
+            go, y, taken = live, t[live], np.full(len(live), _NEVER)
+            while len(go):
+                rank = self.lost.get((x[go] << 32 | y).astype(np.uint64)).astype(np.int64)
+                out[go[(rank >= 0) & (rank < until[go]) & (rank <= taken)]] = False
+                taken, y = self.made[y], self.left[y]
+                on = (y >= 0) & out[go]
+                go, y, taken = go[on], y[on], taken[on]
+            until[live], x[live] = self.made[x[live]], self.right[x[live]]
+            live = live[(x[live] >= 0) & out[live]]
+        return out
+
+    def arcs(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The same, remembered in a table of fixed size."""
+        key = s.astype(np.uint64) << np.uint64(32) | t.astype(np.uint64)
+        slot = (key * _MIX >> np.uint64(64 - ARC_BITS)).astype(np.int64)
+        out = self.answer[slot]
+        new = np.flatnonzero(self.known[slot] != key)
+        if len(new):
+            pairs, back = np.unique(key[new], return_inverse=True)
+            found = self.open((pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            at = (pairs * _MIX >> np.uint64(64 - ARC_BITS)).astype(np.int64)
+            self.known[at] = pairs
+            self.answer[slot[new]] = out[new] = found[back]
+            self.answer[at] = found
+        return out
+
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of binary words (large_binary) one after another, and how many each has."""
+        offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
+        begins, lengths = offsets[:-1], np.diff(offsets)
+        order = np.argsort(lengths, kind="stable")
+        word, step, token = [], [], []  # a word's steps count from its last token
+
+        def walk_alone(some: np.ndarray) -> None:
+            for i in some.tolist():
+                w = data[begins[i] : begins[i] + lengths[i]].tobytes()
+                ids = [self.automaton.special[w.decode()]] if w in special else self.automaton.word(w)
+                word.append(np.full(len(ids), i))
+                step.append(np.arange(len(ids))[::-1])
+                token.append(np.array(ids, np.int64))
+
+        special = {x.encode() for x in self.automaton.special}
+        wide = np.searchsorted(lengths[order], WIDE, "right")
+        at = 0
+        while at < wide:
+            size = int(lengths[order[at]])
+            most = max(64, (1 << 19) // (size * size + 1))
+            some = order[at : min(at + most, wide)]
+            some = some[lengths[some] <= size + 2]
+            at += len(some)
+            found, bad = self._walk(data, begins[some], lengths[some])
+            for x, y in zip((word, step, token), (some[found[0]], *found[1:]), strict=True):
+                x.append(y)
+            walk_alone(some[bad])
+        walk_alone(order[wide:])
+        if not word:
+            return np.empty(0, np.uint32), np.zeros(len(distinct), np.int64)
+        word, step, token = map(np.concatenate, (word, step, token))
+        sizes = np.bincount(word, minlength=len(distinct)).astype(np.int64)
+        out = np.empty(len(token), np.uint32)
+        out[np.cumsum(sizes)[word] - 1 - step] = token
+        return out, sizes
+
+    def _walk(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """(word, step, token) of words of about one length, and the words that a hash misled."""
+        n, wide = len(begins), int(lengths.max())
+        rows = data[np.minimum(begins[:, None] + np.arange(wide), len(data) - 1)] if len(data) else np.empty((n, 0), np.uint8)
+        h = _hashes(rows)
+        last = np.full((wide + 1, n), -1, np.int64)
+        whole = self.whole.get(h[lengths, np.arange(n)])
+        last[lengths, np.arange(n)] = whole
+        rest = np.flatnonzero(whole < 0)
+        if len(rest):
+            h, scale, of = h[:, rest], 1, []
+            for size in range(1, min(wide, self.automaton.longest) + 1):
+                scale = scale * int(_BASE) & (1 << 64) - 1
+                of.append(self.part.get((h[size:] - h[:-size] * np.uint64(scale)).ravel()).reshape(wide + 1 - size, -1))
+            mine = np.full((wide + 1, len(rest)), -1, np.int64)
+            for end in range(1, wide + 1):
+                for size in range(min(end, len(of)), 0, -1):
+                    t = of[size - 1][end - size]
+                    at = np.flatnonzero((t >= 0) & (mine[end] < 0))
+                    if size < end and len(at):
+                        s = mine[end - size][at]
+                        at, s = at[s >= 0], s[s >= 0]
+                        at = at[self.arcs(s, t[at])]
+                    mine[end][at] = t[at]
+            last[:, rest] = mine
+        word, step, token, place, k = [], [], [], lengths.copy(), 0
+        on, bad = np.flatnonzero(lengths > 0), np.zeros(n, bool)
+        while len(on):
+            t = last[place[on], on]
+            bad[on[t < 0]] = True
+            on, t = on[t >= 0], t[t >= 0]
+            place[on] -= self.sizes[t]
+            bad[on[place[on] < 0]] = True
+            word.append(on)
+            step.append(np.full(len(on), k))
+            token.append(t)
+            on, k = on[place[on] > 0], k + 1
+        if not word:
+            return (np.empty(0, np.int64),) * 3, np.flatnonzero(bad)
+        word, step, token = map(np.concatenate, (word, step, token))
+        order = np.lexsort((-step, word))
+        word, step, token = word[order], step[order], token[order]
+        # the labels must spell the words
+        given = np.ones(len(token), bool) if not bad.any() else ~bad[word]
+        spelled = self.spell(token[given])
+        own = np.repeat(begins[~bad], lengths[~bad]) + _counted(lengths[~bad])
+        if len(spelled) != len(own) or not np.array_equal(spelled, data[own]):
+            bad[:] = True
+        keep = ~bad[word]
+        return (word[keep], step[keep], token[keep]), np.flatnonzero(bad & (lengths > 0))
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the labels, one after another."""
+        got = self.labels.take(pa.array(ids))
+        ends = np.frombuffer(got.buffers()[1], np.int64)
+        return np.frombuffer(got.buffers()[2] or b"", np.uint8)[: ends[len(ids)]]
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ..., n - 1 for each n."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def compile_file(text: str) -> Automaton:
     """From a tokenizers JSON file's content (byte-level BPE)."""
     model = json.loads(text)
@@ -159,43 +352,33 @@ def compile_file(text: str) -> Automaton:
     return Automaton(vocabulary, [(names[a], names[b], names[a + b]) for a, b in pairs], special)
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class Encoder:
-    """Texts to ids (little-endian unsigned 32-bit), remembering pieces."""
+    """Columns of texts to ids (little-endian unsigned 32-bit) and back."""
 
     def __init__(self, automaton: Automaton) -> None:
-        self.automaton = automaton
-        self.pattern = regex.compile(PATTERN)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, automaton.special)) + ")") if automaton.special else None
-        self.pieces = pieces.Memory(self._piece, pieces.REMEMBERED // 2)
-
-    def _piece(self, p: str) -> bytes:
-        word = self.automaton.word
-        return b"".join([_packed(word(w.encode("utf-8", "replace"))) for w in self.pattern.findall(p)])
-
-    def encode(self, text: str) -> bytes:
-        if self.special and any(x in text for x in self.automaton.special):
-            known = self.automaton.special
-            return b"".join(_packed([known[x]]) if x in known else self._plain(x) for x in self.special.split(text))
-        return self._plain(text)
+        self.walker, self.special = Walker(automaton), tuple(automaton.special)
 
-    def encode_all(self, column: pa.Array) -> list[bytes]:
-        return pieces.encode_all(column, self.pieces, self.encode, tuple(self.automaton.special))
+    def encode(self, column: pa.Array) -> pa.Array:
+        words = presplit.Words(column, self.special)
+        return presplit.packed(*presplit.spread(*self.walker.words(words.distinct), words))
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, pieces.cut(text)))
+    def decode(self, column: pa.Array) -> pa.Array:
+        """large_binary ids to text; bytes that are no text become U+FFFD."""
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view("<u4")
+        got = self.walker.labels.take(pa.array(ids))
+        ends = np.frombuffer(got.buffers()[1], np.int64)[(offsets - offsets[0]) // 4]
+        raw = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(np.ascontiguousarray(ends)), got.buffers()[2]])
+        try:
+            return raw.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.automaton.labels.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
+_ENCODERS: dict[str, Encoder] = {}
 
-_ENCODERS: dict[int, Encoder] = {}
 
-
-def _encoder(sent) -> Encoder:
+def _encoder(sent: Sent) -> Encoder:
     """This worker's encoder for a broadcast file; one is kept."""
     if sent.id not in _ENCODERS:
         _ENCODERS.clear()
@@ -203,6 +386,18 @@ def _encoder(sent) -> Encoder:
     return _ENCODERS[sent.id]
 
 
+class Sent:
+    """A broadcast with a name of its own, by which reused workers know it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._b = spark.sparkContext.broadcast(value)
+        self.id = uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self._b.value
+
+
 class Tokenizer:
     """A compiled automaton, broadcast; its methods are DataFrame operations."""
 
@@ -215,39 +410,40 @@ class Tokenizer:
         sent = self.sent
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            e = _encoder(sent)
-            return pa.RecordBatch.from_arrays([b["id"], pa.array(e.encode_all(b["t"]), pa.binary())], names=["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([b["id"], _encoder(sent).encode(b["t"]).cast(pa.binary())], names=["doc_id", "ids"])
 
-        return common.mapped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "doc_id long, ids binary")
+        return common.mapped(_slim(docs, id_col, text_col), run, "doc_id long, ids binary")
 
     def decode(self, tokens: DataFrame) -> DataFrame:
-        """doc_id, ids, text."""
+        """doc_id, ids, text. Null ids: the empty text."""
         sent = self.sent
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            e = _encoder(sent)
-            return pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array([e.decode(i or b"") for i in b["ids"].to_pylist()], pa.string())], names=["doc_id", "ids", "text"])
+            text = _encoder(sent).decode(b["ids"].fill_null(b"").cast(pa.large_binary()))
+            return pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], text.cast(pa.string())], names=["doc_id", "ids", "text"])
 
         return common.mapped(tokens.select("doc_id", "ids"), run, "doc_id long, ids binary, text string")
 
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, ids, text: encoded and decoded from these ids in one pass."""
+        sent = self.sent
 
-class Sent:
-    """A broadcast with a name that holds in every worker."""
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            e = _encoder(sent)
+            ids = e.encode(b["t"])
+            return pa.RecordBatch.from_arrays([b["id"], ids.cast(pa.binary()), e.decode(ids).cast(pa.string())], names=["doc_id", "ids", "text"])
 
-    def __init__(self, spark: SparkSession, value) -> None:
-        self._b = spark.sparkContext.broadcast(value)
-        self.id = id(self._b)
+        return common.mapped(_slim(docs, id_col, text_col), run, "doc_id long, ids binary, text string")
 
-    @property
-    def value(self):
-        return self._b.value
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
     common.small_batches(docs.sparkSession)
-    tokenizer = Tokenizer(docs.sparkSession, path)
-    out = tokenizer.decode(tokenizer.encode(docs))
+    out = Tokenizer(docs.sparkSession, path).round_trip(docs)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

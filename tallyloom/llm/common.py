@@ -10,21 +10,28 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of bytes other than ASCII white space, in Java's and RE2's syntax.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch sent to Python; texts may be long, so few.
+#: Bytes of one Arrow batch sent to Python, about; a single row may be longer.
+BATCH_BYTES = 4 << 20
+#: Rows of one batch that Python returns, where rows may be long.
 BATCH_ROWS = 256
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Send Python few rows at a time, as one row may be megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes sent to Python at a time, as one row may be megabytes. All operators want the same bound,
+    so that it doesn't matter when a lazy frame runs; a smaller one that is set already stays."""
+    now = spark.conf.get(_BYTES_SETTING, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BYTES_SETTING, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,7 +71,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+def below(share: float) -> int:
+    """64-bit hashes up to this are a share of all hashes, however small."""
+    return min(-(1 << 63) + int(max(share, 0.0) * (1 << 64)), (1 << 63) - 1)
+
+
+def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, done: Callable[[], None] | None = None) -> DataFrame:
     """One Arrow batch in, one out. done: called when a partition is through, to let go of what a reused
     worker would otherwise hold on to."""
 

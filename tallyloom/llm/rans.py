@@ -2,7 +2,7 @@
 
 ``write`` turns texts into ids with the tokenizers library, appends an end id to each document and
 codes them, in ascending id order, into segment files. One frequency table, counted over all ids of the
-corpus and scaled to ``2 ** PRECISION``, serves every segment. Ids are coded in blocks; a block is a set
+corpus and scaled to ``2 ** PRECISION`` (more for very large vocabularies), serves every segment. Ids are coded in blocks; a block is a set
 of interleaved coder states (lanes) that share one word stream, so a step codes one id in each lane
 by whole-array arithmetic. A segment's index holds each block's checkpoint (first id, byte offset, lanes)
 and CRC-32 of its ids, so any block is decoded and verified on its own, in parallel with others.
@@ -17,15 +17,15 @@ driver, and is broadcast back as the table); pass 3 deals documents into ranges
 and codes it as a stream, at most a segment in memory. ``read`` decodes segments in any order. Starts
 come from segment counts alone: running sums within a range, and over ranges.
 
-Distinct pieces of texts are few, so each is encoded by the library once and remembered (see
-``pieces``). Defined results: null and empty texts have just the end id. Repeated doc_ids are all kept,
-in order of their ids. A null doc_id sorts first. A damaged block fails its checksum and raises. An
-empty table gives no segment. Extra columns are not read.
+The distinct words of a batch are few, so each is encoded by the library once and remembered (see
+``presplit``). Ids take 16 bits on the way if the vocabulary allows it, else 32. Defined results: null and
+empty texts have just the end id. Repeated doc_ids are all kept, in order of a hash of their ids, and may
+share out over ranges. A null doc_id sorts first. A damaged block fails its checksum and raises. An end id
+outside the vocabulary raises. An empty table gives no segment. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common, pieces
+from . import common, presplit
 from .bpe import Sent, byte_letters, default_path
 
 PRECISION = 18
@@ -44,8 +44,6 @@ LOW = np.uint64(1 << 31)
 LANES = 4096
 #: Ids of a block, and of a segment (a longer document makes a longer segment).
 BLOCK_IDS, SEGMENT_IDS = 1 << 20, 1 << 22
-#: Bytes of text that are tokenized at once, at least.
-TOGETHER = 4 << 20
 MAGIC = b"RANSEG1\0"
 HEADER = struct.Struct("<IIQII")
 BLOCK = struct.Struct("<QQIII")
@@ -55,10 +53,15 @@ _NO_ID = -(1 << 63)
 # ---- the coder
 
 
+def precision_of(n: int) -> int:
+    """Bits of the frequencies of n ids: every id must be able to keep 1."""
+    return max(PRECISION, n.bit_length() + 1)
+
+
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that sum to 2 ** PRECISION; every counted id keeps at least 1."""
+    """Frequencies that sum to 2 ** precision; every counted id keeps at least 1."""
     counts = np.asarray(counts, np.int64)
-    total, size = int(counts.sum()), 1 << PRECISION
+    total, size = int(counts.sum()), 1 << precision_of(len(counts))
     if not total:
         return np.zeros(len(counts), np.int64)
     f = np.where(counts > 0, np.maximum(1, np.floor(counts / total * size).astype(np.int64)), 0)
@@ -78,6 +81,7 @@ class Table:
     """Shared by all blocks: frequencies, their running sums, and the id at each slot."""
 
     def __init__(self, frequencies: np.ndarray) -> None:
+        self.precision = precision_of(len(frequencies))
         self.f = np.asarray(frequencies, np.uint64)
         self.c = np.concatenate(([0], np.cumsum(self.f)[:-1])).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
@@ -90,8 +94,8 @@ def lanes_for(n: int) -> int:
 
 def code_block(ids: np.ndarray, table: Table) -> tuple[int, bytes]:
     """Lanes, and the block's bytes: final states, then words in reading order."""
-    lanes, k = lanes_for(len(ids)), np.uint64(PRECISION)
-    room, word = np.uint64(63 - PRECISION), np.uint64(32)
+    lanes, k = lanes_for(len(ids)), np.uint64(table.precision)
+    room, word = np.uint64(63 - table.precision), np.uint64(32)
     x = np.full(lanes, LOW, np.uint64)
     words, every_f, every_c = [], table.f[ids], table.c[ids]
     for start in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
@@ -108,7 +112,7 @@ def code_block(ids: np.ndarray, table: Table) -> tuple[int, bytes]:
 def decode_block(raw: bytes, n: int, lanes: int, table: Table) -> np.ndarray:
     x = np.frombuffer(raw, "<u8", lanes).copy()
     words, at = np.frombuffer(raw, "<u4", offset=8 * lanes), 0
-    mask, k, word = np.uint64((1 << PRECISION) - 1), np.uint64(PRECISION), np.uint64(32)
+    mask, k, word = np.uint64((1 << table.precision) - 1), np.uint64(table.precision), np.uint64(32)
     out = np.empty(n, np.uint32)
     for start in range(0, n, lanes):
         now = x[: min(lanes, n - start)]
@@ -169,56 +173,49 @@ def read_segment(raw: bytes, table: Table, blocks: range | None = None) -> tuple
 
 
 _LETTERS = {b: c for c, b in byte_letters().items()}
+#: A longer word is not remembered.
+LONGEST = 64
+#: Words that each of the two generations of a worker's memory holds.
+REMEMBERED = 200_000
 
 
-#: The line end as vocabularies spell it.
-_LINE = _LETTERS[10]
-
-
-class Library:
-    """The tokenizers library, remembering pieces. A piece is split as by the library's pre-tokenizer, and
-    each word that this gives goes through its model, once; texts with special tokens go through encode."""
+class Library(dict):
+    """The tokenizers library: word -> ids (4 bytes each). Words are split as by the library's pre-tokenizer, and
+    each distinct one goes through its model once; it is remembered in two generations: when the young one is
+    full it becomes the old one, and words still in use move over as they are met."""
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_str(content)
-        self.split, self.model = self.t.pre_tokenizer.pre_tokenize_str, self.t.model.tokenize
-        self.special = tuple(x.content for x in self.t.get_added_tokens_decoder().values())
-        self.tails = pieces.Memory(self._word, 20_000)
-        self.pieces = pieces.Memory(self._piece, pieces.REMEMBERED)
-
-    def _piece(self, p: str) -> bytes:
-        """Usual pieces are split here: a word of letters with a space before, ASCII points after it, or a
-        line end before the next such word. Others are given to the pre-tokenizer."""
-        line, end, rest = p.partition("\n")
-        if end:
-            if (a := self._simple(line)) is not None and (b := self._simple(rest)) is not None:
-                return a + self.tails[_LINE] + b
-        elif (a := self._simple(line)) is not None:
-            return a
-        return b"".join([self._word(w) for w, _ in self.split(p)])
-
-    def _simple(self, p: str) -> bytes | None:
-        stem = p.rstrip(string.punctuation)
-        if not (stem[1:] if stem[:1] == " " else stem).isalpha():
-            return None
-        ids = self._word(stem.encode().decode("latin-1").translate(_LETTERS))
-        return ids + self.tails[p[len(stem) :]] if len(stem) < len(p) else ids
+        self.model, self.old = self.t.model.tokenize, {}
+        self.special = {x.content.encode(): struct.pack("<I", i) for i, x in self.t.get_added_tokens_decoder().items()}
 
-    def _word(self, w: str) -> bytes:
-        """w: one letter for each byte. ASCII points stand for themselves."""
-        ids = [t.id for t in self.model(w)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    @property
+    def size(self) -> int:
+        return max(self.t.get_vocab(with_added_tokens=True).values(), default=-1) + 1
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.old.get(word) or self.special.get(word)
+        if got is None:
+            ids = [t.id for t in self.model(word.decode("latin-1").translate(_LETTERS))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = got
+        return got
 
-    def encode_all(self, column: pa.Array) -> list[bytes]:
-        return pieces.encode_all(column, self.pieces, self.whole, self.special)
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        words = presplit.Words(column, tuple(x.decode() for x in self.special))
+        known = list(map(self.__getitem__, words.distinct.to_pylist()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        return presplit.spread(np.frombuffer(b"".join(known), "<u4"), sizes, words)
 
 
-_LIBRARIES: dict[int, Library] = {}
+_LIBRARIES: dict[str, Library] = {}
 
 
 def _library(sent: Sent) -> Library:
@@ -228,7 +225,13 @@ def _library(sent: Sent) -> Library:
     return _LIBRARIES[sent.id]
 
 
-_TABLES: dict[int, Table] = {}
+def _forget() -> None:
+    for x in _LIBRARIES.values():
+        x.clear()
+        x.old = {}
+
+
+_TABLES: dict[str, Table] = {}
 
 
 def _table(sent: Sent) -> Table:
@@ -249,63 +252,57 @@ class Files:
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Files:
+    """Segment files of the ids of all texts; see the module. path: a tokenizers JSON file."""
     spark = docs.sparkSession
     with open(path or default_path(), encoding="utf-8") as f:
-        library = Sent(spark, f.read())
-
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, held, size = struct.pack("<H", end_id), [], 0
+        content = f.read()
+    size = Library(content).size
+    if not 0 <= end_id < size:
+        raise ValueError(f"end id {end_id} is not in a vocabulary of {size}")
+    library, kind = Sent(spark, content), np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
-        def made() -> pa.RecordBatch:
-            got = _library(library).encode_all(pa.concat_arrays([b["t"] for b in held]))
-            ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + tail for x in got]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([b["doc_id"] for b in held]), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-        for b in batches:  # more text at once has fewer distinct pieces to look up
-            held.append(b)
-            size += b.nbytes
-            if size >= TOGETHER:
-                yield made()
-                held, size = [], 0
-        if held:
-            yield made()
+    def tokenize(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, counts = _library(library).encode(b["t"])
+        ends = np.cumsum(counts)
+        return pa.RecordBatch.from_arrays([b["doc_id"], presplit.packed(np.insert(ids.astype(kind), ends, end_id), counts + 1).cast(pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    tokens = common.stored(rows.mapInArrow(tokenize, "doc_id long, ids binary"), "tokens")  # 16 bits an id
+    tokens = common.stored(common.mapped(rows, tokenize, "doc_id long, ids binary", _forget), "tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 16, np.int64)
+        seen = np.zeros(size, np.int64)
         for b in batches:
-            seen += np.bincount(np.frombuffer(b"".join(b["ids"].to_pylist()), "<u2"), minlength=1 << 16)
+            seen += np.bincount(np.frombuffer(b"".join(b["ids"].to_pylist()), kind), minlength=size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["id", "n"])
 
-    counts = np.zeros(1 << 16, np.int64)  # a row for each id of the vocabulary
+    counts = np.zeros(size, np.int64)  # a row for each id of the vocabulary
     for r in tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     frequencies = scaled(counts)
     sent = Sent(spark, frequencies)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, names, ids, have = TaskContext.get().partitionId(), 0, [], [], 0
+        part, segment, names, ids, have, wide = TaskContext.get().partitionId(), 0, [], [], 0, kind.itemsize
 
         def made() -> pa.RecordBatch:
-            raw = segment_bytes(names, [len(x) // 2 for x in ids], np.frombuffer(b"".join(ids), "<u2"), _table(sent))
+            raw = segment_bytes(names, [len(x) // wide for x in ids], np.frombuffer(b"".join(ids), kind), _table(sent))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([have], pa.int64()), pa.array([raw], pa.binary())], names=["part", "segment", "n_tokens", "image"])
 
         for b in batches:
             for d, x in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True):
-                if names and have + len(x) // 2 > SEGMENT_IDS:
+                if names and have + len(x) // wide > SEGMENT_IDS:
                     yield made()
                     segment, names, ids, have = segment + 1, [], [], 0
                 names.append(d)
                 ids.append(x)
-                have += len(x) // 2
+                have += len(x) // wide
         if names:
             yield made()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]  # the hash parts ids that many rows share
+    ordered = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order, "ids")
     return Files(common.stored(ordered.mapInArrow(code, "part int, segment int, n_tokens long, image binary"), "segments"), frequencies)
 
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, components, gif, mixing, ngramratio, rans, simhash, urlrange
+from tallyloom.llm import bpe, components, gif, mixing, ngramratio, presplit, rans, simhash, urlrange
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "labels", "pages")
@@ -291,24 +291,72 @@ def test_automaton_equals_library(library):
     rng = random.Random(3)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(3000)]
     texts += ["<|endoftext|>a <|endoftext|> b", "  a", "a  ", "a" * 3000, " " * 100, "\x00\x01", "they'll I'd 's", "\n <|endoftext|> x", ""]
-    encoder = bpe.Encoder(bpe.compile_file(open(bpe.default_path(), encoding="utf-8").read()))
-    column = encoder.encode_all(pa.array([*texts, None]))
-    for text, ids in zip([*texts, ""], column, strict=True):
+    automaton = bpe.compile_file(open(bpe.default_path(), encoding="utf-8").read())
+    encoder = bpe.Encoder(automaton)
+    column = encoder.encode(pa.array([*texts, None]))
+    for text, ids, back in zip([*texts, ""], column.to_pylist(), encoder.decode(column).to_pylist(), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and encoder.encode(text) == ids
-        assert encoder.decode(ids) == library.decode(want, skip_special_tokens=False)
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert back == library.decode(want, skip_special_tokens=False)
+    for w, _ in library.pre_tokenizer.pre_tokenize_str(texts[0] + " interesting words" + "x" * 70):
+        raw = bytes(bpe.byte_letters()[c] for c in w)
+        assert automaton.word(raw) == library.encode(raw.decode(), add_special_tokens=False).ids
+    half = library.encode("😀", add_special_tokens=False).ids[:1]  # a cut character
+    assert encoder.decode(presplit.packed(np.array(half, np.uint32), np.array([1]))).to_pylist() == [library.decode(half, skip_special_tokens=False)]
+
+
+def test_presplit_equals_library(library):
+    """Words of random texts, and around every code point."""
+    letters = bpe.byte_letters()
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(ALPHABET + "'rvelmtds' '") for _ in range(rng.randrange(60))) for _ in range(4000)]
+    texts += [f"a{chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3500 or c % 7 == 0)] + ["", "it's", "'re", "'r", "''s", "\n's", "it'"]
+    words = presplit.Words(pa.array(texts))
+    known, at = words.distinct.to_pylist(), 0
+    for t, n in zip(texts, words.counts.tolist(), strict=True):
+        got = [known[i] for i in words.number[at : at + n]]
+        assert got == [bytes(letters[c] for c in w) for w, _ in library.pre_tokenizer.pre_tokenize_str(t)], t
+        at += n
+
+
+def test_two_vocabularies_in_one_session(spark, docs, library):
+    """Workers are reused; each frame meets its own tables."""
+    import json
+    import tempfile
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        model = json.load(f)
+    names = sorted(model["model"]["vocab"], key=model["model"]["vocab"].get)
+    few = {n: i for i, n in enumerate(n for n in names if len(n) == 1)}
+    wide = {n: i + 70_000 for n, i in few.items()}  # ids that don't fit 16 bits
+    for vocabulary in (few, wide):
+        small = {**model, "added_tokens": [], "model": {**model["model"], "vocab": vocabulary, "merges": []}}
+        with tempfile.NamedTemporaryFile("w", suffix=".json", dir="/tmp", delete=False, encoding="utf-8") as f:
+            json.dump(small, f)
+        low = min(vocabulary.values())
+        have = {r[0]: r for r in bpe.Tokenizer(spark, f.name).round_trip(docs.where("doc_id = 8")).collect()}
+        ids = np.frombuffer(have[8]["ids"], "<u4")
+        letters = bpe.byte_letters()
+        assert [vocabulary[{b: c for c, b in letters.items()}[x]] for x in have[8]["text"].encode()] == ids.tolist()
+        files = rans.write(docs.where("doc_id = 8"), f.name, end_id=low)
+        assert np.frombuffer(rans.read(files).first()["ids"], "<u4").tolist() == [*ids.tolist(), low]
+        with pytest.raises(ValueError):
+            rans.write(docs, f.name, end_id=80_000)
+    want = library.encode(have[8]["text"], add_special_tokens=False).ids
+    assert np.frombuffer(bpe.Tokenizer(spark).encode(docs.where("doc_id = 8")).first()["ids"], "<u4").tolist() == want
+    assert np.frombuffer(rans.read(rans.write(docs.where("doc_id = 8"))).first()["ids"], "<u4").tolist() == [*want, 0]
 
 
 def test_automaton_of_small_merges():
     """Every word over a small alphabet, against merging step by step."""
     letters = {bytes([c]): i for i, c in enumerate(b"abc")}
-    merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "a"), ("aa", "b"), ("c", "ab"), ("aa", "aa"), ("cab", "bc")]
+    merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "a"), ("aa", "b"), ("c", "ab"), ("a", "ab"), ("aa", "aa"), ("cab", "bc")]  # aab is made twice
     vocabulary, ranked = dict(letters), []
     for a, b in merges:
         vocabulary.setdefault((a + b).encode(), len(vocabulary))
         ranked.append((vocabulary[a.encode()], vocabulary[b.encode()], vocabulary[(a + b).encode()]))
     automaton = bpe.Automaton(vocabulary, ranked, {})
-    ranks = {(a, b): i for i, (a, b, _) in enumerate(ranked)}
+    ranks, each = {(a, b): i for i, (a, b, _) in enumerate(ranked)}, []
     for n in range(1, 8):
         for w in itertools.product(b"abc", repeat=n):
             ids = [letters[bytes([c])] for c in w]
@@ -316,6 +364,9 @@ def test_automaton_of_small_merges():
                 rank, i = min(pairs)
                 ids[i : i + 2] = [ranked[rank][2]]
             assert automaton.word(bytes(w)) == ids, bytes(w)
+            each.append((bytes(w), ids))
+    got, sizes = bpe.Walker(automaton).words(pa.array([w for w, _ in each], pa.large_binary()))
+    assert [x.tolist() for x in np.split(got, np.cumsum(sizes)[:-1])] == [ids for _, ids in each]
 
 
 def test_round_trip(spark, docs, empty, library):
