@@ -1,19 +1,19 @@
 """Quality rules, DataFrame functions only: log-likelihood ratio of hashed n-grams, target against raw corpus.
 
-Words and pairs of adjacent words are hashed to buckets (words by the first hex digits of their MD5,
-pairs by a product of their words' buckets). Two multinomials are counted, over all texts: one of trusted
+Words and pairs of adjacent words are hashed to buckets (words by their CRC-32, pairs by a product of their
+words' buckets). Two multinomials are counted, over all texts: one of trusted
 target documents, one of the raw corpus. A document's score is the sum over its n-grams of
 ``ln(target share / raw share)``, each share smoothed by one count, divided by the number of
 n-grams; weights are rounded to millionths, so sums are exact whole numbers and don't depend on the order
 of adding. Every document gets a verdict by the same threshold.
 
-Counting explodes buckets and aggregates map-side first: at most ``2 * BUCKETS`` groups, whose weights
-return as one literal array that the scoring expression indexes. Scoring and base counts are array
-functions of one row: texts are never shuffled. The target's ids are broadcast after a check of their
-number, and joined by a shuffle beyond it.
+Counting explodes words beside their next ones, hashes them in generated code and aggregates map-side first: at
+most ``2 * BUCKETS`` groups, whose weights return as one literal array that the scoring expression indexes.
+Scoring and base counts are array functions of one row and move no text. The target's ids are broadcast
+after a check of their number; beyond it the target's texts, and no others, go through a shuffle.
 
-Base counts: see ``counts``. Repeated windows are found by sorting the hashes of a text's 8-word windows
-and measured by the union of their places.
+Base counts: see ``counts``. Repeated windows are found by sorting the hashes of a text's 8-word windows (of
+words, then of neighbours two, four and eight wide) and measured by the union of their places.
 
 Defined results: null text has no words and fails the base rule. No target documents: all weights are
 0 and only the base rule decides. Texts of one word have one n-gram. Repeated rows count as often as
@@ -38,8 +38,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30
 #: Target documents whose ids are broadcast, at most.
 TARGET_IDS = 2_000_000
-_WHITE = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,14 +50,29 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), common.SPACE), "")
 
 
-def word_buckets(words: Column) -> Column:
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int").bitwiseAND(F.lit(BUCKETS - 1)))
+def bucket(word: Column) -> Column:
+    return F.crc32(word.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def pair_buckets(b: Column) -> Column:
-    """Of n word buckets, n - 1 buckets of pairs, numbered after those of words."""
-    after = F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0)))
-    return F.zip_with(F.slice(b, F.lit(1), F.size(after)), after, lambda x, y: (x * 31 + y * 17 + 7).bitwiseAND(F.lit(BUCKETS - 1)) + BUCKETS)
+def pair_bucket(x: Column, y: Column) -> Column:
+    """Of two neighbours' buckets; numbered after those of words."""
+    return (x * 31 + y * 17 + 7).bitwiseAND(F.lit(BUCKETS - 1)) + BUCKETS
+
+
+def _after(values: Column, n: int) -> Column:
+    return F.slice(values, F.lit(n + 1), F.greatest(F.size(values) - n, F.lit(0)))
+
+
+def windows(words: Column) -> Column:
+    """Hashes of all WINDOW words in a row; at least that many words."""
+
+    def wider(n: int) -> Callable[[Column], Column]:
+        return lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - n), _after(h, n), lambda x, y: F.xxhash64(x, y))
+
+    out = F.transform(words, lambda w: F.xxhash64(w))
+    for n in (1, 2, 4):
+        out = bind(out, wider(n))
+    return out
 
 
 def repeated_words(words: Column) -> Column:
@@ -74,34 +88,37 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
 
     def with_hashes(hashes: Column) -> Column:
-        windows = lambda: F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), bind(bind(windows(), places), union)).otherwise(F.lit(0).cast("long"))
+        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), bind(bind(placed, places), union)).otherwise(F.lit(0).cast("long"))
 
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))
-    return F.when(F.size(words) > WINDOW, bind(hashes, with_hashes)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) > WINDOW, bind(windows(words), with_hashes)).otherwise(F.lit(0).cast("long"))
 
 
 def counts(text: Column, words: Column) -> list[Column]:
     """n_words; word_chars: code points in words; n_symbols: characters of #*$%&|<>; n_dup_lines: lines
     with a word, equal to an earlier line; n_repeat_words."""
     text = F.coalesce(text, F.lit(""))
-    bare = F.translate(text, _WHITE, "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _WHITE, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return [
-        F.size(words).cast("long").alias("n_words"), F.length(bare).cast("long").alias("word_chars"),
-        bind(bare, lambda t: F.length(t) - F.length(F.translate(t, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(words).alias("n_repeat_words"),
     ]
 
 
-def weights(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Of each bucket, in millionths: words first, then pairs."""
+def weights(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TARGET_IDS) -> list[int]:
+    """Of each bucket, in millionths: words first, then pairs. most: target ids that are broadcast, at most."""
     ids = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_target", F.lit(1))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = common.join_small(slim, ids, ["_id"], "left", TARGET_IDS)
-    both = bind(word_buckets(words_of(F.col("_text"))), lambda b: F.concat(b, pair_buckets(b)))
-    seen = rows.select("_target", F.explode(both).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_target").alias("target")).collect()  # at most 2 * BUCKETS rows
+    if common.bounded(ids, most):
+        rows = slim.join(F.broadcast(ids), "_id", "left").select("_text", F.lit(1).alias("_raw"), F.coalesce("_target", F.lit(0)).alias("_target"))
+    else:
+        good = slim.join(ids.hint("merge"), "_id", "left_semi").select("_text", F.lit(0), F.lit(1))
+        rows = slim.select("_text", F.lit(1).alias("_raw"), F.lit(0).alias("_target")).union(good)
+    words = words_of(F.col("_text"))
+    pairs = rows.select("_raw", "_target", F.explode(F.transform(F.array(words), lambda w: F.arrays_zip(w.alias("x"), _after(w, 1).alias("y")))).alias("_w"))
+    pairs = pairs.select("_raw", "_target", F.inline("_w").alias("x", "y")).select("_raw", "_target", bucket(F.col("x")).alias("x"), bucket(F.col("y")).alias("y"))
+    each = pairs.select("_raw", "_target", F.explode(F.array("x", pair_bucket(F.col("x"), F.col("y")))).alias("bucket")).where("bucket IS NOT NULL")
+    seen = each.groupBy("bucket").agg(F.sum("_raw").alias("raw"), F.sum("_target").alias("target")).collect()  # at most 2 * BUCKETS rows
     raw, target = [0] * 2 * BUCKETS, [0] * 2 * BUCKETS
     for r in seen:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -117,7 +134,9 @@ def judge(docs: DataFrame, model: list[int], threshold: int = THRESHOLD, id_col:
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # folded to one literal
 
     def row(text: Column, words: Column) -> Column:
-        total = bind(word_buckets(words), lambda b: F.aggregate(F.concat(b, pair_buckets(b)), F.lit(0).cast("long"), lambda a, x: a + F.get(table, x)))
+        worth = lambda x, y: F.get(table, x) + F.coalesce(F.get(table, pair_bucket(x, y)), F.lit(0))
+        each = bind(F.transform(words, bucket), lambda b: F.zip_with(b, _after(b, 1), worth))
+        total = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
         return F.struct(*counts(text, words), F.greatest(2 * F.size(words) - 1, F.lit(0)).cast("long").alias("n_ngrams"), total.alias("llr"))
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
@@ -140,8 +159,14 @@ WITH d AS (
   FROM documents
 ), u AS (
   SELECT k, good, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), c AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), v AS (
+  SELECT word, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]))) & {BUCKETS - 1} AS x
+  FROM (SELECT DISTINCT word FROM u), c
 ), b AS (
-  SELECT k, good, i, ('0x' || substr(md5(word), 1, 4))::INT & {BUCKETS - 1} AS x FROM u
+  SELECT k, good, i, x FROM u JOIN v USING (word)
 ), n AS (
   SELECT k, good, x AS bucket FROM b
   UNION ALL
