@@ -2,21 +2,25 @@
 
 For each language the log posterior adds up
 * the text: naive Bayes over hashed words, beginnings and endings of words, fitted on at most ``max_rows``
-  rows that declare a language; its weight is that of at most ``CAP`` words, as words are not independent;
+  distinct texts of each declared language (those with the smallest hashes); all languages give buckets that they
+  have not seen the same small share. Its weight is that of at most ``CAP`` words, as words are not independent;
 * the declaration: how often texts of that language declare this one, counted over all rows and smoothed,
   so a declaration counts as much as it is found to be worth; an unknown or missing one counts nothing;
 * the address: a prior for the host, smoothed towards that of its domain (last two labels), this one
   towards its suffix (last label), that one towards the whole corpus. All four levels are counts of the
   texts' own best languages, by grouped aggregation; a level with n rows keeps ``n / (n + STRENGTH)``
   of its own.
+Beside the languages stands a background of equally likely buckets, with the prior ``BACKGROUND``: what no language
+explains better, as random letters or an unknown script, is in no known language.
 
-Texts are scored where they lie, with the model broadcast (a few numbers for each bucket). What then
-moves is a short row for each text. The prior of hosts is broadcast after a check of its size and
+Every language that enough rows declare for it to have a fitted text is in the model; the number of languages
+has no bound but memory (``2 ** BITS`` numbers a language in each worker). Texts are scored where they
+lie, with the model broadcast. What then moves is a short row for each text. The prior of hosts is broadcast after a check of its size and
 joined by a shuffle beyond it, where adaptive execution splits a hot host.
 
-Defined results: null or empty text, or text without words: language ``und``, posterior 0, not kept. A null
-host: the corpus prior. No row declares a language: everything is ``und``. Ties go to the code that sorts
-first. Repeated rows count as often as they come. Extra columns are not read.
+Defined results: null or empty text, or text without words: language ``und``, posterior 0, not kept. Text that
+the background explains best: ``und``, with the background's posterior, not kept. A null host: the corpus prior. No
+row declares a language: everything is ``und``. Ties go to the code that sorts first. Repeated rows count as often as they come. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +32,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 BITS = 15
-MAX_ROWS = 6_000
-#: Languages of the model, at most: the most declared ones.
-MAX_LANGUAGES = 64
+#: Texts fitted for each declared language, at most.
+MAX_ROWS = 2_000
 CAP = 30
+#: Share of a language's words that fall on buckets it has not seen, spread evenly over all.
+UNSEEN = 0.05
+#: Prior of the background.
+BACKGROUND = 0.001
 STRENGTH = 20.0
 #: A text is kept if the posterior of its best language reaches this.
 MIN_POSTERIOR = 0.5
@@ -45,7 +53,8 @@ CACHE_WORDS = 300_000
 
 
 class _Words(dict):
-    """word -> row of buckets: the cleaned word, its first and its last three letters."""
+    """word -> row of buckets: the cleaned word, its first and its last three letters. What has nothing but
+    signs is no word."""
 
     def __init__(self) -> None:
         self.buckets = np.empty((1 << 16, 3), np.int32)
@@ -55,7 +64,7 @@ class _Words(dict):
         if i == len(self.buckets):
             self.buckets = np.concatenate((self.buckets, np.empty_like(self.buckets)))
         letters = word.strip(EDGE).decode("utf-8", "replace").lower()
-        self.buckets[i] = [xxhash.xxh32_intdigest(x, k) >> 32 - BITS for k, x in enumerate((letters, letters[:3], letters[-3:]))]
+        self.buckets[i] = [xxhash.xxh32_intdigest(x, k) >> 32 - BITS for k, x in enumerate((letters, letters[:3], letters[-3:]))] if letters else -1
         self[word] = i
         return i
 
@@ -63,8 +72,9 @@ class _Words(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
         words = text.split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.buckets[at]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))  # may make buckets larger
+        found = self.buckets[at]
+        return found[found[:, 0] >= 0]
 
 
 _WORDS = _Words()
@@ -80,33 +90,43 @@ def _language(declared: Column) -> Column:
 
 
 def fit(rows: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log shares of (bucket, language). rows: text, declared."""
-    known = rows.select("text", _language(F.col("declared")).alias("l")).where("l <> ''")
-    top = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    names = sorted(r["l"] for r in top)
-    if not names:
-        return [], np.zeros((1 << BITS, 0), np.float32)
-    share = max_rows / sum(r["count"] for r in top)
-    picked = known.where(F.col("l").isin(names)).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)))
+    """Languages, and log shares of (bucket, language), the background last. rows: text, declared."""
+    known = rows.select("text", _language(F.col("declared")).alias("l"), F.xxhash64("text").alias("h")).where("l <> '' AND text IS NOT NULL")
+    # a distinct text counts once, as what most of its rows declare
+    owned = known.groupBy("h", "l").agg(F.count("h").alias("n")).groupBy("h").agg(F.max_by("l", F.struct("n", "l")).alias("l"))
+    owned = common.cut(owned)
+    sizes = {r["l"]: r["count"] for r in owned.groupBy("l").count().collect()}
+    if not sizes:
+        return [], np.zeros((1 << BITS, 1), np.float32)
+    limits = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, common.below(max_rows / n))))
+    drawn = owned.where(F.col("h") <= F.element_at(limits, F.col("l")))  # about max_rows for each language
+    picked = common.join_small(known.select("h", "text"), drawn, ["h"], "inner").groupBy("h").agg(F.first("l").alias("l"), F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(names), 1 << BITS), np.int64)
+        seen: dict[str, np.ndarray] = {}
         for b in batches:
             for t, l in zip(common.texts(b["text"]), b["l"].to_pylist(), strict=True):
-                at = _WORDS.of(t)
-                seen[names.index(l)] += np.bincount(at.ravel(), minlength=1 << BITS)
-        l, at = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(l, pa.int32()), pa.array(at, pa.int32()), pa.array(seen[l, at], pa.int64())], names=["l", "at", "n"])
+                seen[l] = seen.get(l, 0) + np.bincount(_WORDS.of(t).ravel(), minlength=1 << BITS)
+        for l, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["l", "at", "n"])
+        _forget()
 
-    table = np.full((1 << BITS, len(names)), 0.5)
     # at most a row for each bucket and language
-    for r in picked.mapInArrow(count, "l int, at int, n long").groupBy("l", "at").agg(F.sum("n").alias("n")).collect():
-        table[r["at"], r["l"]] += r["n"]
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32)
+    counts = picked.select("text", "l").mapInArrow(count, "l string, at int, n long").groupBy("l", "at").agg(F.sum("n").alias("n")).collect()
+    names = sorted({r["l"] for r in counts})
+    place, table = {l: i for i, l in enumerate(names)}, np.zeros((1 << BITS, len(names) + 1))
+    for r in counts:
+        table[r["at"], place[r["l"]]] = r["n"]
+    table[:, -1] = 1.0
+    table /= table.sum(axis=0)
+    table[:, :-1] = (1 - UNSEEN) * table[:, :-1] + UNSEEN / (1 << BITS)
+    return names, np.log(table).astype(np.float32)
 
 
 def score(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
-    """The columns of rows but the text; n_words; text_ll: log likelihood by language, of weight CAP at most."""
+    """The columns of rows but the text; n_words; text_ll: log likelihood by language, of weight CAP at most;
+    back_ll: that of the background."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(table)
     others = [c for c in rows.columns if c != "text"]
@@ -117,10 +137,12 @@ def score(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
             at = _WORDS.of(t)
             n.append(len(at))
             ll.append((table[at.ravel()].sum(axis=0) * (min(len(at), CAP) / len(at)) if len(at) else np.zeros(table.shape[1])).astype(float))
-        return pa.RecordBatch.from_arrays([*(b[c] for c in others), pa.array(n, pa.int64()), pa.array(ll, pa.list_(pa.float64()))], names=[*others, "n_words", "text_ll"])
+        each = np.array(ll).reshape(-1, table.shape[1])
+        found = [pa.array(n, pa.int64()), pa.array(list(each[:, :-1]), pa.list_(pa.float64())), pa.array(each[:, -1], pa.float64())]
+        return pa.RecordBatch.from_arrays([*(b[c] for c in others), *found], names=[*others, "n_words", "text_ll", "back_ll"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return common.mapped(rows, run, f"{schema}, n_words long, text_ll array<double>", _forget)
+    schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("n_words", T.LongType()).add("text_ll", T.ArrayType(T.DoubleType())).add("back_ll", T.DoubleType())
+    return common.mapped(rows, run, schema, _forget)
 
 
 def _best(values: Column) -> Column:
@@ -161,7 +183,7 @@ def identify(rows: DataFrame, max_rows: int = MAX_ROWS, min_posterior: float = M
     columns named like a result are dropped."""
     spark = rows.sparkSession
     common.small_batches(spark)
-    rows = rows.drop("n_words", "text_ll", "prior", "lang", "posterior", "text_lang", "kept", "_f", "_p")
+    rows = rows.drop("n_words", "text_ll", "back_ll", "prior", "lang", "posterior", "text_lang", "kept", "_f", "_p", "_b")
     names, table = fit(rows, max_rows)
     scored = common.stored(score(rows, names, table), "langid")
     n, others = len(names), [c for c in rows.columns if c != "text"]
@@ -178,12 +200,15 @@ def identify(rows: DataFrame, max_rows: int = MAX_ROWS, min_posterior: float = M
     joined = common.join_small(scored, hosts, ["host"], "left", HOSTS_SENT)
     fused = _add(_add(F.col("text_ll"), F.coalesce("prior", whole)), F.element_at(worth, F.when(said < 0, n + 1).otherwise(said + 1)))
     joined = joined.withColumn("_f", fused)
-    top = F.array_max("_f")
-    joined = joined.withColumn("_p", 1.0 / F.aggregate("_f", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-    some = F.col("n_words") > 0
-    lang = F.when(some, F.element_at(codes, _best(F.col("_f")) + 1)).otherwise(F.lit("und"))
+    # the background may declare any language, or none that is known, alike
+    joined = joined.withColumn("_b", F.col("back_ll") + float(np.log(BACKGROUND)) - F.when(said < 0, 0.0).otherwise(float(np.log(n))))
+    top = F.greatest(F.array_max("_f"), F.col("_b"))
+    all_ = F.aggregate("_f", F.exp(F.col("_b") - top), lambda a, x: a + F.exp(x - top))
+    joined = joined.withColumn("_p", F.exp(F.greatest(F.array_max("_f"), F.col("_b")) - top) / all_)
+    some, known = F.col("n_words") > 0, F.col("n_words").isNotNull() & (F.col("n_words") > 0) & (F.array_max("_f") >= F.col("_b"))
+    lang = F.when(known, F.element_at(codes, _best(F.col("_f")) + 1)).otherwise(F.lit("und"))
     out = joined.select(*others, lang.alias("lang"), F.when(some, F.col("_p")).otherwise(F.lit(0.0)).alias("posterior"), F.when(some, F.element_at(codes, _best(F.col("text_ll")) + 1)).otherwise(F.lit("und")).alias("text_lang"))
-    fine = F.col("posterior") >= min_posterior
+    fine = (F.col("posterior") >= min_posterior) & (F.col("lang") != "und")
     return out.withColumn("kept", fine if wanted is None else fine & F.col("lang").isin(wanted))
 
 

@@ -11,8 +11,9 @@ bracket falls below 0 in a mini-batch, the step goes against its gradient, as th
 Features describe form, not vocabulary: binned statistics (shares of letters, capitals, digits, rare
 symbols, blanks; word lengths; share of distinct words; repeats of words, lines and 4-word windows)
 and hashed word shapes and pairs of them (first two and last three characters, letters as ``a``/``A``,
-digits as ``0``, others kept). All are computed where the texts lie; at most ``max_rows`` positives and ``max_rows``
-unlabelled rows, chosen by a hash of the id, go as coordinates to the one task that fits. Scoring
+digits as ``0``, others kept). All are computed where the texts lie; about ``max_rows`` positives and as many
+unlabelled rows, chosen by a hash of the id, go as coordinates to the one task that fits: ``max_rows`` bounds
+the sample on which the risk is estimated, whatever the corpus's size. Scoring
 covers every row and the whole text; no text is shuffled.
 
 Defined results: null and empty texts have the features of zero words and get the score learned for
@@ -165,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Colum
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = slim.where("doc_id IS NOT NULL")
     # an id drawn for both sets serves in both
-    drawn = _share(base.select("doc_id").count(), max_rows)
-    rows = base.join(F.broadcast(good), "doc_id", "left").withColumn("drawn", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < drawn).where("good OR drawn")
+    drawn = common.below(max_rows / max(base.select("doc_id").count(), 1))
+    rows = base.join(F.broadcast(good), "doc_id", "left").withColumn("drawn", F.xxhash64("doc_id", F.lit(1)) <= drawn).where("good OR drawn")
 
     def sparse(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [features(t) for t in common.texts(b["text"])]
@@ -195,12 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Colum
     return (np.array(got[0]["w"]), got[0]["prior"]) if got else (np.empty(0), 0.5)
 
 
-def _share(total: int, most: int) -> int:
-    return int(min(1.0, most / max(total, 1)) * (1 << 20))
-
-
 def _few(ids: DataFrame, most: int) -> DataFrame:
-    return ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < _share(ids.count(), most))
+    return ids.where(F.xxhash64("doc_id") <= common.below(most / max(ids.count(), 1)))
 
 
 def scorer(spark: SparkSession, w: np.ndarray):

@@ -198,8 +198,7 @@ def labelled_sample(docs, labels, label, learn, id_col, text_col, max_rows) -> D
     l = l.select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("y"), F.xxhash64(F.col(id_col)).alias("_h"))
     total = l.count()
     if total > max_rows:
-        share = max_rows / total
-        l = l.where(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)))
+        l = l.where(F.col("_h") <= common.below(max_rows / total))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(l), "doc_id")  # l: at most about max_rows
 
