@@ -36,10 +36,12 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir, or where that
-    is unset (local tests) a fresh temporary one."""
+    is unset, in a local session only, a fresh temporary one."""
     sc: SparkContext = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)

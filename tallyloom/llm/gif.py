@@ -13,7 +13,8 @@ as many steps as the logarithm of the longest chain. Encoding is the usual greed
 Each document is one row and one task's work; nothing is shuffled. Memory: a few times one document.
 
 Defined results: null payload: null media in ``encode``; ``pad`` turns null text into one block of
-zeros. A stream that is cut or damaged: the frames read before it and ``error`` set, no exception.
+zeros. A stream that is cut or damaged, or whose canvas or frame would have over ``MAX_PIXELS`` pixels: the
+frames read before it and ``error`` set, no exception.
 Pixels that a damaged or short code stream does not give stay transparent. Zero-sized frames have no
 pixels. Repeated rows give repeated rows.
 """
@@ -40,6 +41,8 @@ ROWS = 4096
 DELAY_MS = 40
 #: Colour histogram: 4 levels of red, green and blue.
 LEVELS = 4
+#: Pixels of a canvas or of a frame, at most: headers are not believed beyond it.
+MAX_PIXELS = 1 << 26
 _GREY = bytes(x for i in range(256) for x in (i, i, i))
 
 
@@ -224,6 +227,8 @@ def frames_of(raw: bytes) -> Iterator[dict]:
             raise IndexError
         wide, high, flags, _, _ = struct.unpack_from("<HHBBB", raw, 6)
         common_palette, at = _palette(raw, 13, flags)
+        if wide * high > MAX_PIXELS:
+            raise IndexError
         canvas = np.zeros((high, wide, 4), np.uint8)
         delay, disposal, clear_index, clock = 0, 0, -1, 0
         while True:
@@ -240,6 +245,8 @@ def frames_of(raw: bytes) -> Iterator[dict]:
             if kind != 0x2C:
                 raise IndexError
             left, top, w, h, flags = struct.unpack_from("<HHHHB", raw, at + 1)
+            if w * h > MAX_PIXELS:
+                raise IndexError
             own, at = _palette(raw, at + 10, flags)
             bits = raw[at]
             if not 1 < bits < 9:

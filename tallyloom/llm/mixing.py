@@ -14,12 +14,13 @@
    each leaf is one output shard. Every shard then owns, of each source, a run of permuted blocks,
    disjoint from all others. Rows are shuffled within their shard by a hash.
 
-What the driver holds is one row per source (a catalogue's dimension; more than ``max_sources`` is an
-error) and per source and shard; documents are only joined and windowed.
+What the driver holds is one row per source and shard (a catalogue's dimension: with a million sources about
+half a gigabyte); documents are only joined and windowed. The plan of few sources is broadcast, that of more
+than ``SOURCES_SENT`` joined by a shuffle.
 
 Defined results: null text: size 0, takes nothing. A null source is a source, last in order. Sources
-without words take nothing. Repeated ids lie at the same place of the order, ties by size; extra
-columns are not read. Empty table: empty result. The same input always gives the same mix.
+without words take nothing. Repeated ids lie at the same place of the order, ties by size, and each row is drawn
+on its own; extra columns are not read. Empty table: empty result. The same input always gives the same mix.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ REPEAT = 2
 #: Hex digits of the hash that name a block: 16 ** 3 blocks a source.
 BLOCK_DIGITS = 3
 SHARDS = 64
-MAX_SOURCES = 10_000
+SOURCES_SENT = 10_000
 
 
 def quotas(sizes: list[int], weights: list[float], share: float = SHARE, repeat: int = REPEAT) -> list[float]:
@@ -53,7 +54,8 @@ def quotas(sizes: list[int], weights: list[float], share: float = SHARE, repeat:
         for i in over:
             out[i] = float(repeat * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
+        gone = set(over)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
@@ -91,26 +93,24 @@ def _owner(number: Column, shards: int) -> Column:
     return F.least(F.size(F.filter("_ends", lambda end: end <= number)), F.lit(shards - 1)).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, shards: int = SHARDS, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, shards: int = SHARDS, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_key: Column | None = None, sent: int = SOURCES_SENT) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and ``draws``: an array of
-    (pass, words, shard) of each pass that takes words of it."""
+    (pass, words, shard) of each pass that takes words of it; row_key, if one is given. sent: sources whose plan is
+    broadcast, at most."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), common.n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), common.n_words(F.col(text_col)).alias("size"), (F.lit(0).cast("long") if row_key is None else row_key).alias("row_key"))
     # a join key that null sources share and that no name equals
-    rows = rows.select("doc_id", "size", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")).alias("_key"), _permuted(F.col("doc_id")).alias("_at"))
+    rows = rows.select("doc_id", "size", "row_key", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")).alias("_key"), _permuted(F.col("doc_id")).alias("_at"))
     rows = rows.withColumn("_block", F.substring(F.coalesce("_at", F.lit("")), 1, BLOCK_DIGITS))
     blocks = common.cut(rows.groupBy("_key", "_block").agg(F.sum("size").alias("_words")))
-    found = blocks.groupBy("_key").agg(F.sum("_words").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    found = sorted(found, key=lambda r: (r["_key"] == "", r["_key"].encode()))
+    found = sorted(blocks.groupBy("_key").agg(F.sum("_words").alias("n")).collect(), key=lambda r: (r["_key"] == "", r["_key"].encode()))
     sizes = [r["n"] for r in found]
     targets = quotas(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, repeat)
     plan = spark.createDataFrame([(r["_key"], n, int(t)) for r, n, t in zip(found, sizes, targets, strict=True)], "_key string, source_size long, _quota long")
 
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_words").over(before), F.lit(0))).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_block")) - 1)
-    spans = blocks.join(F.broadcast(plan), "_key")
+    spans = common.join_small(blocks, plan, ["_key"], "inner", sent)
     used = spans.groupBy("_key").agg(*(F.sum(F.when(F.col("_quota") - p * F.col("source_size") > F.col("_offset"), F.when(F.col("_words") > 0, 1).otherwise(0)).otherwise(0)).alias(f"p{p}") for p in range(repeat))).collect()
     passes = {r["_key"]: [r[f"p{p}"] for p in range(repeat)] for r in used}
     tree = split_tree([sum(passes[r["_key"]]) for r in found], shards)
@@ -119,10 +119,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         "_key string, source_size long, target double, _quota long, _ends array<long>, _used array<long>",
     )
 
-    inside = Window.partitionBy("_key", "_block").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_block").orderBy("_at", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(blocks.drop("_words"), ["_key", "_block"])  # dealt by these keys already
-    rows = rows.join(F.broadcast(plan), "_key")  # a row for each source
+    rows = common.join_small(rows, plan, ["_key"], "inner", sent)  # a row for each source
     draws = []
     for p in range(repeat):
         room = F.col("_quota") - F.lit(p) * F.col("source_size") - F.col("_offset") - F.col("_inside")
@@ -134,17 +134,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         draws.append(F.struct(F.lit(p).alias("pass"), words.alias("words"), _owner(number, shards).alias("shard")))
     rows = rows.withColumn("draws", F.filter(F.array(*draws), lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws", *([] if row_key is None else ["row_key"]))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mixture itself: whole documents, once for each pass that takes them, dealt to their shards
-    and in hashed order within each; the columns of docs."""
-    draws = mix(docs, whole_documents=True, id_col=id_col, **how).where(F.size("draws") > 0).select("doc_id", F.explode("draws").alias("_d"))
+    and in hashed order within each; the columns of docs. Draws belong to rows: of equal rows, which can't be
+    told apart, one is laid out as often as they are drawn together."""
+    row_key = F.xxhash64(*docs.columns)
+    draws = mix(docs, whole_documents=True, id_col=id_col, row_key=row_key, **how).where(F.size("draws") > 0)
+    draws = draws.select("doc_id", "row_key", F.explode("draws").alias("_d"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = draws.select(F.col("doc_id").alias("id"), F.col("_d.pass").alias("pass"), F.col("_d.shard").alias("shard")).dropDuplicates(["id", "pass"])
-    whole = docs.select(F.struct(*docs.columns).alias("row"))  # whatever else docs has can't clash
-    out = whole.join(draws, F.col("row")[id_col].eqNullSafe(F.col("id")))
+    draws = draws.select(F.col("doc_id").alias("id"), F.col("row_key").alias("own"), F.col("_d.pass").alias("pass"), F.col("_d.shard").alias("shard"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), row_key.alias("own"))  # whatever else docs has can't clash
+    whole = whole.groupBy("own").agg(F.first("row").alias("row"))
+    out = whole.join(draws, "own")
     # a shard lies in a few pieces, so that few shards still spread evenly over many tasks
     return out.repartition(n, "shard", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("shard", F.xxhash64("id", "pass"), "id").select("row.*")
 

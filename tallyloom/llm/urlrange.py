@@ -18,7 +18,7 @@ ignored. Empty tables give empty results; no rules: everything gets the default.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +57,14 @@ def _bounds(keys: list[str], n: int) -> list[str]:
     return [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else []
 
 
+def _place(bounds: list[str], before: Callable[[Column], Column]) -> Column:
+    """How many of the sorted bounds come before, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    edges, steps = F.lit(bounds), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(before(F.get(edges, at + step - 1)), at + step).otherwise(at))
+
+
 def _sweep(default: str):
     """Streams the sorted rows of each range; nothing but the stack is kept between rows."""
 
@@ -94,12 +102,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("_key", key_of(F.col("host")))
-    share = int(min(1.0, BOUND_SAMPLE / max(pages.count(), 1)) * 1_000_000)
-    picked = rows.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1_000_000)) < share)
+    share = common.below(BOUND_SAMPLE / max(pages.count(), 1))
+    picked = rows.where(F.xxhash64("page_id", "host", "path") <= share)
     bounds = _bounds([r[0] for r in picked.select("_key").limit(2 * BOUND_SAMPLE).collect()], RANGES_PER_TASK * n)
-    edges = F.lit(bounds) if bounds else F.array().cast("array<string>")
-    below = lambda key: F.size(F.filter(edges, lambda b: b < key))
-    equal = F.size(F.filter(edges, lambda b: b == F.col("_key")))
+    below = lambda key: _place(bounds, lambda b: b < key)
+    equal = _place(bounds, lambda b: b <= F.col("_key")) - below(F.col("_key"))
     rows = rows.withColumn("_part", below(F.col("_key")) + F.pmod(F.xxhash64("page_id"), equal + 1).cast("int"))
     rows = rows.select("_part", "_key", F.lit(1).alias("_kind"), F.lit(0).alias("_order"), "page_id", "host", "path", F.lit(None).cast("string").alias("_rule"), F.lit(None).cast("string").alias("_verdict"))
 

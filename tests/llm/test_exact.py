@@ -75,6 +75,15 @@ def test_gif_disposal_transparency_interlace():
     assert starts == [0, 50, 100, 150] and gif.histogram(canvases[3])[0b110000] == 2
     tall = head[:8] + (5).to_bytes(2, "little") + head[10:] + frame([0, 1, 2, 3, 1], 0, 0, 1, 5, 1, interlaced=True) + b"\x3b"
     assert next(iter(gif.frames_of(tall)))["samples"].ravel().tolist() == [0, 3, 2, 1, 1]
+    vast = b"GIF89a" + b"\xff" * 4 + bytes(4)
+    assert [f["error"] for f in gif.frames_of(vast)] == [True]  # neither canvas nor frame is laid out
+    wide = head + b"\x2c" + bytes(4) + b"\xff" * 4 + bytes([0, 2, 1, 0, 0]) + b"\x3b"
+    assert [f["error"] for f in gif.frames_of(wide)] == [True]
+    rng = random.Random(5)
+    for _ in range(300):  # damage anywhere: frames or an error, no exception
+        broken = bytearray(raw)
+        broken[rng.randrange(len(raw))] = rng.randrange(256)
+        assert all(isinstance(f["error"], bool | np.bool_) for f in gif.frames_of(bytes(broken)))
     assert [f["error"] for f in gif.frames_of(raw[:-20])][-1] and [f["error"] for f in gif.frames_of(b"no")] == [True]
 
 
@@ -115,6 +124,12 @@ def test_ratio_long_text(docs):
     assert (got["n_words"], got["n_repeat_words"], got["word_chars"]) == (len(words), len(inside), sum(map(len, words)))
 
 
+def test_ratio_of_many_targets(docs):
+    """Beyond the bound of broadcast ids the same weights come out."""
+    ids = docs.where("doc_id IN (4, 7, 8, 10)").select("doc_id")
+    assert ngramratio.weights(docs, ids, most=1) == ngramratio.weights(docs, ids)
+
+
 def test_ratio_empty(docs, empty):
     assert ngramratio.judge(empty, ngramratio.weights(empty, empty)).count() == 0
     model = ngramratio.weights(docs, empty)
@@ -177,8 +192,8 @@ def test_simhash_equals_brute_force(spark, docs, empty):
         want = sorted((r[0], f"{fp:016x}", first[root]) for r, fp, root in zip(rows, fps, roots, strict=True))
         assert sorted(map(tuple, simhash.near_duplicates(table).collect())) == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r[0] for r in kept.select("doc_id").collect()) == [0, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14]
+    kept = simhash.unique(docs)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()) == [0, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14]
 
 
 @pytest.mark.parametrize("run", [4, 16_384])
@@ -249,6 +264,20 @@ def test_mixed_documents(spark, docs):
         have[1] = max(have[1], r["size"])
     assert all(abs(t - x) <= biggest for (_, t), (x, biggest) in by_source.items())
     assert mixing.mixed_documents(docs).columns == docs.columns
+    # rows that share an id are drawn one by one, equal rows as often as together
+    rows = [(7, f"{'word ' * (i + 1)}", "abcdefg"[i % 7]) for i in range(60)] + [(1, "equal text", "a")] * 5 + [(None, "no id", None)] * 3
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(some).collect())
+    for r in mixing.mix(some, whole_documents=True, row_key=F.xxhash64("doc_id", "text", "source")).collect():
+        want[r["doc_id"], r["size"]] += len(r["draws"])
+    assert Counter({k: n for k, n in want.items() if n}) == sum((Counter({(i, len(t.split())): n}) for (i, t), n in got.items()), Counter())
+
+
+def test_mixing_many_sources(spark):
+    """More sources than are broadcast: the same plan."""
+    rows = [(i, "w " * (i % 9), f"s{i % 300:03d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, mixing.mix(df, sent=10).collect())) == sorted(map(tuple, mixing.mix(df).collect()))
 
 
 # ---- op9, op10
