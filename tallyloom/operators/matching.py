@@ -3,15 +3,19 @@
 Recall joins items that share a token, but lists of a token hold only its first ``POSTING`` items in
 input order, so no token pairs up more than that; each item keeps its best ``k`` partners. Clustering
 splits by components of positive edges, which no merge can cross; each component is one group and the
-sequential greedy runs inside it.
+sequential greedy runs inside it, on a heap of gains.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import ordering
+
 POSTING, K = 128, 6
 #: Gain of a merge: positive edges less this times negative ones.
 WEIGHT = 2.0
@@ -32,24 +36,37 @@ def image_tokens(pixels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("v:"), i.cast("string"), F.lit(":"), F.array_join(F.slice(bits, i * 16 + 1, 16), "")))
 
 
-def postings(items: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """token, ordinal, place: place counts the token's holders in input order."""
-    rows = items.select("ordinal", F.explode(tokens).alias("token"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("ordinal")))
+def recall(items: DataFrame, tokens: str = "tokens", posting: int = POSTING, k: int = K, identity: str = "identity") -> DataFrame:
+    """a < b, score: pairs found from either side. An item scores others by tokens whose list holds the
+    other, ties by the other's identity; the pair's score counts tokens whose list holds the later one."""
+    rows = items.select("ordinal", F.col(identity).alias("_who"), F.explode(tokens).alias("token"))
+    # lists hold a token's first items, so a token gives at most ``posting`` rows for each of its holders
+    place = F.row_number().over(Window.partitionBy("token").orderBy("ordinal"))
+    lists = rows.withColumn("place", place).where(F.col("place") <= posting).select(F.col("ordinal").alias("j"), F.col("_who").alias("who"), "token")
+    found = rows.select(F.col("ordinal").alias("i"), "token").join(lists, "token").where("i <> j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.first("who").alias("who"))
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "who", "j")))
+    # seen from the earlier item, the list holds the later one; rows of both sides meet in one aggregation
+    a, b = F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")
+    pairs = best.select(a, b, (F.col("_r") <= k).alias("kept"), F.when(F.col("i") < F.col("j"), F.col("n")).alias("n")).groupBy("a", "b").agg(F.max("kept").alias("kept"), F.max("n").alias("n"))
+    return pairs.where("kept").select("a", "b", F.coalesce("n", F.lit(0)).alias("score"))
 
 
-def recall(items: DataFrame, tokens: str = "tokens", posting: int = POSTING, k: int = K) -> DataFrame:
-    """a < b, score: pairs found from either side. An item scores others by tokens whose list holds the
-    other; the pair's score counts tokens whose list holds the later one."""
-    held = postings(items, tokens)
-    lists = held.where(F.col("place") <= posting)
-    seekers = held.select(F.col("ordinal").alias("i"), "token")
-    found = seekers.join(lists.select(F.col("ordinal").alias("j"), "token"), "token").where("i <> j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "j"))).where(F.col("_r") <= k)
-    pairs = best.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    # seen from the earlier item, the list holds the later one
-    score = found.select(F.col("i").alias("a"), F.col("j").alias("b"), "n")
-    return pairs.join(score, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("score"))
+def evidence_version(name: Column, image: Column) -> Column:
+    """What a judgment was made on: the item's name and picture."""
+    return F.sha2(F.to_json(F.array(F.coalesce(name, F.lit("")), F.coalesce(image.cast("string"), F.lit("")))), 256)
+
+
+def pair_key(one: Column, other: Column) -> Column:
+    """Of two versions, in either order."""
+    return F.sha2(F.concat_ws("|", F.least(one, other), F.greatest(one, other)), 256)
+
+
+def spread_edges(edges: DataFrame, items: DataFrame) -> DataFrame:
+    """a <= b, positive: a judgment on two versions holds for every two items that have them. edges: va, vb,
+    positive; items: ordinal, version."""
+    of = lambda v, n: items.select(F.col("version").alias(v), F.col("ordinal").alias(n))
+    both = edges.join(of("va", "x"), "va").join(of("vb", "y"), "vb").where("x <> y")
+    return both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("positive").alias("positive"))
 
 
 def judged(pairs: DataFrame, floor: int = 0) -> DataFrame:
@@ -59,12 +76,12 @@ def judged(pairs: DataFrame, floor: int = 0) -> DataFrame:
     return out.withColumn("positive", F.col("same") & (F.col("confidence") >= SURE))
 
 
-def components(edges: DataFrame, cut, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, cut) -> DataFrame:
     """(node, root): smallest node reachable. Labels move to the smallest neighbour's label and then jump
-    to their label's label; ``cut`` materialises each round."""
+    to their label's label, so chains halve; labels only fall, so it ends. ``cut`` materialises each round."""
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")).withColumnRenamed("u", "node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("m"))
         moved = labels.join(near, labels["node"] == near["u"]).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
         of = labels.select(F.col("node").alias("_n"), F.col("root").alias("_far"))
@@ -72,44 +89,124 @@ def components(edges: DataFrame, cut, rounds: int = 50) -> DataFrame:
         labels = moved.select("node", "root")
         if not moved.where("root <> was").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
-
-
-def greedy(nodes: list[int], positive: set, negative: set, weight: float = WEIGHT) -> dict[int, int]:
-    """node -> cluster (its smallest node): merge the pair of clusters with the largest gain above 0,
-    ties by the pair's ids, until none is left."""
-    group = {n: [n] for n in sorted(nodes)}
-    gain: dict[tuple[int, int], float] = {}
-    for sign, edges in ((1.0, positive), (-weight, negative)):
-        for a, b in edges:
-            key = (min(a, b), max(a, b))
-            gain[key] = gain.get(key, 0.0) + sign
-    while gain:
-        (a, b), g = min(gain.items(), key=lambda x: (-x[1], x[0]))
-        if g <= 0:
-            break
-        group[a] += group.pop(b)
-        for (x, y), g in [i for i in gain.items() if b in i[0]]:
-            del gain[(x, y)]
-            other = y if x == b else x
-            if other != a:
-                key = (min(a, other), max(a, other))
-                gain[key] = gain.get(key, 0.0) + g
-    return {n: c for c, members in group.items() for n in members}
-
 
-def clusters(items: DataFrame, edges: DataFrame, cut, weight: float = WEIGHT) -> DataFrame:
-    """ordinal, cluster. edges: a, b, positive."""
-    roots = components(edges.where("positive"), cut)
-    inside = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra = rb")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = {s: set(zip(g["a"], g["b"], strict=True)) for s, g in rows.groupby("positive")}
-        found = greedy(sorted({*rows["a"], *rows["b"]}), sides.get(True, set()), sides.get(False, set()), weight)
+def greedy(versions: dict[int, str], edges: list[tuple[str, str, bool]], excluded: list[tuple[int, int]] = (), weight: float = WEIGHT) -> dict[int, int]:
+    """item -> cluster (its smallest item). Merge the two clusters with the largest gain above 0 (positive pairs
+    across less weight times negative ones), ties by their ids, unless an excluded pair lies across; until none is
+    left. A judgment on two versions counts for each pair of items that have them. What no one judged costs nothing."""
+    holders: dict[str, list[int]] = {}
+    for item, v in sorted(versions.items()):
+        holders.setdefault(v, []).append(item)
+    links: dict[int, dict[int, list[int]]] = {i: {} for i in versions}  # cluster -> cluster -> [positive, negative]
+    for va, vb, good in {(min(a, b), max(a, b), good) for a, b, good in edges}:
+        for x in holders.get(va, ()):
+            for y in holders.get(vb, ()):
+                if x < y or x > y and va != vb:
+                    both = links[x].get(y)
+                    if both is None:
+                        links[x][y] = links[y][x] = both = [0, 0]
+                    both[0 if good else 1] += 1
+    members, apart = {i: [i] for i in versions}, {i: set() for i in versions}
+    for x, y in excluded:
+        if x in apart and y in apart and x != y:
+            apart[x].add(y)
+            apart[y].add(x)
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(x: int, y: int) -> None:
+        good, bad = links[x][y]
+        if good - weight * bad > 0:
+            heapq.heappush(heap, (weight * bad - good, min(x, y), max(x, y)))
+
+    for x, near in links.items():
+        for y in near:
+            if x < y:
+                offer(x, y)
+    while heap:
+        cost, x, y = heapq.heappop(heap)
+        both = links.get(x, {}).get(y)
+        if both is None or weight * both[1] - both[0] != cost or y in apart[x]:
+            continue  # merged or counted anew since, or kept apart
+        # y's links move to x, the smaller id
+        del links[x][y]
+        for z, (good, bad) in links.pop(y).items():
+            if z == x:
+                continue
+            del links[z][y]
+            old = links[x].get(z)
+            if old is None:
+                links[x][z] = links[z][x] = [good, bad]
+            else:
+                old[0] += good
+                old[1] += bad
+            offer(x, z)
+        for z in apart.pop(y):
+            apart[z].discard(y)
+            apart[z].add(x)
+            apart[x].add(z)
+        members[x] += members.pop(y)
+    return {i: c for c, some in members.items() for i in some}
+
+
+def assemble(items: DataFrame, edges: DataFrame, cut, frozen: DataFrame | None = None, excluded: DataFrame | None = None, weight: float = WEIGHT) -> DataFrame:
+    """ordinal, cluster: the constrained clustering. items: ordinal, version; edges: va, vb, positive; frozen
+    (ordinal, group): items of confirmed groups, which neither grow nor part and come back under their smallest item;
+    excluded (a, b): items that never share a group.
+
+    No merge crosses a component of positive judgments, so each is one group of work. An item's version stands for
+    it until then, so a version that many items share adds no pairs."""
+    active = items.select("ordinal", "version")
+    if frozen is not None:
+        active = active.join(frozen.select("ordinal"), "ordinal", "left_anti")
+    held = active.select("version").distinct()
+    known = edges.select("va", "vb", "positive").distinct()
+    known = cut(known.join(held.select(F.col("version").alias("va")), "va", "left_semi").join(held.select(F.col("version").alias("vb")), "vb", "left_semi"))
+    roots = components(known.where("positive").select(F.col("va").alias("a"), F.col("vb").alias("b")), cut)
+    root = lambda v, r: roots.select(F.col("node").alias(v), F.col("root").alias(r))
+    inside = known.join(root("va", "root"), "va").join(root("vb", "_other"), "vb").where("root = _other")
+    placed = active.join(root("version", "root"), "version")
+    none = F.lit(None).cast("long")
+    rows = placed.select("root", F.lit("item").alias("kind"), F.col("ordinal").alias("x"), none.alias("y"), F.col("version").alias("v"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("boolean").alias("positive"))
+    rows = rows.union(inside.select("root", F.lit("edge"), none, none, "va", "vb", "positive"))
+    if excluded is not None:
+        of = lambda n, r: placed.select(F.col("ordinal").alias(n), F.col("root").alias(r))
+        pairs = excluded.select("a", "b").join(of("a", "root"), "a").join(of("b", "_other"), "b").where("root = _other")
+        rows = rows.union(pairs.select("root", F.lit("apart"), "a", "b", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        some, judged_, apart = (pdf[pdf["kind"] == k] for k in ("item", "edge", "apart"))
+        found = greedy(
+            dict(zip(some["x"].astype(int), some["v"], strict=True)), [(a, b, bool(p)) for a, b, p in zip(judged_["v"], judged_["w"], judged_["positive"], strict=True)],
+            [(int(a), int(b)) for a, b in zip(apart["x"], apart["y"], strict=True)], weight,
+        )
         return pd.DataFrame({"ordinal": list(found), "cluster": list(found.values())})
 
-    placed = inside.select(F.col("ra").alias("root"), "a", "b", "positive").groupBy("root").applyInPandas(run, "ordinal long, cluster long")
-    return items.select("ordinal").join(placed, "ordinal", "left").select("ordinal", F.coalesce("cluster", "ordinal").alias("cluster"))
+    made = rows.groupBy("root").applyInPandas(run, "ordinal long, cluster long")
+    out = active.select("ordinal").join(made, "ordinal", "left").select("ordinal", F.coalesce("cluster", "ordinal").alias("cluster"))
+    if frozen is not None:
+        kept = frozen.join(items.select("ordinal"), "ordinal", "left_semi")
+        out = out.union(kept.select("ordinal", F.min("ordinal").over(Window.partitionBy("group"))))
+    return out
+
+
+def clusters(items: DataFrame, edges: DataFrame, cut, weight: float = WEIGHT) -> DataFrame:
+    """ordinal, cluster, without constraints: every item is its own version. edges: a, b, positive."""
+    each = items.select("ordinal", F.col("ordinal").cast("string").alias("version"))
+    return assemble(each, edges.select(F.col("a").cast("string").alias("va"), F.col("b").cast("string").alias("vb"), "positive"), cut, weight=weight)
+
+
+def named(placed: DataFrame, groups: DataFrame, cut) -> DataFrame:
+    """cluster, group_id: a cluster with just the members of an earlier group keeps its id; others get M0, M1, ... in
+    order of their smallest items, used numbers skipped. groups: group_id, ordinal."""
+    sets = lambda df, by: df.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("ordinal")), ",").alias("_all"))
+    before = sets(groups, "group_id").groupBy("_all").agg(F.min("group_id").alias("old"))
+    now = sets(placed, "cluster").join(before, "_all", "left").select("cluster", "old")
+    used = groups.select("group_id").distinct().where(F.col("group_id").rlike("^M[0-9]+$")).select(F.substring("group_id", 2, 20).cast("long").alias("n"))
+    serial = ordering.numbered(now.select("cluster"), "cluster", name="nth")
+    free = now.sparkSession.range(placed.select("cluster").distinct().count() + used.count()).select(F.col("id").alias("n")).join(used, "n", "left_anti")
+    free = ordering.numbered(free, "n", name="nth")
+    return now.join(serial, "cluster").join(free, "nth").select("cluster", F.coalesce("old", F.concat(F.lit("M"), F.col("n").cast("string"))).alias("group_id"))
 
 
 def candidates(edges: DataFrame, placed: DataFrame) -> DataFrame:

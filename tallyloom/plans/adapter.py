@@ -2,7 +2,8 @@
 
 Each text names its inputs in braces; ``Views.sql`` binds them as DataFrames, ``duck`` spells them out as
 common table expressions. ``EPOCHMS(x)`` stands for milliseconds since 1970 and ``ISOYEAR(x)`` for the
-year of a date's ISO week, in either engine.
+year of a date's ISO week, ``JOINED_SET(x)`` for a group's sorted distinct values, ``HEX7(x)`` for the number
+that seven hex digits spell, in either engine.
 """
 
 from __future__ import annotations
@@ -14,23 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
-    # a daily stock series: the last event of a day counts; some offers switch to a single default SKU
+    # a daily stock series: the last event of a day counts, some without a readable stock; some offers switch
+    # to a single default SKU
     "inventory": """
-        SELECT shop, offer, sku, date, max(event_id) AS observed, CAST(floor(max_by(value, event_id)) AS BIGINT) AS stock, max_by(value, event_id) AS price
-        FROM (SELECT event_id, value, 'S' || CAST(user_id % 12 AS STRING) AS shop, CAST(user_id AS STRING) AS offer, CAST(ts AS DATE) AS date,
+        SELECT shop, offer, sku, date, event_id AS observed, CAST(floor(value) AS BIGINT) AS stock, value AS price
+        FROM (SELECT *, row_number() OVER (PARTITION BY shop, offer, sku, date ORDER BY event_id DESC) AS nth FROM (SELECT event_id, CASE WHEN event_id % 41 = 0 THEN NULL ELSE value END AS value, 'S' || CAST(user_id % 12 AS STRING) AS shop, CAST(user_id AS STRING) AS offer, CAST(ts AS DATE) AS date,
             CASE WHEN user_id % 3 = 0 AND day(CAST(ts AS DATE)) BETWEEN 11 AND 17 THEN 'default' ELSE event_type END AS sku
-          FROM {events} WHERE value IS NOT NULL) x
-        GROUP BY shop, offer, sku, date""",
+          FROM {events}) x) y WHERE nth = 1""",
     "event_log": """
         SELECT event_id AS id, day(ts) AS round_id, 'S' || CAST(user_id % 12 AS STRING) AS shop,
           CASE event_type WHEN 'view' THEN 'popup_open' WHEN 'click' THEN 'click_ok' WHEN 'signup' THEN 'click_deny' WHEN 'purchase' THEN 'deny_hit' ELSE 'verification_appear' END AS event,
           CASE WHEN event_id % 2 = 0 THEN 'listing' ELSE 'detail' END AS phase, ts,
           'page=' || CAST(event_id % 7 AS STRING) || '&idx=' || CAST(event_id % 30 AS STRING) AS note, user_id
         FROM {events}""",
+    # clicked cards with all their outcomes
+    "click_log": """
+        SELECT event_id AS id, day(ts) AS round_id, 'S' || CAST(user_id % 12 AS STRING) AS shop,
+          CASE WHEN event_id % 97 = 0 THEN 'click_parse_error' WHEN event_id % 9 = 0 THEN 'click_skipped' WHEN event_id % 5 = 0 THEN 'click_url_notoffer' WHEN event_type = 'click' THEN 'click_ok' WHEN event_type IN ('signup', 'view') THEN 'click_deny' ELSE 'click_no_popup' END AS event,
+          CASE WHEN event_id % 113 = 0 THEN 'no place' ELSE 'page=' || CAST(event_id % 7 AS STRING) || '&idx=' || CAST(event_id % 60 AS STRING) END AS note
+        FROM {events}""",
+    # visits, pauses and resumptions of rounds; a round is a day
+    "pacing_log": """
+        SELECT event_id AS id, day(ts) AS round_id, CASE WHEN event_id % 53 = 0 THEN 'pause' WHEN event_id % 53 = 3 THEN 'resume' WHEN event_type = 'error' THEN 'other' ELSE 'pacing_visit' END AS event, ts, date_trunc('day', ts) + INTERVAL '24' HOUR - INTERVAL '5' MINUTE AS day_end
+        FROM {events} WHERE day(ts) % 3 <> 0 OR hour(ts) < 20""",
     "snapshots": """
         SELECT l_orderkey % 20 AS round_id, l_suppkey % 12 AS shop, l_partkey AS offer, CAST(l_quantity AS BIGINT) AS sku, CAST(l_linenumber AS BIGINT) AS attempt,
           CASE l_returnflag WHEN 'N' THEN 'success' WHEN 'R' THEN 'failed' ELSE 'skipped' END AS status, l_extendedprice AS price, l_orderkey, l_shipdate AS seen_at
         FROM {lineitem}""",
+    # the listing; what was visited without being listed is an orphan: here the last lines of the longest orders
     "shop_offers": """SELECT DISTINCT round_id, shop, offer FROM {snapshots} WHERE attempt <= 6""",
     "shop_rounds": """
         SELECT round_id, shop, count(*) + CASE WHEN (round_id * 7 + shop) % 10 = 0 THEN 1 ELSE 0 END AS declared FROM {shop_offers} GROUP BY round_id, shop""",
@@ -46,7 +58,7 @@ VIEWS = {
         GROUP BY m, shop, offer, sku, date""",
     # items for matching, in the order of their ids; images repeat
     "products": """
-        SELECT doc_id AS ordinal, 'S' || CAST(doc_id % 12 AS STRING) AS shop, substring(text, 1, 40) AS name, doc_id % 500 AS image, source FROM {documents} WHERE doc_id IS NOT NULL AND text IS NOT NULL""",
+        SELECT p_partkey AS ordinal, 'S' || CAST(p_partkey % 12 AS STRING) AS shop, CAST(p_partkey AS STRING) AS offer, p_name || ' ' || p_brand AS name, p_partkey % 500 AS image, p_type AS source FROM {part} WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL""",
     "weekly_plan": """
         SELECT s_suppkey AS shop, CAST(s_suppkey % 25 AS BIGINT) AS pages, w AS week, 'm' || CAST((s_suppkey * 7 + w * (s_suppkey % 4)) % 3 + 1 AS STRING) AS machine
         FROM {supplier} CROSS JOIN (SELECT 1 AS w UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) weeks""",
@@ -71,6 +83,8 @@ class Views:
     def sql(self, text: str, **more: DataFrame) -> DataFrame:
         text = re.sub(r"EPOCHMS\(([^()]*)\)", r"(unix_micros(CAST(\1 AS TIMESTAMP)) DIV 1000)", text)
         text = re.sub(r"ISOYEAR\(([^()]*)\)", r"extract(yearofweek FROM \1)", text)
+        text = re.sub(r"JOINED_SET\((\w+)\)", r"array_join(array_sort(collect_set(\1)), ',')", text)
+        text = re.sub(r"HEX7\((substring\([^()]*\))\)", r"CAST(conv(\1, 16, 10) AS BIGINT)", text)
         return self.spark.sql(text, **{n: more[n] if n in more else self[n] for n in _inputs(text)})
 
 
@@ -86,6 +100,8 @@ def duck(text: str) -> str:
 
     visit(text)
     text = re.sub(r"EPOCHMS\(([^()]*)\)", r"(epoch_us(\1) // 1000)", text)
+    text = re.sub(r"JOINED_SET\((\w+)\)", r"array_to_string(list_sort(list_distinct(list(\1))), ',')", text)
+    text = re.sub(r"HEX7\((substring\([^()]*\))\)", r"CAST('0x' || \1 AS BIGINT)", text)
     spell = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
     views = ", ".join(f"{n} AS ({spell(VIEWS[n])})" for n in need)
     body = spell(text).strip()

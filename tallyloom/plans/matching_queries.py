@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import matching, planning
 from tallyloom.plans.adapter import Views, duck
+from tallyloom.plans.shared import cut as _cut
 from tallyloom.sources import packages
 from tallyloom.streaming import events
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialised in the shared folder; the recursion's plan would grow with each round otherwise."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+def _items(v: Views) -> DataFrame:
+    """Products with the tokens of their names and, where there is one, of their pictures."""
+    pictures = v["embeddings"].select(F.col("vec_id").alias("image"), matching.image_tokens(F.col("embedding")).alias("_seen"))
+    rows = v["products"].join(pictures, "image", "left").withColumn("identity", F.concat_ws("/", "shop", "offer"))
+    return rows.withColumn("tokens", F.array_union(matching.name_tokens(F.col("name")), F.coalesce("_seen", F.array().cast("array<string>")))).drop("_seen")
 
 
-def _items(v: Views) -> DataFrame:
-    return v["products"].withColumn("tokens", matching.name_tokens(F.col("name")))
+def _versions(v: Views) -> DataFrame:
+    return v["products"].select("ordinal", matching.evidence_version(F.col("name"), F.col("image")).alias("version"))
 
 
 def _edges(v: Views) -> DataFrame:
     return matching.judged(matching.recall(_items(v)))
 
 
+def _judgments(v: Views) -> DataFrame:
+    """The same, kept by versions: judged under one signature, the others don't count."""
+    of = lambda x, n: _versions(v).select(F.col("ordinal").alias(x), F.col("version").alias(n))
+    rows = _edges(v).join(of("a", "va"), "a").join(of("b", "vb"), "b")
+    return rows.withColumn("signature", F.when(F.pmod(F.col("a") + F.col("b"), F.lit(9)) == 0, "old").otherwise("now")).where("signature = 'now'")
+
+
 def _clusters(v: Views) -> tuple[DataFrame, DataFrame]:
     edges = _cut(_edges(v))
     return edges, matching.clusters(v["products"], edges, _cut)
 
 
+def _constrained(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Confirmed groups: products of one picture among those of low numbers; excluded: neighbours of a shop."""
+    p = v["products"]
+    frozen = p.where("image < 20").select("ordinal", F.concat(F.lit("M"), F.col("image").cast("string")).alias("group"))
+    excluded = p.select(F.col("ordinal").alias("a"), (F.col("ordinal") + 12).alias("b")).where("a % 5 = 0")
+    judged = _cut(_judgments(v).select("va", "vb", "positive").groupBy("va", "vb").agg(F.max("positive").alias("positive")))
+    return frozen, matching.assemble(_versions(v), judged, _cut, frozen, excluded)
+
+
+def _group_ids(v: Views) -> DataFrame:
+    frozen, placed = _constrained(v)
+    placed = _cut(placed)
+    return matching.named(placed, frozen.select(F.col("group").alias("group_id"), "ordinal"), _cut).join(placed, "cluster").select("ordinal", "group_id")
+
+
 def _images(v: Views) -> DataFrame:
     return v["embeddings"].select("vec_id", F.explode(matching.image_tokens(F.col("embedding"))).alias("token"))
 
@@ -53,7 +73,10 @@ QUERIES = {
     "style_clusters": lambda v: _clusters(v)[1],
     "candidate_labels": lambda v: matching.candidates(*_clusters(v)),
     "cluster_replay": lambda v: matching.replay(*_clusters(v)),
-    "pair_keys": lambda v: _edges(v).select("a", "b", F.sha2(F.concat_ws("|", F.sha2(F.col("a").cast("string"), 256), F.sha2(F.col("b").cast("string"), 256)), 256).alias("pair_key")),
+    "pair_keys": lambda v: _judgments(v).select("a", "b", matching.pair_key(F.col("va"), F.col("vb")).alias("pair_key")),
+    "version_edges": lambda v: matching.spread_edges(_judgments(v).select("va", "vb", "positive").distinct(), _versions(v)),
+    "constrained_groups": lambda v: _constrained(v)[1],
+    "group_names": _group_ids,
     "page_titles": lambda v: v["pages"].select("page_id", text.title(F.col("html")).alias("title")),
     "page_links": lambda v: v["pages"].select("page_id", F.posexplode(text.links(F.col("html"))).alias("nth", "link")),
     "prices": lambda v: _amounts(v).select("event_id", text.price(F.col("raw")).alias("price")),
@@ -72,11 +95,16 @@ QUERIES = {
 _TOKENS = r"""tok AS (SELECT DISTINCT ordinal, 't:' || substr(bare, CAST(i AS INT), 2) AS token FROM (SELECT ordinal, bare, unnest(generate_series(1, length(bare) - 1)) AS i FROM (
   SELECT ordinal, lower(regexp_replace(name, '[^\pL\pN]', '', 'g')) AS bare FROM {products}) WHERE length(bare) > 1))"""
 _PAIRS = f"""{_TOKENS},
-held AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ordinal) AS place FROM tok),
-found AS (SELECT s.ordinal AS i, l.ordinal AS j, count(*) AS n FROM held s JOIN held l ON s.token = l.token AND l.place <= 128 AND s.ordinal <> l.ordinal GROUP BY 1, 2),
-pairs AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS r FROM found) WHERE r <= 6),
+pic AS (SELECT vec_id, embedding AS e, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS mean FROM {{embeddings}}),
+seen AS (SELECT ordinal, token FROM tok UNION SELECT ordinal, 'v:' || i || ':' || array_to_string(list_transform(e[i * 16 + 1:i * 16 + 16], lambda x: CASE WHEN x::DOUBLE >= mean THEN '1' ELSE '0' END), '') FROM {{products}} JOIN pic ON vec_id = image, (SELECT unnest([0, 1, 2, 3]) AS i)),
+held AS (SELECT ordinal, token, row_number() OVER (PARTITION BY token ORDER BY ordinal) AS place FROM seen),
+capped AS MATERIALIZED (SELECT ordinal, token FROM held WHERE place <= 128),
+found AS MATERIALIZED (SELECT s.ordinal AS i, l.ordinal AS j, count(*) AS n FROM held s JOIN capped l ON s.token = l.token AND s.ordinal <> l.ordinal GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY n DESC, shop || '/' || offer, j) AS r FROM found JOIN {{products}} p ON p.ordinal = j) WHERE r <= 6),
 recalled AS (SELECT a, b, coalesce(n, 0) AS score FROM pairs LEFT JOIN found ON i = a AND j = b),
 edges AS (SELECT *, same AND confidence >= 0.8 AS positive FROM (SELECT *, score >= 20 AS same, ((a * 31 + b * 17) % 100) / 100.0::DOUBLE AS confidence FROM recalled))"""
+_JUDGED = """ver AS (SELECT ordinal, sha256('["' || name || '","' || image || '"]') AS version FROM {products}),
+judged AS (SELECT a, b, x.version AS va, y.version AS vb, positive FROM edges JOIN ver x ON x.ordinal = a JOIN ver y ON y.ordinal = b WHERE (a + b) % 9 <> 0)"""
 
 SQL = {
     "name_tokens": duck(f"WITH {_TOKENS} SELECT * FROM tok"),
@@ -87,7 +115,8 @@ SQL = {
     "score_curve": duck(f"WITH {_PAIRS} SELECT score, count(*) AS n, CAST(sum(CAST(positive AS INT)) AS BIGINT) AS positives FROM edges GROUP BY score"),
     "positive_components": duck(f"""WITH RECURSIVE {_PAIRS}, u AS (SELECT a, b FROM edges WHERE positive UNION SELECT b, a FROM edges WHERE positive),
       reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node"""),
-    "pair_keys": duck(f"WITH {_PAIRS} SELECT a, b, sha256(sha256(CAST(a AS VARCHAR)) || '|' || sha256(CAST(b AS VARCHAR))) AS pair_key FROM edges"),
+    "pair_keys": duck(f"WITH {_PAIRS}, {_JUDGED} SELECT a, b, sha256(least(va, vb) || '|' || greatest(va, vb)) AS pair_key FROM judged"),
+    "version_edges": duck(f"WITH {_PAIRS}, {_JUDGED} SELECT least(x.ordinal, y.ordinal) AS a, greatest(x.ordinal, y.ordinal) AS b, bool_or(positive) AS positive FROM judged JOIN ver x ON x.version = va JOIN ver y ON y.version = vb WHERE x.ordinal <> y.ordinal GROUP BY 1, 2"),
     "page_titles": """SELECT page_id, substr(trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*og:title[^>]*content="([^"]*)"', 1), ''), nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '')), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), 1, 300) AS title FROM pages""".replace("\\\\", "\\"),
     "page_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages), f AS (SELECT page_id, link, min(i) AS i FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM l) GROUP BY 1, 2)
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS nth, link FROM f""",

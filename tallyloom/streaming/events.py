@@ -5,22 +5,22 @@ Queries run over what is there and stop (``availableNow``); results go to the sh
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.plans import shared
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Files of a table as a stream, one file a micro-batch."""
     schema = spark.read.parquet(f"{path}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{path}/{table}*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{path}/{table}.parquet*")
 
 
 def finished(stream: DataFrame) -> DataFrame:
@@ -52,7 +52,6 @@ def deny_windows(events: DataFrame, width: str = "2 hours") -> DataFrame:
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("starts"), "shop", "denies")
 
 
-def first_seen(events: DataFrame, delay: str = "40 days") -> DataFrame:
-    """One row for each user and day, late rows within the delay counted as repeats."""
-    rows = events.select(F.col("ts").cast("timestamp").alias("at"), "user_id", F.col("ts").cast("date").alias("date")).withWatermark("at", delay)
-    return rows.dropDuplicatesWithinWatermark(["user_id", "date"]).select("user_id", "date")
+def first_seen(events: DataFrame) -> DataFrame:
+    """One row for each user and day, however late it comes: the state is a row for each."""
+    return events.select("user_id", F.col("ts").cast("date").alias("date")).dropDuplicates(["user_id", "date"])

@@ -55,11 +55,63 @@ def test_sum_of_skus(spark):
 
 
 def test_recall_scores_and_cap(spark):
-    items = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["a", "b"]), (2, ["c"])], "ordinal long, tokens array<string>")
+    items = spark.createDataFrame([(0, "A0", ["a", "b", "c"]), (1, "A1", ["a", "b"]), (2, "A2", ["c"])], "ordinal long, identity string, tokens array<string>")
     assert {tuple(r) for r in matching.recall(items).collect()} == {(0, 1, 2), (0, 2, 1)}
-    many = spark.createDataFrame([(i, ["v"]) for i in range(130)], "ordinal long, tokens array<string>")
+    many = spark.createDataFrame([(i, f"A{i:03d}", ["v"]) for i in range(130)], "ordinal long, identity string, tokens array<string>")
     got = {(r["a"], r["b"]): r["score"] for r in matching.recall(many).collect()}
     assert got[0, 129] == 0 and got[0, 1] == 1  # the last item finds others, but no list holds it
+    back = many.withColumn("identity", F.concat(F.lit("B"), F.lpad((F.lit(500) - F.col("ordinal")).cast("string"), 3, "0")))
+    assert (0, 127) in {(r["a"], r["b"]) for r in matching.recall(back).collect()}  # ties go by identity, not by place
+
+
+def merged(nodes, positive, negative, weight=2.0):
+    """Every item its own version."""
+    return matching.greedy({n: str(n) for n in nodes}, [(str(a), str(b), s) for s, es in ((True, positive), (False, negative)) for a, b in es], weight=weight)
+
+
+def rescanned(versions, edges, excluded, weight):
+    """The clustering's rule by looking at all pairs of clusters at each step."""
+    group = {i: i for i in versions}
+    judged = {(frozenset((a, b)), s) for a, b, s in edges}
+    while True:
+        best = None
+        for x, y in itertools.combinations(sorted(set(group.values())), 2):
+            left, right = ([i for i in versions if group[i] == c] for c in (x, y))
+            good, bad = (sum((frozenset((versions[i], versions[j])), s) in judged for i in left for j in right) for s in (True, False))
+            across = any({group[a], group[b]} == {x, y} for a, b in excluded if a in group and b in group)
+            if good - weight * bad > 0 and not across and (best is None or (weight * bad - good, x, y) < best):
+                best = (weight * bad - good, x, y)
+        if best is None:
+            return group
+        group = {i: best[1] if c == best[2] else c for i, c in group.items()}
+
+
+def test_constrained_clusters_equal_rescanning(spark):
+    """Versions that items share, judgments of a version with itself, excluded pairs, frozen groups; in one go and by
+    components on Spark."""
+    rng = random.Random(8)
+    every, number = [], 0
+    for trial in range(40):
+        versions = {number + i: f"{trial}:{rng.randrange(5)}" for i in range(9)}
+        names = sorted(set(versions.values()))
+        edges = [(a, b, rng.random() < 0.6) for a, b in itertools.combinations_with_replacement(names, 2) if rng.random() < 0.6]
+        excluded = [tuple(rng.sample(sorted(versions), 2)) for _ in range(3)] + [(number, 10**6)]
+        frozen = rng.sample(sorted(versions), 2) if trial % 2 else []
+        live = {i: v for i, v in versions.items() if i not in frozen}
+        want = rescanned(live, edges, excluded, 2.0)
+        assert matching.greedy(live, edges, excluded) == want
+        every.append((versions, edges, excluded, frozen, want | {i: min(frozen) for i in frozen}))
+        number += 9
+    items = spark.createDataFrame([r for v, *_ in every for r in v.items()], "ordinal long, version string")
+    edges = spark.createDataFrame([e for _, es, *_ in every for e in es], "va string, vb string, positive boolean")
+    excluded = spark.createDataFrame([p for _, _, ps, *_ in every for p in ps], "a long, b long")
+    frozen = spark.createDataFrame([(i, f"G{k}") for k, x in enumerate(every) for i in x[3]] + [(10**7, "G1")], "ordinal long, group string")
+    cut = lambda d: d.checkpoint()
+    placed = matching.assemble(items, edges, cut, frozen, excluded)
+    assert {r[0]: r[1] for r in placed.collect()} == {i: c for x in every for i, c in x[4].items()}
+    groups = frozen.select(F.col("group").alias("group_id"), "ordinal").union(spark.createDataFrame([("M1", 10**8)], "g string, o long"))
+    names = {r["cluster"]: r["group_id"] for r in matching.named(placed, groups.where("ordinal < 10000000"), cut).collect()}
+    assert len(set(names.values())) == len(names) and all(names[min(x[3])] == f"G{k}" for k, x in enumerate(every) if x[3])
 
 
 @pytest.mark.parametrize(
@@ -74,7 +126,7 @@ def test_recall_scores_and_cap(spark):
 )
 def test_greedy_clusters(spark, positive, negative, weight, want):
     nodes = sorted({*itertools.chain(*want)})
-    found = matching.greedy(nodes, positive, negative, weight)
+    found = merged(nodes, positive, negative, weight)
     groups = lambda f: sorted(sorted(n for n in nodes if f[n] == c) for c in set(f.values()))
     assert groups(found) == sorted(map(sorted, want))
     edges = spark.createDataFrame([(*e, s) for s, es in ((True, positive), (False, negative)) for e in es], "a long, b long, positive boolean")
@@ -91,13 +143,13 @@ def test_components_law():
         edges = [e for e in itertools.combinations(nodes, 2) if rng.random() < 0.5]
         positive = {e for e in edges if rng.random() < 0.4}
         negative = set(edges) - positive
-        whole = matching.greedy(nodes, positive, negative)
-        root = matching.greedy(nodes, positive, set(), 0)
+        whole = merged(nodes, positive, negative)
+        root = merged(nodes, positive, set(), 0)
         apart = {}
         for c in set(root.values()):
             inside = [n for n in nodes if root[n] == c]
             keep = lambda es, c=c: {e for e in es if root[e[0]] == root[e[1]] == c}
-            apart |= matching.greedy(inside, keep(positive), keep(negative))
+            apart |= merged(inside, keep(positive), keep(negative))
         assert whole == apart
 
 
