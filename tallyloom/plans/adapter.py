@@ -59,6 +59,29 @@ VIEWS = {
     # items for matching, in the order of their ids; images repeat
     "products": """
         SELECT p_partkey AS ordinal, 'S' || CAST(p_partkey % 12 AS STRING) AS shop, CAST(p_partkey AS STRING) AS offer, p_name || ' ' || p_brand AS name, p_partkey % 500 AS image, p_type AS source FROM {part} WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL""",
+    # what machines hold together: runs of three neighbours, and some pairs across them; some members were recorded
+    # with other evidence than today's, some are not among today's products
+    "relations": """
+        SELECT relation, machine, confirmed, member, version FROM (
+          SELECT 'r' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) AS STRING) AS relation, 'm' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) % 3 + 1 AS STRING) AS machine, CAST(floor(ordinal / 3.0) AS BIGINT) % 4 <> 0 AS confirmed, ordinal AS member, CASE WHEN ordinal % 13 = 0 THEN 'old' ELSE name || '/' || CAST(image AS STRING) END AS version
+          FROM {products} WHERE CAST(floor(ordinal / 3.0) AS BIGINT) % 5 <> 0
+          UNION ALL
+          SELECT 's' || CAST(CAST(floor(ordinal / 2.0) AS BIGINT) AS STRING), 'm' || CAST(CAST(floor(ordinal / 2.0) AS BIGINT) % 3 + 1 AS STRING), CAST(floor(ordinal / 2.0) AS BIGINT) % 7 <> 0, ordinal, name || '/' || CAST(image AS STRING)
+          FROM {products} WHERE CAST(floor(ordinal / 2.0) AS BIGINT) % 4 = 0
+          UNION ALL
+          SELECT 'u' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) AS STRING), 'm' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) % 2 + 2 AS STRING), true, ordinal, name || '/' || CAST(image AS STRING)
+          FROM {products} WHERE CAST(floor(ordinal / 3.0) AS BIGINT) % 10 = 1
+          UNION ALL
+          SELECT 'r' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) AS STRING), 'm' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) % 3 + 1 AS STRING), CAST(floor(ordinal / 3.0) AS BIGINT) % 4 <> 0, -ordinal, 'gone' FROM {products} WHERE ordinal % 18 = 3) x""",
+    "exclusions": """SELECT ordinal AS a, ordinal + 2 AS b FROM {products} WHERE ordinal % 11 = 0""",
+    # merchant codes of products: some have none, some share one
+    "coded": """SELECT ordinal, shop, name, CASE WHEN ordinal % 4 = 0 THEN NULL ELSE 'C-' || CAST(ordinal % 37 AS STRING) END AS code FROM {products}""",
+    # names with codes written one way and, later, another
+    "renamed": """
+        SELECT ordinal, CASE WHEN ordinal % 4 = 0 THEN name || ' #c-' || CAST(ordinal % 37 AS STRING) || '#' ELSE name END AS raw,
+          CASE WHEN ordinal % 4 = 0 THEN name || ' # C-' || CAST(ordinal % 37 + CASE WHEN ordinal % 8 = 0 THEN 1 ELSE 0 END AS STRING) || '#' WHEN ordinal % 7 = 0 THEN name || ' new' ELSE name END AS renamed FROM (SELECT ordinal, replace(name, '#', '-') AS name FROM {products}) x""",
+    "statuses": """
+        SELECT ordinal, CASE WHEN ordinal % 5 = 0 THEN 'failed' WHEN ordinal % 11 = 0 THEN 'needs_config' WHEN ordinal % 7 = 0 THEN 'missing' WHEN ordinal % 23 = 0 THEN 'disabled' ELSE 'judged' END AS state, 'reason ' || CAST((ordinal * 5) % 7 AS STRING) AS status FROM {products}""",
     "weekly_plan": """
         SELECT s_suppkey AS shop, CAST(s_suppkey % 25 AS BIGINT) AS pages, w AS week, 'm' || CAST((s_suppkey * 7 + w * (s_suppkey % 4)) % 3 + 1 AS STRING) AS machine
         FROM {supplier} CROSS JOIN (SELECT 1 AS w UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) weeks""",

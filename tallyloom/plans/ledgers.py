@@ -6,32 +6,22 @@ from tallyloom.plans.adapter import duck
 
 #: Relations of several members: products of one source and picture are said to belong together.
 _RELATIONS = "SELECT source || '/' || CAST(image AS STRING) AS relation, ordinal AS member FROM {products} WHERE ordinal % 3 <> 0"
-#: Merchant codes of products: some have none, some share one.
-_CODED = "SELECT ordinal, shop, name, CASE WHEN ordinal % 4 = 0 THEN NULL ELSE 'C-' || CAST(ordinal % 37 AS STRING) END AS code FROM {products}"
+_CODED = "SELECT * FROM {coded}"
 _CLAIMED = "SELECT machine, shop, date, max(observed_at) AS claimed_at FROM {machine_inventory} GROUP BY machine, shop, date"
 
 TEXTS = {
-    # each member's group: the smallest member of its relation
-    "replayed_relations": f"SELECT member, min(member) OVER (PARTITION BY relation) AS root, count(*) OVER (PARTITION BY relation) AS size FROM ({_RELATIONS}) r",
     "partition_refresh": f"""
       SELECT p.ordinal, coalesce(m.root, p.ordinal) AS grp FROM {{products}} p LEFT JOIN (
         SELECT member, root FROM (SELECT member, root, row_number() OVER (PARTITION BY member ORDER BY root) AS n FROM (SELECT member, min(member) OVER (PARTITION BY relation) AS root FROM ({_RELATIONS}) r) x) y WHERE n = 1) m ON m.member = p.ordinal""",
     "code_groups": f"""
       SELECT code, count(*) AS members, min(ordinal) AS representative, count(DISTINCT shop) AS shops, count(DISTINCT shop) < count(*) AS same_shop_twice FROM ({_CODED}) c WHERE code IS NOT NULL GROUP BY code""",
     "code_states": f"""SELECT CASE WHEN code IS NULL THEN 'uncoded' WHEN n = 1 THEN 'single' ELSE 'grouped' END AS state, count(*) AS n FROM (SELECT code, count(*) OVER (PARTITION BY code) AS n FROM ({_CODED}) c) x GROUP BY CASE WHEN code IS NULL THEN 'uncoded' WHEN n = 1 THEN 'single' ELSE 'grouped' END""",
-    "legal_pairs": f"""
-      SELECT a.ordinal AS a, b.ordinal AS b FROM ({_CODED}) a JOIN ({_CODED}) b ON a.shop = b.shop AND a.ordinal < b.ordinal AND b.ordinal - a.ordinal <= 120
-      WHERE NOT (a.code IS NOT NULL AND b.code IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM {{labels}} l WHERE l.doc_id = a.ordinal AND l.quality = 0)""",
     "group_facts": """
       SELECT image, count(DISTINCT shop) AS shops, count(*) AS products, min(name) AS first_name, min_by(name, ordinal) AS representative, count(DISTINCT source) > 1 AS conflict FROM {products} GROUP BY image""",
     "decision_conflicts": f"""
       SELECT a.member, min(a.relation) AS one, max(a.relation) AS other FROM (SELECT relation, member FROM ({_RELATIONS}) r UNION ALL SELECT 'p' || CAST(image AS STRING), ordinal FROM {{products}} WHERE ordinal % 7 = 0) a GROUP BY a.member HAVING count(DISTINCT a.relation) > 1""",
-    "evidence_changed": """SELECT p.ordinal, md5(p.name) <> md5(q.name) AS changed FROM {products} p JOIN {products} q ON q.ordinal = p.ordinal + 1""",
     "adopted_edges": """
       SELECT source, count(*) AS n FROM {products} p WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = p.ordinal AND l.quality = 1) AND EXISTS (SELECT 1 FROM {labels} m WHERE m.doc_id = p.ordinal AND m.toxic = 0) GROUP BY source""",
-    "gate_counts": """
-      SELECT state, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'unevaluated' WHEN l.toxic = 1 THEN 'signature' WHEN length(d.text) < 500 THEN 'evidence_version' ELSE 'gated' END AS state FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id) x GROUP BY state""",
-    "score_deciles": """SELECT least(9, CAST(floor(length(name) / 5.0) AS BIGINT)) AS bucket, count(*) AS n, count(DISTINCT source) AS sources FROM {products} GROUP BY least(9, CAST(floor(length(name) / 5.0) AS BIGINT))""",
     "package_meta": """
       SELECT machine, max(CASE WHEN k = 'rows' THEN v END) AS n_rows, max(CASE WHEN k = 'shops' THEN v END) AS n_shops, max(CASE WHEN k = 'days' THEN v END) AS n_days FROM (
         SELECT machine, 'rows' AS k, count(*) AS v FROM {machine_inventory} GROUP BY machine UNION ALL SELECT machine, 'shops', count(DISTINCT shop) FROM {machine_inventory} GROUP BY machine
@@ -53,14 +43,14 @@ TEXTS = {
     "plan_changes": """
       SELECT a.week, count(CASE WHEN b.machine IS NULL OR a.machine <> b.machine THEN 1 END) AS moved, count(*) AS shops FROM {weekly_plan} a LEFT JOIN {weekly_plan} b ON b.shop = a.shop AND b.week = a.week - 1 GROUP BY a.week""",
     "kept_success": """
-      SELECT round_id, shop, offer, max((l_orderkey * 8 + attempt) * 100 + sku) AS kept, count(*) - 1 AS dropped FROM {snapshots} WHERE status = 'success' GROUP BY round_id, shop, offer HAVING count(*) > 1""",
+      SELECT round_id, shop, offer, sku, price AS kept_price, seen_at AS kept_at, dropped FROM (
+        SELECT *, row_number() OVER (PARTITION BY round_id, shop, offer, sku ORDER BY l_orderkey DESC, attempt DESC, price DESC, seen_at DESC) AS nth, count(*) OVER (PARTITION BY round_id, shop, offer, sku) - 1 AS dropped FROM {snapshots} WHERE status = 'success') x WHERE nth = 1 AND dropped > 0""",
     "rekeyed_skus": """SELECT offer, sku, max(status) AS status, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM {snapshots} GROUP BY offer, sku""",
     "renamed_offers": """SELECT p.p_partkey AS offer, coalesce(nullif(m.title, ''), p.p_name) AS name FROM {part} p LEFT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'new ' || p_brand END AS title FROM {part} WHERE p_partkey % 2 = 0) m ON m.p_partkey = p.p_partkey""",
     "field_search": """SELECT p_partkey AS offer FROM {part} WHERE lower(p_name || ' ' || p_brand || ' ' || p_type) LIKE '%brand#1%' OR p_size = 7""",
     "pause_accounting": """
       SELECT shop, CAST(sum(CASE WHEN ms IS NULL THEN 0 ELSE least(ms, 600000) END) AS BIGINT) AS paused_ms, count(CASE WHEN ms IS NULL THEN 1 END) AS ongoing FROM (
         SELECT shop, event, lead(EPOCHMS(ts)) OVER (PARTITION BY shop ORDER BY EPOCHMS(ts), id) - EPOCHMS(ts) AS ms FROM {event_log}) x WHERE event = 'verification_appear' GROUP BY shop""",
-    "turn_counts": """SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, max_by(role, turn) AS last_role, min_by(role, turn) AS first_role FROM {conversations} GROUP BY conv_id""",
     "transfer_split": """
       SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NOT NULL THEN 'skip' WHEN p.ordinal % 11 = 0 THEN 'missing' ELSE 'upload' END AS state FROM {products} p LEFT JOIN {labels} b ON b.doc_id = p.ordinal) x GROUP BY state""",
     "todo_by_machine": """

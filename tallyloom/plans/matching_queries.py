@@ -120,7 +120,7 @@ SQL = {
     "page_titles": """SELECT page_id, substr(trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*og:title[^>]*content="([^"]*)"', 1), ''), nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '')), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), 1, 300) AS title FROM pages""".replace("\\\\", "\\"),
     "page_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages), f AS (SELECT page_id, link, min(i) AS i FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM l) GROUP BY 1, 2)
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS nth, link FROM f""",
-    "page_kinds": "SELECT page_id, CASE WHEN lower(url) LIKE '%login%' THEN 'login' WHEN lower(url) LIKE '%punish%' THEN 'punish' WHEN lower(url) LIKE '%deny%' OR lower(url) LIKE '%spam%' THEN 'deny' ELSE 'plain' END AS kind FROM pages",
+    "page_kinds": "SELECT page_id, CASE WHEN lower(url) LIKE '%login%' THEN 'login' WHEN lower(url) LIKE '%punish%' THEN 'punish' WHEN lower(url) LIKE '%deny%' THEN 'deny' ELSE 'plain' END AS kind FROM pages",
     "asset_keys": "SELECT page_id, 'img/' || substr(sha256(html), 1, 2) || '/' || sha256(html) || '.png' AS key FROM pages",
     "sku_ids": duck("SELECT DISTINCT offer, sku, substr(sha1(offer || '|' || sku), 1, 16) AS sku_id FROM {inventory}"),
     "merchant_codes": "SELECT o_orderkey, array_to_string(list_sort(list_distinct(['C-' || (o_custkey % 50), upper(o_orderpriority)])), ',') AS codes FROM orders",

@@ -165,9 +165,9 @@ def test_codes(spark, raw, want):
 
 
 def test_redaction(spark):
-    raw = "api_key = abc # note\npassword_env = KEEP\nname: x"
+    raw = "api_key = abc # note\npassword_env = KEEP\nname: x\ntoken: \"a # b\"  # why\nsecret=z"
     got = spark.createDataFrame([(raw,)], "t string").select(text.redact(F.col("t"))).first()[0]
-    assert got.splitlines() == ["api_key = ***# note", "password_env = KEEP", "name: x"]
+    assert got.splitlines() == ["api_key = *** # note", "password_env = KEEP", "name: x", "token: ***  # why", "secret=***"]
 
 
 def test_package_reads(spark, tmp_path):
