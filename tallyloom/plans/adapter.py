@@ -74,6 +74,22 @@ VIEWS = {
           UNION ALL
           SELECT 'r' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) AS STRING), 'm' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) % 3 + 1 AS STRING), CAST(floor(ordinal / 3.0) AS BIGINT) % 4 <> 0, -ordinal, 'gone' FROM {products} WHERE ordinal % 18 = 3) x""",
     "exclusions": """SELECT ordinal AS a, ordinal + 2 AS b FROM {products} WHERE ordinal % 11 = 0""",
+    # offers' pages: pages with the data of three parts in one of the ways in which shops give it, or in none
+    "offer_pages": """
+        SELECT g.page_id, g.page_id % 5 AS way, a.p_partkey AS k1, a.p_name AS n1, a.p_size AS s1, b.p_partkey AS k2, b.p_name AS n2, b.p_size AS s2,
+          '<a href="https://x.example/offer/' || CAST(a.p_partkey AS STRING) || '.html?a=1&amp;b=2">1</a><a href="/item/' || CAST(b.p_partkey AS STRING) || '.html">2</a><a href="/offer/' || CAST(a.p_partkey AS STRING) || '.html">3</a>' || g.html ||
+          CASE WHEN g.page_id % 5 IN (0, 1) THEN '<script>d={"imageList":[{"fullPathImageURI":"https:\\/\\/i.example\\/' || CAST(a.p_partkey AS STRING) || '.jpg"}],"skuProps":[{"prop":"c","value":[{"name":"' || a.p_name || '","imageUrl":"//i/' || CAST(a.p_partkey AS STRING) || '.jpg"},{"name":"none"}]}],"skuInfoMap":{"a":{"specAttrs":"'
+              || a.p_name || '&gt;big {x","skuId":' || CAST(a.p_partkey AS STRING) || ',"discountPrice":"' || CAST(a.p_size AS STRING) || '.5","canBookCount":' || CAST(a.p_size AS STRING) || '},"b":' || CASE WHEN g.page_id % 5 = 0 THEN '{"specAttrs":"' || b.p_name || '","price":"1,200.5","quantity":"' || CAST(b.p_size AS STRING) || '万"}' ELSE '"broken"' END || '}};</script>'
+            WHEN g.page_id % 5 = 2 THEN '</p><div>' || a.p_name || ' ¥' || CAST(a.p_size AS STRING) || '.5 库存' || CAST(a.p_size AS STRING) || '个</div><div>' || a.p_name || ' ¥' || CAST(a.p_size AS STRING) || '.5 库存' || CAST(a.p_size AS STRING) || '个</div><p>' || b.p_name || '  ￥ 7 库存: 1,234</p>'
+            WHEN g.page_id % 5 = 3 THEN '<script>d={"isSkuOffer":false,"skuInfoMap":[],"tradeModel":{"priceDisplay":"12.5","canBookedAmount":' || CAST(a.p_size AS STRING) || '}}</script><meta property="og:image" content="//i/' || CAST(a.p_partkey AS STRING) || '.png">'
+            ELSE '' END AS html
+        FROM {pages} g JOIN {part} a ON a.p_partkey = g.page_id JOIN {part} b ON b.p_partkey = g.page_id + 1""",
+    # paths of packages as machines leave them; some lie in another's folder
+    "package_paths": """
+        SELECT DISTINCT 'raw-' || machine || '/data/' || CAST(ISOYEAR(date) AS STRING) || '/W' || lpad(CAST(weekofyear(date) AS STRING), 2, '0') || '-' || CASE WHEN day(date) = 9 THEN 'm9' ELSE machine END || '.db.gz' AS path FROM {machine_inventory}""",
+    "object_lines": """
+        SELECT CASE WHEN page_id % 3 = 0 THEN 'key: img/' || substring(md5(html), 1, 2) || '/' || md5(html) || '.png' WHEN page_id % 3 = 1 THEN 'img/' || substring(md5(html), 1, 2) || '/' || md5(html) || '.jpg | ' || CAST(length(html) AS STRING) || ' | STANDARD' ELSE '----' END AS line FROM {pages}""",
+    "listed_sources": """SELECT week, shop, CASE WHEN week = 3 AND shop % 10 = 0 THEN 'm9' ELSE 'm' || CAST(shop % 3 + 1 AS STRING) END AS machine FROM {weekly_plan} WHERE shop % 40 <> week""",
     # merchant codes of products: some have none, some share one
     "coded": """SELECT ordinal, shop, name, CASE WHEN ordinal % 4 = 0 THEN NULL ELSE 'C-' || CAST(ordinal % 37 AS STRING) END AS code FROM {products}""",
     # names with codes written one way and, later, another
@@ -89,7 +105,7 @@ VIEWS = {
 
 
 def _inputs(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text)) if n in TABLES or n in VIEWS]
 
 
 class Views:
@@ -108,6 +124,8 @@ class Views:
         text = re.sub(r"ISOYEAR\(([^()]*)\)", r"extract(yearofweek FROM \1)", text)
         text = re.sub(r"JOINED_SET\((\w+)\)", r"array_join(array_sort(collect_set(\1)), ',')", text)
         text = re.sub(r"HEX7\((substring\([^()]*\))\)", r"CAST(conv(\1, 16, 10) AS BIGINT)", text)
+        # braces that name no input are text
+        text = re.sub(r"\{(\w+)\}|[{}]", lambda m: m[0] if m[1] in TABLES or m[1] in VIEWS else "".join(2 * c if c in "{}" else c for c in m[0]), text)
         return self.spark.sql(text, **{n: more[n] if n in more else self[n] for n in _inputs(text)})
 
 
@@ -125,7 +143,7 @@ def duck(text: str) -> str:
     text = re.sub(r"EPOCHMS\(([^()]*)\)", r"(epoch_us(\1) // 1000)", text)
     text = re.sub(r"JOINED_SET\((\w+)\)", r"array_to_string(list_sort(list_distinct(list(\1))), ',')", text)
     text = re.sub(r"HEX7\((substring\([^()]*\))\)", r"CAST('0x' || \1 AS BIGINT)", text)
-    spell = lambda t: re.sub(r"\{(\w+)\}", r"\1", t)
+    spell = lambda t: re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES or m[1] in VIEWS else m[0], t)
     views = ", ".join(f"{n} AS ({spell(VIEWS[n])})" for n in need)
     body = spell(text).strip()
     if not views:

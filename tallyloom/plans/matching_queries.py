@@ -117,7 +117,7 @@ SQL = {
       reach(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other) SELECT node, min(other) AS root FROM reach GROUP BY node"""),
     "pair_keys": duck(f"WITH {_PAIRS}, {_JUDGED} SELECT a, b, sha256(least(va, vb) || '|' || greatest(va, vb)) AS pair_key FROM judged"),
     "version_edges": duck(f"WITH {_PAIRS}, {_JUDGED} SELECT least(x.ordinal, y.ordinal) AS a, greatest(x.ordinal, y.ordinal) AS b, bool_or(positive) AS positive FROM judged JOIN ver x ON x.version = va JOIN ver y ON y.version = vb WHERE x.ordinal <> y.ordinal GROUP BY 1, 2"),
-    "page_titles": """SELECT page_id, substr(trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*og:title[^>]*content="([^"]*)"', 1), ''), nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '')), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), 1, 300) AS title FROM pages""".replace("\\\\", "\\"),
+    "page_titles": """SELECT page_id, nullif(substr(trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[ ]+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')), 1, 300), '') AS title FROM pages""",
     "page_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages), f AS (SELECT page_id, link, min(i) AS i FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM l) GROUP BY 1, 2)
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS nth, link FROM f""",
     "page_kinds": "SELECT page_id, CASE WHEN lower(url) LIKE '%login%' THEN 'login' WHEN lower(url) LIKE '%punish%' THEN 'punish' WHEN lower(url) LIKE '%deny%' THEN 'deny' ELSE 'plain' END AS kind FROM pages",

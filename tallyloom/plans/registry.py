@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import decisions, ledgers, matching_queries, relational, series_queries
+from tallyloom.plans import decisions, ledgers, matching_queries, observations, page_queries, relational, series_queries
 from tallyloom.plans.adapter import Views
 
-_MODULES = (series_queries, relational, matching_queries, ledgers, decisions)
+_MODULES = (series_queries, relational, matching_queries, ledgers, decisions, observations, page_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
