@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import ordering
+
 DEFAULT = "default"
 
 
@@ -39,27 +41,35 @@ def segments(rows: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def sku_series(inventory: DataFrame, start: str, end: str, cap: bool = False) -> DataFrame:
-    """shop, offer, sku, segment, date, stock, sales, color: a row for each day a SKU is active."""
-    rows = freeze(inventory, start, end, cap)
-    parts = segments(rows, start, end)
-    # every observation in its segment: the last one that began by then
-    ends = F.lead("begins").over(Window.partitionBy("shop", "offer").orderBy("segment"))
-    spans = parts.withColumn("_until", ends).select("shop", "offer", "segment", "begins", "low", "high", "_until")
-    own = rows.select("shop", "offer", "sku", "date", "stock").join(spans, ["shop", "offer"])
-    own = own.where((F.col("date") >= F.col("begins")) & (F.col("_until").isNull() | (F.col("date") < F.col("_until"))))
+    """shop, offer, sku, segment, date, stock, sales, color: a row for each day a SKU is active.
+
+    One scan: all windows and groups follow from one dealing by (shop, offer)."""
+    low_day, high_day = F.lit(start).cast("date"), F.lit(end).cast("date")
+    offer = Window.partitionBy("shop", "offer")
+    rows = inventory.where(F.col("stock").isNotNull()).withColumn("_asked", F.max(F.col("date").between(low_day, high_day)).over(offer)).where("_asked")
+    if cap:
+        rows = rows.where(F.col("date") <= high_day)
+    # a day has one shape, so it only flips from a day's last row to the next day's first
+    shape = F.max(F.col("sku") == DEFAULT).over(Window.partitionBy("shop", "offer", "date"))
+    by_row = offer.orderBy("date", "sku")
+    rows = rows.withColumn("_shape", shape).withColumn("_flip", F.coalesce((F.lag("_shape").over(by_row) != F.col("_shape")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("segment", F.sum("_flip").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    by_segment = offer.orderBy("segment")
+    rows = rows.withColumn("begins", F.min("date").over(Window.partitionBy("shop", "offer", "segment"))).withColumn("_until", F.min("date").over(by_segment.rangeBetween(1, 1)))
+    low = F.when(F.col("segment") == 0, low_day).otherwise(F.greatest(low_day, "begins"))
+    rows = rows.withColumn("low", low).withColumn("high", F.least(high_day, F.coalesce(F.date_sub("_until", 1), high_day))).where("low <= high")
     keys = ["shop", "offer", "segment", "sku"]
     before, later = F.col("date") < F.col("low"), F.col("date") > F.col("low")
-    facts = own.where("low <= high").groupBy(*keys, "begins", "low", "high").agg(
+    facts = rows.groupBy(*keys, "begins", "low", "high").agg(
         F.min("date").alias("first"), F.max_by("stock", F.when(before, F.col("date"))).alias("prior"), F.min_by("stock", F.when(later, F.col("date"))).alias("next"),
+        F.map_from_entries(F.collect_list(F.struct("date", "stock"))).alias("seen"),
     )
-    spine = facts.withColumn("date", F.explode(F.sequence("low", "high")))
-    seen = own.select(*keys, "date", F.col("stock").alias("actual"))
-    line = spine.join(seen, [*keys, "date"], "left")
+    line = facts.withColumn("date", F.explode(F.sequence("low", "high"))).withColumn("actual", F.try_element_at("seen", F.col("date"))).drop("seen")
     w = Window.partitionBy(*keys).orderBy("date")
     carried = F.last("actual", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     line = line.withColumn("stock", F.coalesce(carried, "prior", "next"))
     previous = F.lag("stock").over(w)
-    line = line.withColumn("sales", F.when(previous.isNull() | (F.col("date") == F.lit(start).cast("date")), F.lit(0)).otherwise(F.greatest(previous - F.col("stock"), F.lit(0))).cast("long"))
+    line = line.withColumn("sales", F.when(previous.isNull() | (F.col("date") == low_day), F.lit(0)).otherwise(F.greatest(previous - F.col("stock"), F.lit(0))).cast("long"))
     line = line.withColumn("color", F.when(F.col("actual").isNull(), "yellow").when(previous < F.col("stock"), "red").otherwise("green"))
     # a SKU first seen after its segment began has no days before
     line = line.where((F.col("first") <= F.col("begins")) | (F.col("date") >= F.greatest("low", "first")))
@@ -88,4 +98,4 @@ def switches(parts: DataFrame) -> DataFrame:
 
 def rank(groups: DataFrame, by: Column, *ties: str) -> DataFrame:
     """Adds rank: a total order over groups (already aggregated: one row for each)."""
-    return groups.withColumn("rank", F.row_number().over(Window.orderBy(by, *ties)).cast("long"))
+    return ordering.numbered(groups, by, *ties, name="rank")

@@ -75,7 +75,7 @@ TEXTS = {
       SELECT round_id, shop, offer, count(*) AS failures FROM {snapshots} f WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM {snapshots} s WHERE s.status = 'success' AND s.round_id = f.round_id AND s.shop = f.shop AND s.offer = f.offer) GROUP BY round_id, shop, offer""",
     "latest_inventory": """
       SELECT shop, offer, sku, date, stock FROM (SELECT *, row_number() OVER (PARTITION BY shop, offer, sku ORDER BY date DESC) AS n FROM {inventory}) x WHERE n = 1""",
-    "sku_dimension": """SELECT offer, sku, min(date) AS first_seen, max(date) AS last_seen, max_by(price, observed) AS price FROM {inventory} GROUP BY offer, sku""",
+    "sku_dimension": """SELECT offer, sku, min(date) AS first_seen, max(date) AS last_seen, max_by(price, CASE WHEN price IS NOT NULL THEN observed END) AS price FROM {inventory} GROUP BY offer, sku""",
     "product_upsert": """
       SELECT l_partkey AS offer, max_by(name, (l_orderkey * 8 + attempt) * 10000000 + price) AS name FROM (
         SELECT offer AS l_partkey, l_orderkey, attempt, price, CASE WHEN attempt % 3 = 0 THEN NULL ELSE 'n' || CAST(round_id AS STRING) END AS name FROM {snapshots}) x WHERE name IS NOT NULL GROUP BY l_partkey""",
@@ -84,9 +84,9 @@ TEXTS = {
         SELECT *, first_value(CASE WHEN sku = 'default' THEN 1 ELSE 0 END) OVER (PARTITION BY shop, offer, date ORDER BY observed DESC) AS form FROM {inventory}) x
       WHERE form = CASE WHEN sku = 'default' THEN 1 ELSE 0 END""",
     "as_of_version": """
-      SELECT offer, sku, max_by(stock, date) AS stock, max(date) AS as_of FROM {inventory} WHERE date <= DATE '2024-01-15' GROUP BY offer, sku""",
+      SELECT offer, sku, max_by(stock, CASE WHEN stock IS NOT NULL THEN date END) AS stock, max(date) AS as_of FROM {inventory} WHERE date <= DATE '2024-01-15' GROUP BY offer, sku""",
     "best_evidence": """
-      SELECT offer, max_by(source, k) AS source, max_by(stock, k) AS stock, max(k) AS k FROM (
+      SELECT offer, max_by(source, k) AS source, max_by(stock, CASE WHEN stock IS NOT NULL THEN k END) AS stock, max(k) AS k FROM (
         SELECT offer, 'batch' AS source, stock, observed * 2 + 1 AS k FROM {inventory} WHERE observed % 3 = 0
         UNION ALL SELECT offer, 'snapshot' AS source, stock, observed * 2 AS k FROM {inventory} WHERE observed % 3 <> 0) x GROUP BY offer""",
     "identity_ledger": """SELECT coalesce(sku, '') AS sku, coalesce(offer, '') AS offer, min(observed) AS id, count(*) AS n FROM {inventory} GROUP BY coalesce(sku, ''), coalesce(offer, '')""",
