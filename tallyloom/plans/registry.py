@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import decisions, ledgers, matching_queries, observations, page_queries, relational, series_queries
+from tallyloom.plans import decisions, ledgers, matching_queries, observations, oracles, page_queries, relational, series_queries
 from tallyloom.plans.adapter import Views
 
 _MODULES = (series_queries, relational, matching_queries, ledgers, decisions, observations, page_queries)
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for m in _MODULES for name, text in m.SQL.items()}
+    return {name: text for m in _MODULES for name, text in m.SQL.items()} | oracles.SQL

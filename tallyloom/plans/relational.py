@@ -114,8 +114,8 @@ TEXTS = {
     "delay_correlation": f"""
       WITH p AS (SELECT id, round_id, CAST(abs(interval_ms) AS DOUBLE) AS x, CASE WHEN next_event = 'verification_appear' THEN 1.0 ELSE 0.0 END AS y FROM ({_PAIRS}) q WHERE event <> 'verification_appear' AND interval_ms IS NOT NULL AND next_event IS NOT NULL),
       r AS (SELECT *, rank() OVER (PARTITION BY round_id ORDER BY x) + (count(*) OVER (PARTITION BY round_id, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY round_id ORDER BY y) + (count(*) OVER (PARTITION BY round_id, y) - 1) / 2.0 AS ry FROM p)
-      SELECT round_id, count(*) AS n, CASE WHEN count(*) >= 2 AND min(x) < max(x) AND min(y) < max(y) THEN round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) END AS pearson,
-        CASE WHEN count(*) >= 2 AND min(x) < max(x) AND min(y) < max(y) THEN round(covar_pop(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)) / nullif(stddev_pop(CAST(rx AS DOUBLE)) * stddev_pop(CAST(ry AS DOUBLE)), 0), 6) END AS spearman FROM r GROUP BY round_id""",
+      SELECT round_id, count(*) AS n, CASE WHEN count(*) >= 2 AND min(x) < max(x) AND min(y) < max(y) THEN round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) + CAST(0 AS DOUBLE) END AS pearson,
+        CASE WHEN count(*) >= 2 AND min(x) < max(x) AND min(y) < max(y) THEN round(covar_pop(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)) / nullif(stddev_pop(CAST(rx AS DOUBLE)) * stddev_pop(CAST(ry AS DOUBLE)), 0), 6) + CAST(0 AS DOUBLE) END AS spearman FROM r GROUP BY round_id""",
     "verification_counts": """SELECT round_id, shop, phase, hour(ts + INTERVAL '8' HOUR) AS local_hour, count(*) AS n FROM {event_log} WHERE event = 'verification_appear' GROUP BY round_id, shop, phase, hour(ts + INTERVAL '8' HOUR)""",
     # visits after the round's last pause or resume; none if the round then lay idle for an hour before the log's end
     "visits_since_pause": """
