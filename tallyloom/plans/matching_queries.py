@@ -89,6 +89,7 @@ QUERIES = {
     "package_digest": lambda v: packages.digest(v["machine_inventory"].select("machine", "shop", "offer", "sku", "date", "stock")),
     "planned_weeks": lambda v: planning.weekly_plan(v["weekly_plan"].where("week = 1").select("shop", "pages"), ["m1", "m2", "m3"]),
     "stream_deny_windows": lambda v: events.completed(events.deny_windows(events.source(v.spark, v.sf_dir, "events"))),
+    "stream_deny_window": lambda v: events.finished(events.sliding_denies(events.source(v.spark, v.sf_dir, "events"))),
     "stream_first_seen": lambda v: events.finished(events.first_seen(events.source(v.spark, v.sf_dir, "events"))),
 }
 
@@ -128,5 +129,6 @@ SQL = {
     "stock_counts": "SELECT event_id, CAST(CAST(round(value, 2) AS DECIMAL(18, 2)) * 10000 AS BIGINT) AS stock FROM events",
     "clocks": "SELECT event_id, (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT event_id, CAST(floor(value * 10) AS BIGINT) AS s FROM events)",
     "stream_deny_windows": "SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') AS starts, 'S' || (user_id % 12) AS shop, count(*) AS denies FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1, 2",
+    "stream_deny_window": "WITH d AS (SELECT event_id AS id, 'S' || (user_id % 12) AS shop, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('signup', 'purchase')) SELECT a.id, a.shop, count(*) AS in_window, NOT EXISTS (SELECT 1 FROM d c WHERE c.shop = a.shop AND (c.ms, c.id) < (a.ms, a.id)) AS sets_off FROM d a JOIN d b ON b.shop = a.shop AND b.ms BETWEEN a.ms - 7200000 AND a.ms GROUP BY a.id, a.shop, a.ms",
     "stream_first_seen": "SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events",
 }

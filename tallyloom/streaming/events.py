@@ -5,10 +5,14 @@ Queries run over what is there and stop (``availableNow``); results go to the sh
 
 from __future__ import annotations
 
+import bisect
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.plans import shared
 
@@ -55,3 +59,22 @@ def deny_windows(events: DataFrame, width: str = "2 hours") -> DataFrame:
 def first_seen(events: DataFrame) -> DataFrame:
     """One row for each user and day, however late it comes: the state is a row for each."""
     return events.select("user_id", F.col("ts").cast("date").alias("date")).dropDuplicates(["user_id", "date"])
+
+
+def sliding_denies(events: DataFrame, width_ms: int = 7_200_000) -> DataFrame:
+    """For each denial, how many its shop had in the time up to it, and whether it is the shop's first (which alone sets
+    off a pause). The state of a shop is the times of its denials inside the window."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ms", "id"])
+        first = not held and not state.exists
+        times = sorted([*held, *rows["ms"].tolist()])
+        at = rows["ms"].to_numpy()
+        counts = [bisect.bisect_right(times, t) - bisect.bisect_left(times, t - width_ms) for t in at.tolist()]
+        state.update((times[bisect.bisect_left(times, times[-1] - width_ms) :],))
+        yield pd.DataFrame({"id": rows["id"], "shop": key[0], "in_window": counts, "sets_off": [first and i == 0 for i in range(len(rows))]})
+
+    denied = events.where(F.col("event_type").isin("signup", "purchase"))
+    keyed = denied.select(F.col("event_id").alias("id"), F.concat(F.lit("S"), (F.col("user_id") % 12).cast("string")).alias("shop"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"))
+    return keyed.groupBy("shop").applyInPandasWithState(step, "id long, shop string, in_window long, sets_off boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
