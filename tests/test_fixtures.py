@@ -2,11 +2,13 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import text
 from tallyloom.operators import ordering, series
 from tallyloom.plans import matching_queries, observations, relational
 from tallyloom.plans.adapter import Views
+from tallyloom.sources import stores
 
 SF = "/root/testdata/sf0.001"
 
@@ -157,6 +159,32 @@ def test_links_titles_pictures(spark):
     assert r["t"] == "A & B" and [(x["offer"], x["url"]) for x in r["l"]] == [("7", "/offer/7.html?a=1&b"), ("8", "/item/8.html")] and r["p"] == "https://i/a.jpg"
 
 
+# ---- stores
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "gbk"])
+def test_lists_in_any_encoding(spark, tmp_path, encoding):
+    (tmp_path / "shops.csv").write_bytes("编号,name\n1,杯子店\n2,b\n".encode(encoding))
+    df = stores.read_list(spark, str(tmp_path))
+    assert df.columns == ["编号", "name"] and sorted(map(tuple, df.collect())) == [("1", "杯子店"), ("2", "b")]
+
+
+def test_damaged_packages_and_plans(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "x long, y string")
+    df.write.parquet(f"{tmp_path}/all/p1")
+    (tmp_path / "all" / "broken.parquet").write_bytes(b"PAR1 cut")
+    rows, failures = stores.scan(spark, f"{tmp_path}/all", T.StructType([T.StructField("x", T.LongType()), T.StructField("z", T.StringType())]))
+    assert [tuple(r) for r in rows.collect()] == [(1, None)] and [r["path"].rsplit("/", 1)[1] for r in failures.collect()] == ["broken.parquet"]
+    stores.commit_version(df, f"{tmp_path}/d")
+    stores.commit_version(df.withColumn("x", F.lit(2)), f"{tmp_path}/d")
+    assert [r["x"] for r in stores.current(spark, f"{tmp_path}/d").collect()] == [2]
+    (tmp_path / "plans").mkdir()
+    shop = '{"shop":1,"pages":2,"machine":"m1"}'
+    docs = [f'{{"week":"2026-W01","machines":["m1"],"shops":[{shop}]}}', f'{{"machines":["m1"],"shops":[{shop}]}}', f'{{"week":"2026-W02","machines":["m2"],"shops":[{shop}]}}', f'{{"week":"2026-W03","machines":["m1"],"shops":[{shop},{shop}]}}', "{nonsense"]
+    (tmp_path / "plans" / "p.json").write_text("\n".join(docs))
+    assert {(r["week"], r["problem"]) for r in stores.read_plans(spark, f"{tmp_path}/plans").collect()} == {("2026-W01", None), (None, "no week"), ("2026-W02", "unknown machine"), ("2026-W03", "repeated shop"), (None, "unreadable")}
+
+
 # ---- streams
 
 
