@@ -1,6 +1,8 @@
-"""Weekly plan: shops to machines, most pages first, to the least loaded machine that did not have the shop
-last week; if every machine is barred the bar is lifted for that shop. A plan is tiny and its steps depend on
-each other, so one group runs it."""
+"""Weekly plan: each region's shops to its machines, most pages first. A shop doesn't go to a machine that had it in one of
+the last weeks (the oldest bar is dropped first if none is left, none holds for a shop that was away); of the others it
+goes to the one with the least load of the balance window and this week together, then of this week, then the first.
+
+The steps of one plan depend on each other, so a region (some dozen shops) is one group; regions are planned side by side."""
 
 from __future__ import annotations
 
@@ -8,24 +10,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "week long, shop long, pages long, machine string, relaxed boolean"
+SCHEMA = "region long, shop long, pages long, machine string, eligible int, relaxed int"
+
+
+def assign(shops: list[tuple[int, int]], machines: list[str], history: dict[int, dict[int, tuple[str, int]]], week: int, barred: int = 1, balance: int = 4) -> list[tuple[int, int, str, int, int]]:
+    """(shop, pages, machine, eligible, relaxed). shops: (shop, pages); history: week -> shop -> (machine, pages then)."""
+    past = sorted((w for w in history if w < week), reverse=True)
+    before = dict.fromkeys(machines, 0)
+    for w in past[: balance - 1]:
+        for machine, pages in history[w].values():
+            if machine in before:
+                before[machine] += pages
+    now, out = dict.fromkeys(machines, 0), []
+    for shop, pages in sorted((s for s in shops if s[1] > 0), key=lambda s: (-s[1], s[0])):
+        bars: list[str] = []
+        for w in past[:barred]:
+            if shop not in history[w]:
+                break
+            bars.append(history[w][shop][0])
+        had = len(bars)
+        while not (free := [m for m in machines if m not in bars]):
+            bars.pop()
+        chosen = min(free, key=lambda m: (before[m] + now[m], now[m]))
+        now[chosen] += pages
+        out.append((shop, pages, chosen, len(free), had - len(bars)))
+    return out
 
 
-def assign(shops: pd.DataFrame, machines: list[str], weeks: int) -> pd.DataFrame:
-    out, last = [], {}
-    load = dict.fromkeys(machines, 0)
-    for week in range(1, weeks + 1):
-        now = dict.fromkeys(machines, 0)
-        for shop, pages in shops.sort_values(["pages", "shop"], ascending=[False, True])[["shop", "pages"]].itertuples(index=False):
-            free = [m for m in machines if last.get(shop) != m] or machines
-            chosen = min(free, key=lambda m: (now[m], load[m], m))
-            out.append((week, shop, pages, chosen, last.get(shop) == chosen))
-            now[chosen] += pages
-            load[chosen] += pages
-            last[shop] = chosen
-    return pd.DataFrame(out, columns=["week", "shop", "pages", "machine", "relaxed"])
+def weekly_plan(shops: DataFrame, history: DataFrame, machines: list[str], week: int, barred: int = 1, balance: int = 4) -> DataFrame:
+    """shops: region, shop, pages; history: region, week, shop, pages, machine."""
+    none = F.lit(None)
+    rows = shops.select("region", none.cast("long").alias("week"), "shop", "pages", none.cast("string").alias("machine")).unionByName(history.select("region", "week", "shop", "pages", "machine"))
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        past: dict[int, dict[int, tuple[str, int]]] = {}
+        new = pdf[pdf["week"].isna()]
+        for w, shop, pages, machine in pdf[pdf["week"].notna()][["week", "shop", "pages", "machine"]].itertuples(index=False):
+            past.setdefault(int(w), {})[int(shop)] = (machine, int(pages))
+        made = assign([(int(s), int(p)) for s, p in new[["shop", "pages"]].itertuples(index=False)], machines, past, week, barred, balance)
+        return pd.DataFrame([(key[0], *r) for r in made], columns=["region", "shop", "pages", "machine", "eligible", "relaxed"])
 
-def weekly_plan(shops: DataFrame, machines: list[str], weeks: int = 4) -> DataFrame:
-    """shops: shop, pages."""
-    return shops.select("shop", "pages", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(lambda pdf: assign(pdf, machines, weeks), SCHEMA)
+    return rows.groupBy("region").applyInPandas(run, SCHEMA)

@@ -63,6 +63,13 @@ def _amounts(v: Views) -> DataFrame:
     return v["events"].select("event_id", F.concat(F.lit("x "), F.format_number("value", 2)).alias("raw"))
 
 
+def _planned(v: Views) -> DataFrame:
+    """Week 5 of each region after the weeks before; shops of one nation are a region."""
+    nation = v["supplier"].select(F.col("s_suppkey").alias("shop"), F.col("s_nationkey").cast("long").alias("region"))
+    past = v["weekly_plan"].join(nation, "shop")
+    return planning.weekly_plan(past.where("week = 4").select("region", "shop", "pages"), past, ["m1", "m2", "m3"], 5)
+
+
 QUERIES = {
     "name_tokens": lambda v: _items(v).select("ordinal", F.explode("tokens").alias("token")),
     "image_tokens": _images,
@@ -87,7 +94,7 @@ QUERIES = {
     "sku_ids": lambda v: v["inventory"].select("offer", "sku").distinct().select("offer", "sku", F.substring(F.sha1(F.concat_ws("|", "offer", "sku")), 1, 16).alias("sku_id")),
     "clocks": lambda v: v["events"].select("event_id", text.clock(F.col("value") * 10).alias("clock")),
     "package_digest": lambda v: packages.digest(v["machine_inventory"].select("machine", "shop", "offer", "sku", "date", "stock")),
-    "planned_weeks": lambda v: planning.weekly_plan(v["weekly_plan"].where("week = 1").select("shop", "pages"), ["m1", "m2", "m3"]),
+    "planned_weeks": _planned,
     "stream_deny_windows": lambda v: events.completed(events.deny_windows(events.source(v.spark, v.sf_dir, "events"))),
     "stream_deny_window": lambda v: events.finished(events.sliding_denies(events.source(v.spark, v.sf_dir, "events"))),
     "stream_first_seen": lambda v: events.finished(events.first_seen(events.source(v.spark, v.sf_dir, "events"))),

@@ -181,10 +181,18 @@ def test_package_reads(spark, tmp_path):
 
 
 def test_weekly_plan(spark):
-    shops = spark.createDataFrame([(i, (i * 7) % 13 + 1) for i in range(12)], "shop long, pages long")
-    rows = planning.weekly_plan(shops, ["m1", "m2", "m3"]).collect()
-    at = {(r["week"], r["shop"]): r for r in rows}
-    assert len(rows) == 48
-    assert all(at[w, s]["machine"] != at[w - 1, s]["machine"] or at[w, s]["relaxed"] for w in (2, 3, 4) for s in range(12))
-    load = {m: sum(r["pages"] for r in rows if r["week"] == 1 and r["machine"] == m) for m in ("m1", "m2", "m3")}
-    assert max(load.values()) - min(load.values()) <= 13
+    shops, machines = [(1, 10), (2, 9), (3, 8), (4, 7), (5, 0)], ["m1", "m2", "m3"]
+    assert planning.assign(shops, machines, {}, 1) == [(1, 10, "m1", 3, 0), (2, 9, "m2", 3, 0), (3, 8, "m3", 3, 0), (4, 7, "m3", 3, 0)]
+    past = {1: {1: ("m1", 10), 2: ("m2", 9), 3: ("m3", 8)}}
+    assert planning.assign(shops, machines, past, 2) == [(1, 10, "m3", 2, 0), (2, 9, "m1", 2, 0), (3, 8, "m2", 2, 0), (4, 7, "m2", 3, 0)]
+    assert planning.assign([(1, 10)], ["m1"], past, 2) == [(1, 10, "m1", 1, 1)]  # the bar gives way
+    two = {1: {1: ("m1", 1)}, 2: {1: ("m2", 1)}, 3: {2: ("m1", 5)}}
+    assert planning.assign([(1, 10)], ["m1", "m2"], two, 4)[0][3:] == (2, 0)  # away last week: no bar
+    assert planning.assign([(1, 10)], ["m1", "m2"], {w: two[w] for w in (1, 2)}, 3, barred=2)[0] == (1, 10, "m1", 1, 1)  # the oldest bar goes first
+    rng = random.Random(3)
+    history = [(r, w, i, rng.randrange(1, 25), f"m{rng.randrange(3) + 1}") for r in (1, 2) for w in (1, 2, 3) for i in range(12)]
+    df = spark.createDataFrame(history, "region long, week long, shop long, pages long, machine string")
+    now = df.where("week = 3").select("region", "shop", "pages")
+    rows = planning.weekly_plan(now, df, machines, 4).collect()
+    last = {(r, i): m for r, w, i, _, m in history if w == 3}
+    assert len(rows) == 24 and all(r["machine"] != last[r["region"], r["shop"]] and r["relaxed"] == 0 for r in rows)
\ No newline at end of file
