@@ -20,6 +20,8 @@ POSTING, K = 128, 6
 #: Gain of a merge: positive edges less this times negative ones.
 WEIGHT = 2.0
 SURE = 0.8
+#: Score from which the stand-in for the judging model takes two items for the same.
+ALIKE = 8
 
 
 def name_tokens(name: Column) -> Column:
@@ -72,7 +74,7 @@ def spread_edges(edges: DataFrame, items: DataFrame) -> DataFrame:
 def judged(pairs: DataFrame, floor: int = 0) -> DataFrame:
     """A deterministic stand-in for the judging model: same, confidence, and the edge's sign."""
     conf = F.pmod(F.col("a") * 31 + F.col("b") * 17, F.lit(100)) / F.lit(100.0)
-    out = pairs.where(F.col("score") >= floor).withColumn("same", F.col("score") >= 20).withColumn("confidence", conf)
+    out = pairs.where(F.col("score") >= floor).withColumn("same", F.col("score") >= ALIKE).withColumn("confidence", conf)
     return out.withColumn("positive", F.col("same") & (F.col("confidence") >= SURE))
 
 

@@ -58,7 +58,7 @@ VIEWS = {
         GROUP BY m, shop, offer, sku, date""",
     # items for matching, in the order of their ids; images repeat
     "products": """
-        SELECT p_partkey AS ordinal, 'S' || CAST(p_partkey % 12 AS STRING) AS shop, CAST(p_partkey AS STRING) AS offer, p_name || ' ' || p_brand AS name, p_partkey % 500 AS image, p_type AS source FROM {part} WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL""",
+        SELECT p_partkey AS ordinal, 'S' || CAST(p_partkey % 12 AS STRING) AS shop, CAST(p_partkey AS STRING) AS offer, p_name || ' ' || p_brand AS name, p_partkey % 520 AS image, p_type AS source FROM {part} WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL""",
     # what machines hold together: runs of three neighbours, and some pairs across them; some members were recorded
     # with other evidence than today's, some are not among today's products
     "relations": """

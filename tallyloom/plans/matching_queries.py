@@ -71,7 +71,7 @@ def _planned(v: Views) -> DataFrame:
 
 
 QUERIES = {
-    "name_tokens": lambda v: _items(v).select("ordinal", F.explode("tokens").alias("token")),
+    "name_tokens": lambda v: v["products"].select("ordinal", F.explode(matching.name_tokens(F.col("name"))).alias("token")),
     "image_tokens": _images,
     "recall_pairs": lambda v: matching.recall(_items(v)),
     "judged_edges": _edges,
@@ -110,7 +110,7 @@ capped AS MATERIALIZED (SELECT ordinal, token FROM held WHERE place <= 128),
 found AS MATERIALIZED (SELECT s.ordinal AS i, l.ordinal AS j, count(*) AS n FROM held s JOIN capped l ON s.token = l.token AND s.ordinal <> l.ordinal GROUP BY 1, 2),
 pairs AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY n DESC, shop || '/' || offer, j) AS r FROM found JOIN {{products}} p ON p.ordinal = j) WHERE r <= 6),
 recalled AS (SELECT a, b, coalesce(n, 0) AS score FROM pairs LEFT JOIN found ON i = a AND j = b),
-edges AS (SELECT *, same AND confidence >= 0.8 AS positive FROM (SELECT *, score >= 20 AS same, ((a * 31 + b * 17) % 100) / 100.0::DOUBLE AS confidence FROM recalled))"""
+edges AS (SELECT *, same AND confidence >= 0.8 AS positive FROM (SELECT *, score >= 8 AS same, ((a * 31 + b * 17) % 100) / 100.0::DOUBLE AS confidence FROM recalled))"""
 _JUDGED = """ver AS (SELECT ordinal, sha256('["' || name || '","' || image || '"]') AS version FROM {products}),
 judged AS (SELECT a, b, x.version AS va, y.version AS vb, positive FROM edges JOIN ver x ON x.ordinal = a JOIN ver y ON y.ordinal = b WHERE (a + b) % 9 <> 0)"""
 

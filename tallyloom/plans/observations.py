@@ -57,8 +57,8 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     # rounds without an ending, newest first; what may go on at this moment and what must stop
     "active_rounds": (
-        f"SELECT round_id, run_date, run_date = CAST({_NOW} + INTERVAL '8' HOUR AS DATE) AS resumable, NOT (run_date = CAST({_NOW} + INTERVAL '8' HOUR AS DATE) AND date_format({_NOW} + INTERVAL '8' HOUR, 'HH:mm') < '23:55') AS must_stop, row_number() OVER (PARTITION BY run_date ORDER BY round_id DESC) AS nth FROM (SELECT round_id, CAST(min(ts) + INTERVAL '8' HOUR AS DATE) AS run_date, max(CASE WHEN event = 'deny_hit' AND id % 31 = 0 THEN 1 ELSE 0 END) AS ended FROM {{event_log}} GROUP BY round_id) x WHERE ended = 0",
-        f"WITH r AS (SELECT round_id, CAST(min(ts) + INTERVAL 8 HOUR AS DATE) AS run_date FROM {{event_log}} e WHERE NOT EXISTS (SELECT 1 FROM {{event_log}} x WHERE x.round_id = e.round_id AND x.event = 'deny_hit' AND x.id % 31 = 0) GROUP BY round_id) SELECT *, run_date = DATE '2024-01-20' AS resumable, true AS must_stop, (SELECT count(*) FROM r o WHERE o.run_date = r.run_date AND o.round_id >= r.round_id) AS nth FROM r",
+        f"SELECT round_id, run_date, run_date = CAST({_NOW} + INTERVAL '8' HOUR AS DATE) AS resumable, NOT (run_date = CAST({_NOW} + INTERVAL '8' HOUR AS DATE) AND date_format({_NOW} + INTERVAL '8' HOUR, 'HH:mm') < '23:55') AS must_stop, row_number() OVER (PARTITION BY run_date ORDER BY round_id DESC) AS nth FROM (SELECT round_id, CAST(min(ts) + INTERVAL '8' HOUR AS DATE) AS run_date, max(CASE WHEN event = 'deny_hit' AND id % 401 = 0 THEN 1 ELSE 0 END) AS ended FROM {{event_log}} GROUP BY round_id) x WHERE ended = 0",
+        f"WITH r AS (SELECT round_id, CAST(min(ts) + INTERVAL 8 HOUR AS DATE) AS run_date FROM {{event_log}} e WHERE NOT EXISTS (SELECT 1 FROM {{event_log}} x WHERE x.round_id = e.round_id AND x.event = 'deny_hit' AND x.id % 401 = 0) GROUP BY round_id) SELECT *, run_date = DATE '2024-01-20' AS resumable, true AS must_stop, (SELECT count(*) FROM r o WHERE o.run_date = r.run_date AND o.round_id >= r.round_id) AS nth FROM r",
     ),
     "trusted_sources": (
         "SELECT s_nationkey AS machine, s_name AS source FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM {supplier} WHERE s_acctbal > 0 AND s_name RLIKE '^[A-Za-z]+#[0-9]+$') x WHERE n = 1",
@@ -102,8 +102,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "WITH s AS (SELECT shop, offer, sku, stock, row_number() OVER (PARTITION BY shop, offer, sku ORDER BY date) AS n FROM {inventory} WHERE stock IS NOT NULL), f AS (SELECT b.shop, b.offer, CAST(sum(greatest(coalesce(a.stock - b.stock, 0), 0)) AS BIGINT) AS sold FROM s b LEFT JOIN s a ON a.shop = b.shop AND a.offer = b.offer AND a.sku = b.sku AND a.n = b.n - 1 GROUP BY ALL) SELECT *, rank() OVER (PARTITION BY shop ORDER BY sold DESC, offer) AS place FROM f",
     ),
     "unsold_offers": (
-        "SELECT shop, offer FROM (SELECT shop, offer, max(stock) AS high, min(stock) AS low FROM {inventory} WHERE stock IS NOT NULL GROUP BY shop, offer) x WHERE high = low",
-        "SELECT shop, offer FROM {inventory} WHERE stock IS NOT NULL GROUP BY ALL HAVING count(DISTINCT stock) = 1",
+        "SELECT shop, offer FROM (SELECT shop, offer, max(stock) AS high, min(stock) AS low FROM {inventory} WHERE stock IS NOT NULL AND date BETWEEN DATE '2024-01-10' AND DATE '2024-01-11' GROUP BY shop, offer) x WHERE high = low",
+        "SELECT shop, offer FROM {inventory} WHERE stock IS NOT NULL AND date IN (DATE '2024-01-10', DATE '2024-01-11') GROUP BY ALL HAVING count(DISTINCT stock) = 1",
     ),
     "all_shops": (
         "SELECT shop, 'planned' AS origin FROM (SELECT DISTINCT 'S' || CAST(shop % 9 AS STRING) AS shop FROM {weekly_plan}) p UNION ALL SELECT shop, 'seen only' FROM (SELECT DISTINCT shop FROM {inventory}) i LEFT ANTI JOIN (SELECT DISTINCT 'S' || CAST(shop % 9 AS STRING) AS shop FROM {weekly_plan}) p ON p.shop = i.shop",

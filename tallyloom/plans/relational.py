@@ -174,7 +174,7 @@ TEXTS = {
     "multiset_overlap": """SELECT offer, count(*) AS n FROM (SELECT offer, date FROM {machine_inventory} WHERE machine = 'm1' INTERSECT ALL SELECT offer, date FROM {machine_inventory} WHERE machine = 'm2') x GROUP BY offer""",
     "coverage_gaps": """
       SELECT machine, shop, count(*) AS missing_days, count(*) = (SELECT count(DISTINCT date) FROM {machine_inventory}) AS whole_range FROM (
-        SELECT m.machine, m.shop, d.date FROM (SELECT DISTINCT machine, 'S' || CAST(shop % 12 AS STRING) AS shop FROM {weekly_plan}) m CROSS JOIN (SELECT DISTINCT date FROM {machine_inventory}) d
+        SELECT m.machine, m.shop, d.date FROM (SELECT DISTINCT machine, 'S' || CAST(shop % 14 AS STRING) AS shop FROM {weekly_plan}) m CROSS JOIN (SELECT DISTINCT date FROM {machine_inventory}) d
         EXCEPT SELECT machine, shop, date FROM {machine_inventory}) g GROUP BY machine, shop""",
     "plan_deviations": """
       SELECT w.week, s.round_id, s.shop, CASE WHEN w.machine IS NULL THEN 'out_of_plan' WHEN s.declared > w.pages THEN 'overreach' ELSE 'planned' END AS deviation FROM {shop_rounds} s LEFT JOIN {weekly_plan} w ON w.shop = s.shop AND w.week = s.round_id % 4 + 1""",
