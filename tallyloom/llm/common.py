@@ -63,6 +63,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def words_of(text: bytes) -> list[bytes]:
     """bytes.split() splits on exactly the ASCII white space 0x20, 0x09-0x0D."""
     return text.split()

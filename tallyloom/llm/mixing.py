@@ -141,12 +141,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
     """The mixture itself: whole documents, once for each pass that takes them, dealt to their shards
     and in hashed order within each; the columns of docs. Draws belong to rows: of equal rows, which can't be
     told apart, one is laid out as often as they are drawn together."""
-    row_key = F.xxhash64(*docs.columns)
+    row_key = F.xxhash64(*common.columns(docs))
     draws = mix(docs, whole_documents=True, id_col=id_col, row_key=row_key, **how).where(F.size("draws") > 0)
     draws = draws.select("doc_id", "row_key", F.explode("draws").alias("_d"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = draws.select(F.col("doc_id").alias("id"), F.col("row_key").alias("own"), F.col("_d.pass").alias("pass"), F.col("_d.shard").alias("shard"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), row_key.alias("own"))  # whatever else docs has can't clash
+    whole = docs.select(F.struct(*common.columns(docs)).alias("row"), row_key.alias("own"))  # whatever else docs has can't clash
     whole = whole.groupBy("own").agg(F.first("row").alias("row"))
     out = whole.join(draws, "own")
     # a shard lies in a few pieces, so that few shards still spread evenly over many tasks

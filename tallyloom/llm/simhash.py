@@ -222,13 +222,18 @@ def alike(docs: DataFrame, text_col: str = "text", run: int = RUN, most: int = j
 def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of alike texts: the smallest id, rows without one last; then by hashes of
     the text and of the whole row. Ids need not be distinct. Columns of docs."""
-    keys = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.xxhash64(*docs.columns).alias("row_key"))
-    tagged = docs.select(F.struct(*docs.columns).alias("_row"), keys.alias("_key"))
+    keys = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.xxhash64(*common.columns(docs)).alias("row_key"))
+    tagged = docs.select(F.struct(*common.columns(docs)).alias("_row"), keys.alias("_key"))
     each = tagged.select("_key", F.col("_key.text_key").alias("text_key"))
     firsts = each.join(alike(docs, text_col), "text_key").groupBy("root").agg(F.min("_key").alias("_key")).select("_key.text_key", "_key.row_key")
     tagged = tagged.select("_row", "_key.text_key", "_key.row_key")
     return tagged.join(firsts, ["text_key", "row_key"], "left_semi").dropDuplicates(["text_key", "row_key"]).select("_row.*")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``unique`` that have an id."""
+    return unique(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"))

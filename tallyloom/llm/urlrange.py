@@ -8,7 +8,7 @@ no longer starts with it, so the stack holds just the nested rules active at thi
 paths, those the URL's path starts with are compared and the longest rule wins.
 
 A range may hold a share of one key only: bounds are taken from a bounded, deterministic sample of
-pages, and a key that fills several ranges is dealt over them by page id. Memory of a task is the
+pages, and a key that fills several ranges is dealt over them by page id and path. Memory of a task is the
 stack (at most one entry per host label, with that host's paths).
 
 Defined results: null URL, or one without ``://``: empty host and path, no rule, the default
@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     bounds = _bounds([r[0] for r in picked.select("_key").limit(2 * BOUND_SAMPLE).collect()], RANGES_PER_TASK * n)
     below = lambda key: _place(bounds, lambda b: b < key)
     equal = _place(bounds, lambda b: b <= F.col("_key")) - below(F.col("_key"))
-    rows = rows.withColumn("_part", below(F.col("_key")) + F.pmod(F.xxhash64("page_id"), equal + 1).cast("int"))
+    rows = rows.withColumn("_part", below(F.col("_key")) + F.pmod(F.xxhash64("page_id", "path"), equal + 1).cast("int"))
     rows = rows.select("_part", "_key", F.lit(1).alias("_kind"), F.lit(0).alias("_order"), "page_id", "host", "path", F.lit(None).cast("string").alias("_rule"), F.lit(None).cast("string").alias("_verdict"))
 
     host = F.lower(rules["host"])

@@ -157,6 +157,25 @@ def test_urls_equal_sql_and_brute_force(spark):
     assert urlrange.judge(pages, spark.createDataFrame([], "verdict string, host string, path string")).where("verdict = 'allow' AND rule IS NULL").count() == len(urls) * 3
 
 
+def test_urls_of_a_hot_host(spark):
+    """A host with most pages owns several ranges; pages without an id and repeated ones are judged like any other."""
+    rows = [(None if i % 3 == 0 else i % 700, f"http://{'hot.net' if i % 10 else f'h{i}.org'}/p{i % 40}") for i in range(3000)]
+    rules = spark.createDataFrame([("block", "hot.net", "/p1"), ("allow", "net", "/p1"), ("block", "org", "/p2")], "verdict string, host string, path string")
+    got = Counter(map(tuple, urlrange.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()))
+    want = Counter()
+    for i, u in rows:
+        host, path = u[7:].split("/", 1)
+        path = "/" + path
+        rule = "hot.net/p1" if host == "hot.net" and path.startswith("/p1") else "org/p2" if host.endswith("org") and path.startswith("/p2") else None
+        want[i, host, path, rule, "block" if rule else "allow"] += 1
+    assert got == want
+    for k in range(40):
+        keys = sorted(str(x) for x in range(k))
+        df = spark.createDataFrame([(x,) for x in ["", "0", "17", "3", "39", "9", "zz"]], "k string")
+        at = df.select("k", urlrange._place(keys, lambda b: b < F.col("k")).alias("n")).collect()
+        assert all(r["n"] == sum(x < r["k"] for x in keys) for r in at)
+
+
 # ---- op7
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages on small input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyloom.llm import mixing, simhash
 
@@ -35,3 +37,11 @@ def test_odd_rows(spark, docs, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, table, labels)
             assert out.columns == table.columns and out.count() <= 2 * table.count()
+
+
+def test_odd_names(spark, docs):
+    """Columns that no schema string could hold ride along."""
+    odd = docs.where("doc_id < 9").withColumn("my-col x", F.lit(1)).withColumn("a`b", F.lit("z")).withColumn("c.d", F.lit(2))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and out.count() <= 2 * odd.count()
