@@ -28,7 +28,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are marked, so that equal and null ids need no join: the decision rides along as a row."""
-    tagged = docs.select(F.struct(*docs.columns).alias("_row"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    tagged = docs.select(F.struct(*common.columns(docs)).alias("_row"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
     return langid.identify(tagged).where("kept").select("_row.*")
 
 
