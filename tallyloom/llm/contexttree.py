@@ -36,14 +36,14 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 DEPTH = 5
 #: Bytes of text whose distinct keys are looked up together, and those worked on at once.
-PART, PIECE = 24 << 20, 4 << 20
+PART, PIECE = 64 << 20, 4 << 20
 #: Keys of whole subtrees that are worked out at once, about.
 KEYS = 1 << 18
 END = b"\n"
@@ -126,10 +126,24 @@ def _added(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-GATHERED = "part long, key long, word binary, n long, payload binary, ids array<long>, held array<boolean>, kind int"
+GATHERED = "part long, key long, word binary, n long, payload binary, kind int"
 _KEY, _WORD, _TEXT = range(3)
 
 
+def _packed(ids: list, held: list) -> bytes:
+    """Count, ids, and for each id whether it is null, for each held likewise or its value."""
+    given = np.array([i if i is not None else 0 for i in ids], np.int64)
+    marks = np.array([[i is None, 2 if h is None else h] for i, h in zip(ids, held, strict=True)], np.uint8)
+    return len(ids).to_bytes(8, "little") + given.tobytes() + marks.tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[list, list, list[bytes]]:
+    n = int.from_bytes(raw[:8], "little")
+    ids, marks = np.frombuffer(raw, np.int64, n, 8).tolist(), np.frombuffer(raw, np.uint8, 2 * n, 8 + 8 * n).reshape(n, 2).tolist()
+    texts = [t + END for t in raw[8 + 10 * n :].split(END)[:-1]]
+    return [None if m[0] else i for i, m in zip(ids, marks, strict=True)], [None if m[1] > 1 else bool(m[1]) for m in marks], texts
+
+
 class Part:
     """What a task holds of a part: distinct keys and words with their counts, compressed texts."""
 
@@ -157,7 +171,7 @@ class Part:
             self.merge()
         joined = b"".join(done)
         self.size += len(joined)
-        self.texts.append((ids, held, zstandard.compress(joined, 1)))
+        self.texts.append(zstandard.compress(_packed(ids, held) + joined, 3))
 
     def merge(self) -> None:
         k, c = _added(self.keys, self.counts)
@@ -167,17 +181,17 @@ class Part:
         self.merge()
         for at in range(0, len(self.keys[0]), 1 << 17):
             yield self._made(_KEY, key=pa.array(self.keys[0][at : at + (1 << 17)]), n=pa.array(self.counts[0][at : at + (1 << 17)]))
-        words = list(self.words.items())
+        words = list(self.words.items())  # in the order of their first places
         for at in range(0, len(words), 1 << 14):
             some = words[at : at + (1 << 14)]
-            yield self._made(_WORD, word=pa.array([w for w, _ in some], pa.binary()), n=pa.array([n for _, n in some], pa.int64()))
-        for ids, held, payload in self.texts:
-            yield self._made(_TEXT, payload=pa.array([payload], pa.binary()), ids=pa.array([ids], pa.list_(pa.int64())), held=pa.array([held], pa.list_(pa.bool_())))
+            yield self._made(_WORD, key=pa.array(range(at, at + len(some)), pa.int64()), word=pa.array([w for w, _ in some], pa.binary()), n=pa.array([n for _, n in some], pa.int64()))
+        for i, payload in enumerate(self.texts):
+            yield self._made(_TEXT, key=pa.array([i], pa.int64()), payload=pa.array([payload], pa.binary()))
 
     def _made(self, kind: int, **given: pa.Array) -> pa.RecordBatch:
-        n = len(next(iter(given.values())))
-        types = {"key": pa.int64(), "word": pa.binary(), "n": pa.int64(), "payload": pa.binary(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_())}
-        columns = {"part": pa.array([self.number] * n, pa.int64())} | {c: given.get(c, pa.nulls(n, t)) for c, t in types.items()} | {"kind": pa.array([kind] * n, pa.int32())}
+        n = len(given["key"])
+        types = {"word": pa.binary(), "n": pa.int64(), "payload": pa.binary()}
+        columns = {"part": pa.array([self.number] * n, pa.int64()), "key": given["key"]} | {c: given.get(c, pa.nulls(n, t)) for c, t in types.items()} | {"kind": pa.array([kind] * n, pa.int32())}
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -336,26 +350,30 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes lo
 
 
 def _lookup(total: int, distinct: int):
-    """Step 3: rows of a part are its keys, its words, then its texts."""
+    """Step 3: rows of a part are its keys, its words' counts by the words' first places, then its texts in order."""
     least, scale = np.log10(0.1), np.log10(total + 0.1 * (distinct + 1))
 
-    def scored(ids: list, held: list, payload: bytes, keys: np.ndarray, p: np.ndarray, words: dict[bytes, int], figures: np.ndarray) -> pa.RecordBatch:
-        texts = [t + END for t in zstandard.decompress(payload).split(END)[:-1]]
+    def scored(payload: bytes, keys: np.ndarray, p: np.ndarray, places: dict[bytes, int], counts: np.ndarray) -> pa.RecordBatch:
+        ids, held, texts = _unpacked(zstandard.decompress(payload))
         score, base, tokens, known = np.zeros(len(texts)), np.zeros(len(texts)), [], np.zeros(len(texts), np.int64)
         for k, which, starts in windows(texts):
             score[which] += np.add.reduceat(p[np.searchsorted(keys, k)], starts)
         for i, t in enumerate(texts):
-            found = t.split()
-            tokens.append(len(found) + 1)
-            c = figures[np.fromiter((words[w] for w in found), np.int64, len(found))]
-            end = figures[words[END]]
-            base[i] = np.where(c > 0, np.log10(c + 0.1), least).sum() + np.log10(end + 0.1) - scale * (len(found) + 1)
-            known[i] = int((c > 0).sum()) + int(end > 0)
+            found = [*t.split(), END]
+            tokens.append(len(found))
+            c = counts[np.fromiter((places.setdefault(w, len(places)) for w in found), np.int64, len(found))]
+            base[i] = np.where(c > 0, np.log10(c + 0.1), least).sum() - scale * len(found)
+            known[i] = (c > 0).sum()
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known), pa.array([len(t) for t in texts], pa.int64()), pa.array(base), pa.array(score)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"],
         )
 
+    def ordered(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        k, p = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+        order = np.argsort(k)
+        return k[order], p[order]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ready = None, False
         for b in batches:
@@ -364,20 +382,16 @@ def _lookup(total: int, distinct: int):
             for at, end in zip(cuts[:-1], cuts[1:], strict=True):
                 rows = b.slice(at, end - at)
                 if part[at] != now:
-                    now, ready, keys, p, words, figures = part[at], False, [], [], {}, []
-                if kind[at] == _KEY:
-                    keys.append(rows["key"].to_numpy())
-                    p.append(rows["p"].to_numpy())
-                elif kind[at] == _WORD:
-                    words.update(zip(rows["word"].to_pylist(), range(len(words), len(words) + len(rows)), strict=True))
-                    figures.append(rows["n"].to_numpy())
+                    now, ready, held = part[at], False, {_KEY: [], _WORD: []}
+                if kind[at] != _TEXT:
+                    held[int(kind[at])].append((rows["key"].to_numpy(), rows["p"].to_numpy()))
                 else:
                     if not ready:
-                        k = np.concatenate(keys)
-                        order = np.argsort(k)
-                        keys, p, figures, ready = k[order], np.concatenate(p)[order], np.concatenate(figures), True
-                    for ids, held, payload in zip(rows["ids"].to_pylist(), rows["held"].to_pylist(), rows["payload"].to_pylist(), strict=True):
-                        yield scored(ids, held, payload, keys, p, words, figures)
+                        (keys, p), (_, counts) = ordered(held[_KEY]), ordered(held[_WORD])
+                        places, ready = {}, True
+                        held.clear()
+                    for payload in rows["payload"].to_pylist():
+                        yield scored(payload, keys, p, places, counts)
 
     return run
 
@@ -385,17 +399,17 @@ def _lookup(total: int, distinct: int):
 def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, n_bytes, train_tokens, base_score (unigram), score, bits_per_byte."""
     made = gathered(docs, held, id_col, text_col, part)
-    keys, words = made.where(F.col("kind") == _KEY), made.where(F.col("kind") == _WORD)
+    keys, words, each = made.where(F.col("kind") == _KEY), made.where(F.col("kind") == _WORD), Window.partitionBy("word")
     counts = common.stored(keys.groupBy("key").agg(F.sum("n").alias("n")), "context-counts")
     model = common.stored(log_probabilities(counts), "context-model")
-    tally = common.stored(words.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total, distinct = tally.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    none = lambda t: F.lit(None).cast(t)
-    tail = (none("binary").alias("payload"), none("array<long>").alias("ids"), none("array<boolean>").alias("held"))
-    sent = keys.select("part", "kind", "key").join(model, "key").select("part", "kind", "key", none("binary").alias("word"), "p", none("long").alias("n"), *tail)
-    sent = sent.union(words.select("part", "kind", "word").join(tally, "word").select("part", "kind", none("long"), "word", none("double"), "n", *tail))
-    sent = sent.union(made.where(F.col("kind") == _TEXT).select("part", "kind", none("long"), none("binary"), none("double"), none("long"), "payload", "ids", "held"))
-    out = sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_lookup(total, distinct), SCORED)
+    counted = words.select("part", "key", "n", F.sum("n").over(each).alias("c"), F.row_number().over(each.orderBy("part")).alias("nth"))
+    counted = common.stored(counted.select("part", "key", "c", "n", (F.col("nth") == 1).alias("first")), "word-counts")
+    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
+    none = F.lit(None).cast("binary").alias("payload")
+    sent = keys.select("part", "key").join(model, "key").select("part", F.lit(_KEY).alias("kind"), "key", "p", none)
+    sent = sent.union(counted.select("part", F.lit(_WORD), "key", F.col("c").cast("double"), none))
+    sent = sent.union(made.where(F.col("kind") == _TEXT).select("part", "kind", "key", F.lit(0.0), "payload"))
+    out = sent.repartition("part").sortWithinPartitions("part", "kind", F.when(F.col("kind") == _TEXT, F.col("key"))).mapInArrow(_lookup(total, distinct), SCORED)
     bits = -F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "n_bytes", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
