@@ -230,10 +230,5 @@ def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return tagged.join(firsts, ["text_key", "row_key"], "left_semi").dropDuplicates(["text_key", "row_key"]).select("_row.*")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``unique`` that have an id."""
-    return unique(docs, id_col, text_col).where(F.col(id_col).isNotNull())
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"))

@@ -52,7 +52,7 @@ def test_near_copies_go(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
     want = [rows[i]["doc_id"] for i in survivors([r["text"] for r in rows])]
-    got = simhash.keep_first(docs).select("doc_id", "text").orderBy("doc_id").collect()
+    got = simhash.unique(docs).where("doc_id IS NOT NULL").select("doc_id", "text").orderBy("doc_id").collect()
     assert [r["doc_id"] for r in got] == want
     assert not alike_pairs(sets_of([r["text"] for r in got]))
 
@@ -68,7 +68,7 @@ def test_edited_copies_are_one(spark):
         texts.append(" ".join(other))
     texts.append(" ".join(words[300:]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r[0] for r in simhash.keep_first(df).collect()) == survivors(texts) == [0, 4]
+    assert sorted(r[0] for r in simhash.unique(df).collect()) == survivors(texts) == [0, 4]
 
 
 @pytest.mark.parametrize("most", [150, jaccard.MOST])
