@@ -15,10 +15,10 @@ score every text where it lies: no shuffle of texts. Scoring covers all rows and
 *Long texts.* A weight counts only for the one feature it was learned from: beside each weight stands the
 whole 64-bit hash of the labelled rows' feature of that coordinate that tells the labels apart best in
 the weight's direction, and other features of the coordinate count nothing. So a text's score is not raised
-by the mere number of its words. A text is scored in windows of ``WINDOW`` words, and of n windows the one of
-rank ``1 + n // SHARE`` counts: the highest up to 19, beyond that one which more than a twentieth of the text
-reaches, so that a longer text has no more chances to be taken for toxic. A toxic part is not outweighed by what
-stands around it, unless it is less than a twentieth of a text of over 38,000 words.
+by the mere number of its words. A text is scored in windows of ``WINDOW`` words; of n windows the highest counts, less
+``LENGTH * log(n)``. The scores of clean labelled rows have an exponential tail of scale ``LENGTH`` (mean excess over
+their highest tenth: 0.45 to 0.51 on sf0.1), so the highest of n clean windows grows by as much, and a longer text has
+no more chances to be taken for toxic, while a toxic window loses 2.6 among 200.
 
 Defined results: null and empty texts score the intercept. No labelled row: every score is 0.
 Repeated rows count as often as they come. Rows with a null label or id are not learned from.
@@ -46,7 +46,7 @@ STEMS = (4, 5)
 #: Labelled rows used to fit, at most.
 MAX_ROWS = 12_000
 #: Words that are scored together.
-WINDOW, SHARE = 2_000, 20
+WINDOW, LENGTH = 2_000, 0.5
 #: Distinct words whose hashes a Python worker remembers.
 CACHE_WORDS = 300_000
 EDGE = b".,;:!?\"'()[]{}<>"
@@ -204,7 +204,7 @@ def labelled_sample(docs, labels, label, learn, id_col, text_col, max_rows) -> D
 
 
 def raw_score(text: bytes, dense: np.ndarray, marks: np.ndarray, bits: int = BITS, window: int = WINDOW) -> float:
-    """Sum of the weights of a text's features, without the intercept, in the window that counts."""
+    """Sum of the weights of a text's features, without the intercept, in its highest window, less what its number of windows accounts for."""
     found, n = [], 1
     for part in hashes(text):
         n = max(n, len(part))
@@ -217,7 +217,7 @@ def raw_score(text: bytes, dense: np.ndarray, marks: np.ndarray, bits: int = BIT
     codes = np.unique(np.concatenate(found))
     windows = -(-n // window)
     sums = np.bincount(codes >> bits, dense[codes & (1 << bits) - 1], windows)
-    return float(np.sort(sums)[-1 - windows // SHARE])
+    return float(sums.max() - LENGTH * np.log(windows))
 
 
 def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int = BITS):
