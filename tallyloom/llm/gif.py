@@ -10,7 +10,8 @@ the next code's first byte, and both lie side by side in the output; so every co
 copy of earlier output. Lengths and source positions of all bytes then follow by pointer doubling, in
 as many steps as the logarithm of the longest chain. Encoding is the usual greedy dictionary walk.
 
-Each document is one row and one task's work; nothing is shuffled. Memory: a few times one document.
+Each document is one row and one task's work; nothing is shuffled. Memory: a few times one document,
+or the samples that a frame's header asks for; codes that stand for more are cut before they are laid out.
 
 Defined results: null payload: null media in ``encode``; ``pad`` turns null text into one block of
 zeros. A stream that is cut or damaged, or whose canvas or frame would have over ``MAX_PIXELS`` pixels: the
@@ -128,7 +129,7 @@ def lzw_unpack(stream: bytes, bits: int = 8, most: int | None = None) -> tuple[n
             codes = np.concatenate((codes, triples[start[n:] >> 3] >> (start[n:] & 7) & 4095))
             stop = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stop[0]) if len(stop) else len(codes)
-        data, sound = _copies(codes[:n].astype(np.int64), end + 1)
+        data, sound = _copies(codes[:n].astype(np.int64), end + 1, None if most is None else most - have)
         out.append(data)
         have += len(data)
         if not sound or not len(stop):
@@ -143,16 +144,17 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint8)
 
 
-def _copies(codes: np.ndarray, first: int) -> tuple[np.ndarray, bool]:
-    """Bytes that the codes between two clear codes stand for. The entry ``first + j`` is the string of
-    code j and one byte more; it lies in the output where code j's string begins."""
+def _copies(codes: np.ndarray, first: int, most: int | None = None) -> tuple[np.ndarray, bool]:
+    """Bytes that the codes between two clear codes stand for, up to the code that reaches ``most`` bytes: a few codes
+    may stand for gigabytes. The entry ``first + j`` is the string of code j and one byte more; it lies in the output
+    where code j's string begins."""
     n = len(codes)
     if not n:
         return np.empty(0, np.uint8), True
     of = codes - first  # the code that an entry stems from
     wrong = np.flatnonzero(of >= np.arange(n))
     if len(wrong):
-        good, _ = _copies(codes[: wrong[0]], first)
+        good, _ = _copies(codes[: wrong[0]], first, most)
         return good, False
     # length: 1 for a literal, else one more than its code's: steps to a literal, by pointer doubling
     length = np.where(of >= 0, 1, 0)
@@ -164,7 +166,11 @@ def _copies(codes: np.ndarray, first: int) -> tuple[np.ndarray, bool]:
         length = length + further
         jump = jump[jump]
     length += 1
-    begin = np.cumsum(length) - length
+    ends = np.cumsum(length)
+    if most is not None and ends[-1] > most:  # what comes later is referred to by none of these
+        kept = int(np.searchsorted(ends, most)) + 1
+        codes, of, length, ends = codes[:kept], of[:kept], length[:kept], ends[:kept]
+    begin = ends - length
     total = int(length.sum())
     # every byte's source: itself for a literal, else the same offset of the code's own string
     source = np.arange(total) + np.repeat(np.where(of >= 0, begin[np.maximum(of, 0)] - begin, 0), length)

@@ -53,6 +53,86 @@ def test_lzw_round_trip():
             assert sound and got.tobytes() == samples
 
 
+def plain_lzw(stream, bits):
+    """Code after code with a table of strings, as the format describes it."""
+    clear, end = 1 << bits, (1 << bits) + 1
+    have, out, table, width, last, at = int.from_bytes(stream, "little"), [], [], bits + 1, None, 0
+    while at + width <= 8 * len(stream):
+        code = have >> at & ((1 << width) - 1)
+        at += width
+        if code == end:
+            return b"".join(out), True
+        if code == clear:
+            table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], bits + 1, None
+            continue
+        if last is None:
+            text = table[code]
+        else:
+            if code > len(table):
+                return b"".join(out), False
+            text = table[code] if code < len(table) else last + last[:1]
+            if len(table) < 4096:
+                table.append(last + text[:1])
+                width = min(12, max(width, len(table).bit_length()))
+        out.append(text)
+        last = text
+    return b"".join(out), False
+
+
+def packed(codes, bits, full=True):
+    """A stream of these codes after a clear code; past a full table no clear code comes."""
+    have, at, size, width = 1 << bits, bits + 1, (1 << bits) + 2, bits + 1
+    for i, code in enumerate([*codes, (1 << bits) + 1]):
+        have |= code << at
+        at += width
+        if i and size < 4096:
+            size += 1
+            width = min(12, max(width, size.bit_length()))
+    return have.to_bytes((at + 7) // 8, "little")
+
+
+def test_lzw_equals_a_plain_decoder():
+    rng = random.Random(4)
+    for bits in (2, 4, 8):
+        for n in (0, 1, 5000, 60_000):
+            samples = bytes(rng.randrange(1 << bits) if rng.random() < 0.3 else 1 for _ in range(n))
+            assert plain_lzw(gif.lzw_pack(samples, bits), bits) == (samples, True)
+        first = (1 << bits) + 2
+        codes = [0, *(min(first + rng.randrange(i), 4095) if rng.random() < 0.5 else rng.randrange(1 << bits) for i in range(1, 6000))]
+        stream = packed(codes, bits)
+        want, sound = plain_lzw(stream, bits)
+        got, fine = gif.lzw_unpack(stream, bits)
+        assert got.tobytes() == want and fine == sound
+        short, _ = gif.lzw_unpack(stream, bits, 1000)
+        assert short.tobytes()[:1000] == want[:1000] and len(short) < 1000 + 4096
+
+
+def test_lzw_expansion_is_cut():
+    """A megabyte of codes that each stand for thousands of samples."""
+    import tracemalloc
+
+    stream = packed([0, *range(258, 4096), *[4095] * 700_000], 8)
+    assert len(stream) > 1_000_000
+    tracemalloc.start()
+    got, _ = gif.lzw_unpack(stream, 8, 4096)
+    assert 4096 <= len(got) < 10_000 and not got.any() and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_gif_feature(spark):
+    """Frames, time and the four commonest colours, counted from the text itself."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).collect()
+    have = {r["doc_id"]: r["feature"] for r in gif.op2_gif(spark, SF).collect()}
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        grey = Counter(b >> 6 for b in raw)
+        named = [(f"{k}{k}{k}", grey[k]) for k in range(4)] + [(f"{i // 16}{i // 4 % 4}{i % 4}", 0) for i in range(64) if i % 21]
+        top = sorted(named, key=lambda x: (-x[1], x[0]))[:4]
+        frames = -(-len(raw) // (64 * 4096))
+        assert have[doc_id] == f"frames={frames};ms={40 * frames};" + ",".join(f"{k}:{n}" for k, n in top)
+
+
 def test_gif_disposal_transparency_interlace():
     def frame(samples, left, top, w, h, disposal, clear=None, interlaced=False):
         codes = gif.lzw_pack(bytes(samples), 2)
@@ -332,6 +412,14 @@ def test_rans_equals_library(spark, docs, empty, library):
     assert rans.read(rans.write(empty)).count() == 0
 
 
+def test_rans_folder_stands_alone(spark, docs):
+    """Another session decodes from the folder's path alone."""
+    made = rans.write(docs)
+    want = sorted(map(repr, rans.read(made).collect()))
+    other = spark.newSession()
+    assert sorted(map(repr, rans.read(rans.Files(other, made.path)).collect())) == want
+
+
 ALPHABET = "ab \n\t  é'sßñ0123.,! \u3000\x1c\x85\u200bЖ漢字😀\r"
 
 
