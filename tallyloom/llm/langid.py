@@ -13,9 +13,9 @@ For each language the log posterior adds up
 Beside the languages stands a background of equally likely buckets, with the prior ``BACKGROUND``: what no language
 explains better, as random letters or an unknown script, is in no known language.
 
-Every language that enough rows declare for it to have a fitted text is in the model; the number of languages
-has no bound but memory (``2 ** BITS`` numbers a language in each worker). Texts are scored where they
-lie, with the model broadcast. What then moves is a short row for each text. The prior of hosts is broadcast after a check of its size and
+Every language that ``LEAST_ROWS`` rows declare is in the model, so that one stray code doesn't become a
+language; beyond that their number has no bound but memory (``2 ** BITS`` numbers a language in each worker). Texts are
+scored where they lie, with the model broadcast; of a row only its text goes through Python. The prior of hosts is broadcast after a check of its size and
 joined by a shuffle beyond it, where adaptive execution splits a hot host.
 
 Defined results: null or empty text, or text without words: language ``und``, posterior 0, not kept. Text that
@@ -32,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -40,6 +39,8 @@ BITS = 15
 #: Texts fitted for each declared language, at most.
 MAX_ROWS = 2_000
 CAP = 30
+#: Rows that must declare a language for it to be one.
+LEAST_ROWS = 3
 #: Share of a language's words that fall on buckets it has not seen, spread evenly over all.
 UNSEEN = 0.05
 #: Prior of the background.
@@ -93,13 +94,13 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarra
     """Languages, and log shares of (bucket, language), the background last. rows: text, declared."""
     known = rows.select("text", _language(F.col("declared")).alias("l"), F.xxhash64("text").alias("h")).where("l <> '' AND text IS NOT NULL")
     # a distinct text counts once, as what most of its rows declare
-    owned = known.groupBy("h", "l").agg(F.count("h").alias("n")).groupBy("h").agg(F.max_by("l", F.struct("n", "l")).alias("l"))
+    owned = known.groupBy("h", "l").agg(F.count("h").alias("n")).groupBy("h").agg(F.max_by("l", F.struct("n", "l")).alias("l"), F.max("n").alias("n"))
     owned = common.cut(owned)
-    sizes = {r["l"]: r["count"] for r in owned.groupBy("l").count().collect()}
+    sizes = {r["l"]: r["texts"] for r in owned.groupBy("l").agg(F.count("h").alias("texts"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS).collect()}
     if not sizes:
         return [], np.zeros((1 << BITS, 1), np.float32)
     limits = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, common.below(max_rows / n))))
-    drawn = owned.where(F.col("h") <= F.element_at(limits, F.col("l")))  # about max_rows for each language
+    drawn = owned.where(F.col("h") <= F.try_element_at(limits, F.col("l")))  # about max_rows for each language
     picked = common.join_small(known.select("h", "text"), drawn, ["h"], "inner").groupBy("h").agg(F.first("l").alias("l"), F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,22 +128,23 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarra
 def score(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
     """The columns of rows but the text; n_words; text_ll: log likelihood by language, of weight CAP at most;
     back_ll: that of the background."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(table)
-    others = [c for c in rows.columns if c != "text"]
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        table, n, ll = sent.value, [], []
-        for t in common.texts(b["text"]):
-            at = _WORDS.of(t)
-            n.append(len(at))
-            ll.append((table[at.ravel()].sum(axis=0) * (min(len(at), CAP) / len(at)) if len(at) else np.zeros(table.shape[1])).astype(float))
-        each = np.array(ll).reshape(-1, table.shape[1])
-        found = [pa.array(n, pa.int64()), pa.array(list(each[:, :-1]), pa.list_(pa.float64())), pa.array(each[:, -1], pa.float64())]
-        return pa.RecordBatch.from_arrays([*(b[c] for c in others), *found], names=[*others, "n_words", "text_ll", "back_ll"])
-
-    schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("n_words", T.LongType()).add("text_ll", T.ArrayType(T.DoubleType())).add("back_ll", T.DoubleType())
-    return common.mapped(rows, run, schema, _forget)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("n_words long, text_ll array<double>, back_ll double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = sent.value
+        for b in batches:
+            n, ll = [], [np.zeros((0, table.shape[1]))]
+            for t in common.texts(b):
+                at = _WORDS.of(t)
+                n.append(len(at))
+                ll.append((table[at.ravel()].sum(axis=0) * (min(len(at), CAP) / len(at)) if len(at) else np.zeros(table.shape[1])).astype(float)[None])
+            each = np.concatenate(ll)
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(list(each[:, :-1]), pa.list_(pa.float64())), pa.array(each[:, -1], pa.float64())], names=["n_words", "text_ll", "back_ll"])
+        _forget()
+
+    others = [c for c in common.columns(rows.drop("text"))]
+    return rows.select(*others, scored("text").alias("_scored")).select(*others, "_scored.*")
 
 
 def _best(values: Column) -> Column:

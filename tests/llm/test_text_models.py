@@ -157,6 +157,12 @@ def test_language_many_and_rare(spark):
     assert out.where("id >= 5000 AND lang = 'yy'").count() == 3 and out.where("id < 900 AND lang <> declared").count() == 0
 
 
+def test_a_stray_code_is_no_language(spark):
+    rows = [(i, f"the house number {i} stands by water {i % 7}", "en") for i in range(300)] + [(300, "strange words of one text", "zz")] + [(301 + i, f"strange words of one text {i}", None) for i in range(5)]
+    out = langid.identify(spark.createDataFrame([(*r, "h") for r in rows], "id long, text string, declared string, host string"))
+    assert {r[0] for r in out.select("lang").distinct().collect()} <= {"en", "und"}
+
+
 def bayes(rows, max_rows=10**9):
     """The fusion of identify() word by word, in plain Python."""
     import math
@@ -176,7 +182,11 @@ def bayes(rows, max_rows=10**9):
     for text in {t for t, _ in said}:
         declared = max((n, d) for (t, d), n in said.items() if t == text)[1]
         seen[declared].update(x for w in buckets(text) for x in w)
-    names = sorted(n for n in seen if seen[n])
+    owners = Counter()
+    for text in {t for t, _ in said}:
+        n, declared = max((n, d) for (t, d), n in said.items() if t == text)
+        owners[declared] += n
+    names = sorted(n for n in seen if seen[n] and owners[n] >= langid.LEAST_ROWS)
     total = {n: sum(seen[n].values()) for n in names}
     like, back = [], []
     for _, t, _, _ in rows:
