@@ -27,6 +27,7 @@ outside the vocabulary raises. An empty table gives no segment. Extra columns ar
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -245,10 +246,18 @@ def _table(sent: Sent) -> Table:
 
 
 class Files:
-    """What ``write`` made: segments (part, segment, n_tokens, image) and their frequency table."""
+    """A folder that ``write`` made: segments (part, segment, n_tokens, image), and beside them their frequency table,
+    deflated, so that any session decodes them from the folder alone."""
 
-    def __init__(self, segments: DataFrame, frequencies: np.ndarray) -> None:
-        self.segments, self.frequencies = segments, frequencies
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path, self.segments = path, spark.read.schema(_SEGMENTS).parquet(f"{path}/segments")
+
+    def frequencies(self) -> np.ndarray:
+        table = self.segments.sparkSession.read.schema("table binary").parquet(f"{self.path}/frequencies").first()["table"]
+        return np.frombuffer(zlib.decompress(table), np.int64)
+
+
+_SEGMENTS = "part int, segment int, n_tokens long, image binary"
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Files:
@@ -303,12 +312,15 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0, id_col: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]  # the hash parts ids that many rows share
     ordered = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order, "ids")
-    return Files(common.stored(ordered.mapInArrow(code, "part int, segment int, n_tokens long, image binary"), "segments"), frequencies)
+    folder = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    spark.createDataFrame([(zlib.compress(frequencies.astype(np.int64).tobytes()),)], "table binary").coalesce(1).write.parquet(f"{folder}/frequencies")
+    ordered.mapInArrow(code, _SEGMENTS).write.parquet(f"{folder}/segments")
+    return Files(spark, folder)
 
 
 def read(files: Files) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary, little-endian unsigned 32-bit)."""
-    spark, sent = files.segments.sparkSession, Sent(files.segments.sparkSession, files.frequencies)
+    spark, sent = files.segments.sparkSession, Sent(files.segments.sparkSession, files.frequencies())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
