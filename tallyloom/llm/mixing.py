@@ -19,7 +19,7 @@ half a gigabyte); documents are only joined and windowed. The plan of few source
 than ``SOURCES_SENT`` joined by a shuffle.
 
 Defined results: null text: size 0, takes nothing. A null source is a source, last in order. Sources
-without words take nothing. Repeated ids lie at the same place of the order, ties by size, and each row is drawn
+without words take nothing. Rows without an id are permuted by their texts. Repeated ids lie at the same place of the order, ties by size, and each row is drawn
 on its own; extra columns are not read. Empty table: empty result. The same input always gives the same mix.
 """
 
@@ -98,10 +98,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     (pass, words, shard) of each pass that takes words of it; row_key, if one is given. sent: sources whose plan is
     broadcast, at most."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), common.n_words(F.col(text_col)).alias("size"), (F.lit(0).cast("long") if row_key is None else row_key).alias("row_key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), common.n_words(F.col(text_col)).alias("size"), (F.lit(0).cast("long") if row_key is None else row_key).alias("row_key"), F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).alias("_own"))
     # a join key that null sources share and that no name equals
-    rows = rows.select("doc_id", "size", "row_key", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")).alias("_key"), _permuted(F.col("doc_id")).alias("_at"))
-    rows = rows.withColumn("_block", F.substring(F.coalesce("_at", F.lit("")), 1, BLOCK_DIGITS))
+    rows = rows.select("doc_id", "size", "row_key", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")).alias("_key"), _permuted(F.coalesce(F.col("doc_id").cast("string"), F.col("_own"))).alias("_at"))
+    rows = rows.withColumn("_block", F.substring("_at", 1, BLOCK_DIGITS))
     blocks = common.cut(rows.groupBy("_key", "_block").agg(F.sum("size").alias("_words")))
     found = sorted(blocks.groupBy("_key").agg(F.sum("_words").alias("n")).collect(), key=lambda r: (r["_key"] == "", r["_key"].encode()))
     sizes = [r["n"] for r in found]
