@@ -30,3 +30,17 @@ def test_length_does_not_decide(spark):
     print(count, sum(r["n"] for r in got) / len(got))
     assert sum(r["n"] for r in got) / len(got) > 900_000
     assert count == {0: 0, 1: 10, 2: 10}
+
+
+def test_one_window_is_enough():
+    """A toxic window counts among 1, 20 and 200, and a text's score falls evenly with the log of its windows."""
+    import numpy as np
+
+    dense, marks = np.zeros(2**10 + 1), np.zeros(2**10 + 1, np.uint64)
+    word = toxicity.hashes(b"vile")[0][0]
+    dense[word >> np.uint64(54)], marks[word >> np.uint64(54)] = 9.0, word
+    for n in (1, 19, 20, 21, 200):
+        for at in (0, 1000, 2000 * n - 1):
+            words = [b"calm"] * (2000 * n)
+            words[at] = b"vile"
+            assert abs(toxicity.raw_score(b" ".join(words), dense, marks, 10) - (9.0 - toxicity.LENGTH * np.log(n))) < 1e-9
