@@ -43,7 +43,7 @@ from . import common
 
 DEPTH = 5
 #: Bytes of text whose distinct keys are looked up together, and those worked on at once.
-PART, PIECE = 64 << 20, 4 << 20
+PART, PIECE = 64 << 20, 1 << 20
 #: Keys of whole subtrees that are worked out at once, about.
 KEYS = 1 << 18
 END = b"\n"
@@ -85,12 +85,39 @@ class Weighted:
 
 def keys_of(x: np.ndarray) -> np.ndarray:
     """Keys of all bytes but the first DEPTH, which are context only: the five bytes before, latest first, then the byte."""
-    x, n = x.astype(np.int64), len(x) - DEPTH
-    out = x[DEPTH - 1 : DEPTH - 1 + n].copy()
-    for back in (*range(2, DEPTH + 1), 0):
-        out <<= 8
-        out |= x[DEPTH - back : DEPTH - back + n]
-    return out
+    padded = np.concatenate((np.zeros(8 - DEPTH - 1, np.uint8), x))
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(x) - DEPTH,), (1,))  # the byte, on top, and the seven before
+    out = eight << np.uint64(8)
+    out >>= np.uint64(64 - 8 * DEPTH)
+    out <<= np.uint64(8)
+    out |= eight >> np.uint64(56)
+    return out.view(np.int64)
+
+
+class Lookup:
+    """Places of keys in a sorted array: a table by a hash says where most are, a search finds the others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.shift = keys, np.uint64(64 - max(10, int(len(keys)).bit_length() + 2))
+        self.table = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.table[self._slots(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slots(self, k: np.ndarray) -> np.ndarray:
+        return (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, k: np.ndarray) -> np.ndarray:
+        at = self.table[self._slots(k)]
+        other = np.flatnonzero(self.keys[at] != k)
+        at[other] = np.searchsorted(self.keys, k[other])
+        return at
+
+
+class Places(dict):
+    """word -> its number, in the order of first asking."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return len(self) - 1
 
 
 def normalised(text: bytes) -> bytes:
@@ -110,10 +137,10 @@ def windows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         ends = np.minimum(starts[first + 1 : last + 1] - DEPTH - at, len(keys))
         some = ends > begins
         which, begins, ends = np.arange(first, last)[some], begins[some], ends[some]
-        inside = np.zeros(len(keys) + 1, np.int8)
-        inside[begins] += 1
-        np.subtract.at(inside, ends, 1)
-        yield keys[np.cumsum(inside[:-1]) > 0], which, np.cumsum([0, *(ends - begins)[:-1]])
+        inside = np.ones(len(keys), bool)
+        gaps = (starts[first : last + 1, None] - np.arange(1, DEPTH + 1) - at).ravel()  # the pads between texts
+        inside[gaps[(gaps >= 0) & (gaps < len(keys))]] = False
+        yield keys[inside], which, np.cumsum([0, *(ends - begins)[:-1]])
 
 
 def _added(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -351,19 +378,19 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes lo
 
 def _lookup(total: int, distinct: int):
     """Step 3: rows of a part are its keys, its words' counts by the words' first places, then its texts in order."""
-    least, scale = np.log10(0.1), np.log10(total + 0.1 * (distinct + 1))
+    scale = np.log10(total + 0.1 * (distinct + 1))
 
-    def scored(payload: bytes, keys: np.ndarray, p: np.ndarray, places: dict[bytes, int], counts: np.ndarray) -> pa.RecordBatch:
+    def scored(payload: bytes, find: Lookup, p: np.ndarray, places: Places, figures: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
         ids, held, texts = _unpacked(zstandard.decompress(payload))
         score, base, tokens, known = np.zeros(len(texts)), np.zeros(len(texts)), [], np.zeros(len(texts), np.int64)
         for k, which, starts in windows(texts):
-            score[which] += np.add.reduceat(p[np.searchsorted(keys, k)], starts)
+            score[which] += np.add.reduceat(p[find(k)], starts)
         for i, t in enumerate(texts):
             found = [*t.split(), END]
             tokens.append(len(found))
-            c = counts[np.fromiter((places.setdefault(w, len(places)) for w in found), np.int64, len(found))]
-            base[i] = np.where(c > 0, np.log10(c + 0.1), least).sum() - scale * len(found)
-            known[i] = (c > 0).sum()
+            at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
+            base[i] = figures[at].sum() - scale * len(found)
+            known[i] = seen[at].sum()
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known), pa.array([len(t) for t in texts], pa.int64()), pa.array(base), pa.array(score)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"],
@@ -388,10 +415,10 @@ def _lookup(total: int, distinct: int):
                 else:
                     if not ready:
                         (keys, p), (_, counts) = ordered(held[_KEY]), ordered(held[_WORD])
-                        places, ready = {}, True
+                        find, places, figures, ready = Lookup(keys), Places(), np.log10(counts + 0.1), True
                         held.clear()
                     for payload in rows["payload"].to_pylist():
-                        yield scored(payload, keys, p, places, counts)
+                        yield scored(payload, find, p, places, figures, counts > 0)
 
     return run
 

@@ -95,7 +95,7 @@ def test_equals_recursion(spark, part, monkeypatch):
     docs = [(i, " \n".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(40)]
     docs += [(None, "abc never LEARNED"), (3, None), (3, ""), (44, "你 \U0001f600 x"), (44, "你 \U0001f600 x"), (45, " \t ")]
     df = spark.createDataFrame([(a, b, "k", 1) for a, b in docs], "doc_id long, text string, key string, part int").repartition(3)
-    monkeypatch.setattr(contexttree, "PIECE", 64)
+    monkeypatch.setattr(contexttree, "PIECE", 64)  # texts are cut into windows
     same(contexttree.score(df, common.fold(F.col("doc_id"), 10) == 0, part=part).collect(), expected(docs))
 
 
