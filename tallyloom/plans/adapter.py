@@ -96,6 +96,12 @@ VIEWS = {
     "renamed": """
         SELECT ordinal, CASE WHEN ordinal % 4 = 0 THEN name || ' #c-' || CAST(ordinal % 37 AS STRING) || '#' ELSE name END AS raw,
           CASE WHEN ordinal % 4 = 0 THEN name || ' # C-' || CAST(ordinal % 37 + CASE WHEN ordinal % 8 = 0 THEN 1 ELSE 0 END AS STRING) || '#' WHEN ordinal % 7 = 0 THEN name || ' new' ELSE name END AS renamed FROM (SELECT ordinal, replace(name, '#', '-') AS name FROM {products}) x""",
+    # observed SKUs in two batches; some offers are seen as one, some attempts fail
+    "observed": """
+        SELECT l_orderkey % 2 AS batch, l_orderkey % 20 AS round_id, 'S' || CAST(l_suppkey % 3 AS STRING) AS shop, 'o' || CAST(l_partkey % 60 AS STRING) AS offer,
+          CASE WHEN l_orderkey % 7 = 0 THEN 'default' ELSE CAST(CAST(l_quantity AS BIGINT) % 5 AS STRING) END AS sku, CAST(CAST(l_shipdate AS DATE) AS STRING) || 'T20:00:00' AS seen_at, max(l_returnflag) = 'R' AS failed,
+          min(l_linenumber) AS attempt, CAST(max(l_quantity) AS BIGINT) AS stock, max(l_extendedprice) AS price, max(CASE WHEN l_linestatus = 'O' THEN 'name ' || CAST(l_suppkey % 9 AS STRING) END) AS detail_title
+        FROM {lineitem} GROUP BY ALL""",
     "statuses": """
         SELECT ordinal, CASE WHEN ordinal % 5 = 0 THEN 'failed' WHEN ordinal % 11 = 0 THEN 'needs_config' WHEN ordinal % 7 = 0 THEN 'missing' WHEN ordinal % 23 = 0 THEN 'disabled' ELSE 'judged' END AS state, 'reason ' || CAST((ordinal * 5) % 7 AS STRING) AS status FROM {products}""",
     "weekly_plan": """

@@ -13,7 +13,7 @@ from tallyloom.plans import shared
 from tallyloom.plans.adapter import Views, duck
 from tallyloom.plans.matching_queries import _PAIRS, _clusters, _edges
 from tallyloom.plans.series_queries import END, START, _chain, _series
-from tallyloom.sources import packages, stores
+from tallyloom.sources import commits, packages, stores
 
 
 def _root(v: Views, what: str) -> str:
@@ -26,7 +26,43 @@ def package_scan(v: Views) -> DataFrame:
     rows.write.parquet(f"{root}/good")
     v["weekly_plan"].select(F.concat(F.lit("no package: "), F.col("shop").cast("string"))).coalesce(1).write.text(f"{root}/bad")
     read, failures = stores.scan(v.spark, root, rows.schema)
-    return read.groupBy("machine").agg(F.count("machine").alias("n")).select("machine", F.lit("read").alias("state"), "n").union(failures.select(F.lit("?"), "reason", F.lit(0).cast("long")))
+    return read.groupBy("machine").agg(F.count("machine").alias("n")).select("machine", F.lit("read").alias("state"), "n").union(failures.select(F.lit("?"), F.split("reason", ":")[0], F.lit(0).cast("long")))
+
+
+def observation_commit(v: Views) -> DataFrame:
+    """Two batches of observations, each followed by its failed attempts, then the first one again, another that ended before
+    its entry, and one with a row that can't be: what readers find of snapshots, products and inventory."""
+    store, seen = commits.Store(v.spark, _root(v, "observed")), shared.cut(v["observed"])
+    rows = seen.where("NOT failed").withColumns({"sku_name": F.concat(F.lit("sku "), "sku"), "list_title": F.lit(" "), "image": F.lit(None).cast("string")})
+    for batch in (0, 1):
+        store.commit(f"batch {batch}", commits.observed(rows.where(F.col("batch") == batch)))
+        store.commit(f"failures {batch}", commits.failed(seen.where("failed").where(F.col("batch") == batch)))
+    assert store.commit("batch 0", lambda _: commits.observed(rows.where("batch = 0").withColumn("stock", F.lit(-1)))) is None
+    for table, lost in commits.observed(rows.where("batch = 0").withColumn("stock", F.lit(-2))).items():
+        lost.write.parquet(f"{store.root}/rows/{uuid.uuid4().hex}/{table}")
+    try:
+        store.commit("broken", commits.observed(rows.withColumn("stock", F.when(F.col("round_id") > 3, F.col("stock")))))
+    except ValueError:
+        pass
+    long = lambda df, table, *keys: df.select(F.lit(table).alias("tbl"), F.concat_ws("|", *keys).alias("k"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns if c not in keys)).alias("val"))
+    snaps = commits.snapshots(store).select("round_id", "shop", "offer", F.coalesce("sku", F.lit("-")).alias("sku"), "status", "stock", "seen_at")
+    stock = commits.inventory(store).select("shop", "offer", "sku", "date", "stock", "seen_at")
+    return long(snaps, "snapshots", "round_id", "shop", "offer", "sku").union(long(commits.products(store), "products", "offer")).union(long(stock, "inventory", "shop", "offer", "sku", "date"))
+
+
+def judgment_commit(v: Views) -> DataFrame:
+    """Judgments of neighbours and their evidence, committed machine by machine, the second one twice; each judgment with the
+    evidence that was committed with it."""
+    store = commits.Store(v.spark, _root(v, "judged"))
+    pairs = v.sql("SELECT a.ordinal AS a, b.ordinal AS b, a.image % 2 = b.image % 2 AS same, a.ordinal % 3 AS machine, a.name || '/' || CAST(a.image AS STRING) AS va, b.name || '/' || CAST(b.image AS STRING) AS vb FROM {products} a JOIN {products} b ON b.ordinal = a.ordinal + 2")
+    for machine in (0, 1, 2, 1):
+        some = pairs.where(F.col("machine") == machine)
+        evidence = some.select(F.col("a").alias("ordinal"), F.col("va").alias("version")).union(some.select("b", "vb")).distinct()
+        store.commit(f"m{machine}", {"judgments": some.select("a", "b", "same", "va", "vb"), "evidence": evidence})
+    judged, known = store.read("judgments"), store.read("evidence").select("_commit", "ordinal", "version")
+    for end in ("a", "b"):
+        judged = judged.join(known.select("_commit", F.col("ordinal").alias(end), F.col("version").alias(f"v{end}")), ["_commit", end, f"v{end}"], "left_semi")
+    return judged.groupBy("_commit", "same").agg(F.count("a").alias("n"), F.sum("b").alias("total")).select(F.col("_commit").cast("long").alias("commit_no"), "same", "n", "total")
 
 
 def judgment_scan(v: Views) -> DataFrame:
@@ -42,7 +78,7 @@ def draft_versions(v: Views) -> DataFrame:
     root = _root(v, "draft")
     stores.commit_version(v["weekly_plan"].where("week = 1"), root)
     stores.commit_version(v["weekly_plan"].where("week = 2"), root)
-    return stores.current(v.spark, root)
+    return stores.current(v.spark, root, v["weekly_plan"].schema)
 
 
 def shop_list(v: Views) -> DataFrame:
@@ -126,11 +162,24 @@ def weight_replay(v: Views) -> DataFrame:
 
 
 QUERIES = {
-    "package_scan": package_scan, "judgment_scan": judgment_scan, "draft_versions": draft_versions, "shop_list": shop_list, "plan_documents": plan_documents, "csv_report": csv_report, "manual_edits": manual_edits,
+    "observation_commit": observation_commit, "judgment_commit": judgment_commit, "package_scan": package_scan, "judgment_scan": judgment_scan, "draft_versions": draft_versions, "shop_list": shop_list, "plan_documents": plan_documents, "csv_report": csv_report, "manual_edits": manual_edits,
     "collected_judgments": collected, "recommendation_contexts": contexts, "sku_points": sku_points, "recall_coverage": recall_coverage, "floored_edges": floored_edges, "group_sizes": group_sizes, "weight_replay": weight_replay,
 }
 
 SQL = {
+    "observation_commit": duck("""WITH good AS (SELECT *, 2 * batch + 1 AS no, sku = 'default' AS one FROM {observed} WHERE NOT failed),
+      last AS (SELECT round_id, shop, offer, max((no, seen_at, one)) AS l FROM good GROUP BY ALL),
+      kept AS (SELECT g.* FROM good g JOIN last USING (round_id, shop, offer) WHERE g.one = l[3] QUALIFY row_number() OVER (PARTITION BY g.round_id, g.shop, g.offer, g.sku ORDER BY no DESC, seen_at DESC) = 1),
+      tried AS (SELECT f.* FROM {observed} f LEFT JOIN last USING (round_id, shop, offer) WHERE f.failed AND (l IS NULL OR 2 * f.batch + 2 > l[1])),
+      dated AS (SELECT *, CAST(CAST(seen_at AS TIMESTAMP) + INTERVAL 8 HOUR AS DATE) AS date FROM good),
+      daily AS (SELECT shop, offer, sku, date, one, arg_max(stock, (no, seen_at, round_id)) AS stock, arg_max(seen_at, (no, seen_at)) AS seen_at FROM dated GROUP BY ALL),
+      kinds AS (SELECT shop, offer, date, max((seen_at, one))[2] AS one FROM daily GROUP BY ALL),
+      named AS (SELECT offer, no, round_id, seen_at, detail_title FROM good)
+      SELECT 'snapshots' AS tbl, concat_ws('|', round_id, shop, offer, sku) AS k, concat_ws('|', 'success', stock, seen_at) AS val FROM kept
+      UNION ALL SELECT 'snapshots', concat_ws('|', round_id, shop, offer, '-'), concat_ws('|', 'failed', '-', seen_at) FROM tried
+      UNION ALL SELECT 'products', offer, concat_ws('|', coalesce(n, '-'), '-', f, l) FROM (SELECT offer, arg_max(detail_title, (no, seen_at, round_id)) FILTER (detail_title IS NOT NULL) AS n, min(m) AS f, max(seen_at) AS l FROM (SELECT *, max(seen_at) OVER (PARTITION BY offer, no) AS m FROM named) GROUP BY offer)
+      UNION ALL SELECT 'inventory', concat_ws('|', d.shop, d.offer, d.sku, d.date), concat_ws('|', d.stock, d.seen_at) FROM daily d JOIN kinds q ON q.shop = d.shop AND q.offer = d.offer AND q.date = d.date AND q.one = d.one"""),
+    "judgment_commit": duck("SELECT a.ordinal % 3 + 1 AS commit_no, a.image % 2 = b.image % 2 AS same, count(*) AS n, sum(b.ordinal)::BIGINT AS total FROM {products} a JOIN {products} b ON b.ordinal = a.ordinal + 2 GROUP BY ALL"),
     "package_scan": duck("SELECT machine, 'read' AS state, count(*) AS n FROM {machine_inventory} GROUP BY machine UNION ALL SELECT '?', 'not a package', 0"),
     "judgment_scan": duck("SELECT machine, count(*) AS members, count(DISTINCT relation) AS relations, 0 AS exclusions FROM {relations} WHERE confirmed GROUP BY machine"),
     "draft_versions": duck("SELECT * FROM {weekly_plan} WHERE week = 2"),

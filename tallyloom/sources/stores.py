@@ -10,48 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyloom.sources import packages
+from tallyloom.sources import commits, package_source
 
 
 def scan(spark: SparkSession, root: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Rows of all readable packages below a folder, and one row for each file that is none: path, reason. A damaged
-    package doesn't end the job. Files are judged by the four bytes at either end."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(~F.col("path").rlike("/[_.][^/]*$"))
-    mark, size = F.lit(b"PAR1"), F.octet_length("content")
-    failures = files.where((size < 12) | (F.substring("content", 1, 4) != mark) | (F.col("content").substr(size - 3, F.lit(4)) != mark)).select("path", F.lit("not a package").alias("reason"))
-    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(root)
-    return packages.projected(rows, schema), failures
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def commit_version(df: DataFrame, root: str) -> str:
-    """Writes a new version beside the others, then points CURRENT at it by a rename; readers see the old one or the
-    new one. Returns its name."""
-    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
-    fresh, fs = _files(spark, f"{root}/.CURRENT-{name}")
-    out = fs.create(fresh, True)
-    out.writeUTF(name)
-    out.close()
-    current, _ = _files(spark, f"{root}/CURRENT")
-    if fs.exists(current):
-        fs.delete(current, False)
-    if not fs.rename(fresh, current):
-        raise RuntimeError("the pointer could not be moved")
-    return name
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The version that CURRENT points at."""
-    at, fs = _files(spark, f"{root}/CURRENT")
-    stream = fs.open(at)
-    name = stream.readUTF()
-    stream.close()
-    return spark.read.parquet(f"{root}/{name}")
+    """Rows of all sound packages below a folder (.parquet or .parquet.gz), and one row for each file that is none, or is damaged
+    anywhere: path, reason. Each file is in one of both; none ends the job."""
+    spark.dataSource.register(package_source.PackageSource)
+    every = spark.read.format("tallyloom_package").schema(package_source.declared(schema)).load(root)
+    return every.where("_reason IS NULL").drop("_path", "_reason"), every.where("_reason IS NOT NULL").select(F.col("_path").alias("path"), F.col("_reason").alias("reason"))
+
+
+_DRAFT = "draft"
+
+
+def commit_version(df: DataFrame, root: str) -> int:
+    """A new version of a draft. Readers see the old one or the new one, also if this ends halfway. Returns its number."""
+    return commits.Store(df.sparkSession, root).commit(uuid.uuid4().hex, {_DRAFT: df}, replaced=(_DRAFT,))
+
+
+def current(spark: SparkSession, root: str, schema: StructType | None = None, version: int | None = None) -> DataFrame:
+    """The last version, or that of a number."""
+    return commits.Store(spark, root).read(_DRAFT, schema, version).drop("_commit", "_nth")
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
