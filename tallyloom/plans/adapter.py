@@ -92,6 +92,9 @@ VIEWS = {
     "listed_sources": """SELECT week, shop, CASE WHEN week = 3 AND shop % 10 = 0 THEN 'm9' ELSE 'm' || CAST(shop % 3 + 1 AS STRING) END AS machine FROM {weekly_plan} WHERE shop % 40 <> week""",
     # merchant codes of products: some have none, some share one
     "coded": """SELECT ordinal, shop, name, CASE WHEN ordinal % 4 = 0 THEN NULL ELSE 'C-' || CAST(ordinal % 37 AS STRING) END AS code FROM {products}""",
+    # pairs kept apart, many of one code, and members that are in no group
+    "code_exclusions": """SELECT a, b FROM {exclusions} UNION SELECT ordinal, ordinal + 37 FROM {products} WHERE ordinal % 5 = 0 UNION SELECT ordinal + 74, ordinal FROM {products} WHERE ordinal % 9 = 1 UNION SELECT ordinal, ordinal + 111 FROM {products} WHERE ordinal % 7 = 2""",
+    "excluded_members": """SELECT doc_id AS m FROM {labels} WHERE quality = 0 AND doc_id % 5 = 0""",
     # names with codes written one way and, later, another
     "renamed": """
         SELECT ordinal, CASE WHEN ordinal % 4 = 0 THEN name || ' #c-' || CAST(ordinal % 37 AS STRING) || '#' ELSE name END AS raw,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import matching
+from tallyloom.operators import grouping, matching
 from tallyloom.plans.adapter import Views, duck
 from tallyloom.plans.shared import cut
 
@@ -117,16 +117,22 @@ def sku_ledger_merge(v: Views) -> DataFrame:
     return placed.join(met, "relation").select("relation", state.alias("state"))
 
 
+def _anchored(v: Views) -> DataFrame:
+    """m, grp, closed: members of confirmed groups, and excluded members on their own, whom nobody joins."""
+    out = v["excluded_members"].withColumn("out", F.lit(True))
+    played = replay(v).select(F.col("ordinal").alias("m"), "state", "root").join(out, "m", "left")
+    sizes = F.count("m").over(Window.partitionBy("root"))
+    human = played.where("state = 'confirmed'").select("m", F.col("root").alias("grp"), (F.col("out").isNotNull() & (sizes == 1)).alias("closed"))
+    return human.union(played.where("state <> 'confirmed' AND out").select("m", "m", F.lit(True)))
+
+
 def code_placement(v: Views) -> DataFrame:
-    """Members outside groups of human hand: with a code that one group has they join it, with a code that several
-    have they wait, else they are grouped by their code; without a code they stay alone."""
-    coded = v["coded"].select("ordinal", "code")
-    anchored = replay(v).where("state = 'confirmed'").select("ordinal", "root")
-    anchors = anchored.join(coded, "ordinal").where("code IS NOT NULL").select("code", "root").distinct().groupBy("code").agg(F.count("root").alias("n"), F.min("root").alias("root"))
-    free = coded.join(anchored, "ordinal", "left_anti").join(anchors, "code", "left")
-    own = F.when(F.col("n") == 1, F.col("root")).when(F.col("n").isNull() & F.col("code").isNotNull(), F.min("ordinal").over(Window.partitionBy("code"))).otherwise(F.col("ordinal"))
-    state = F.when(F.col("n") > 1, "pending_candidates").when(F.col("code").isNull(), "unjudged").otherwise("code_rule")
-    return free.select("ordinal", state.alias("state"), own.alias("grp"))
+    """Members outside groups of human hand, in order: with a code that one group has they join it, with a code that several
+    have they wait, else they join the newest group that was begun for their code, or begin one; never with a member that they
+    are excluded with. Without a code they stay alone."""
+    members = v["coded"].select(F.col("ordinal").alias("m"), "code")
+    placed = grouping.place_by_codes(members, _anchored(v), v["code_exclusions"], cut)
+    return placed.select(F.col("m").alias("ordinal"), "state", F.when(F.col("grp") < 0, -1 - F.col("grp")).otherwise(F.col("grp")).alias("grp"))
 
 
 def picture_placement(v: Views) -> DataFrame:
@@ -143,15 +149,21 @@ def picture_placement(v: Views) -> DataFrame:
 
 
 def candidate_groups(v: Views) -> DataFrame:
-    """Groups that an open product may join: of its shop, none of them excluded with it; with a code only groups that
-    have it."""
-    of, coded = cut(replay(v)), v["coded"].select("ordinal", "code")
-    groups = of.where("state = 'confirmed'").join(coded, "ordinal").join(v["products"].select("ordinal", "shop"), "ordinal")
-    apart = v["exclusions"].select("a", "b").union(v["exclusions"].select("b", "a"))
-    singles = of.where("state = 'open'").select("ordinal").join(coded, "ordinal").where("code IS NOT NULL").select(F.col("ordinal").alias("a"), "code")
-    shared = singles.join(groups.select("code", "root").where("code IS NOT NULL").distinct(), "code")
-    barred = apart.join(groups.select(F.col("ordinal").alias("b"), "root"), "b").select("a", "root")
-    return shared.join(barred, ["a", "root"], "left_anti").groupBy("a").agg(F.count("root").alias("n"), _joined(F.col("root")).alias("groups")).select(F.col("a").alias("ordinal"), "n", "groups")
+    """How many groups a product that is alone may join: with a code, human groups that have it; without one, all but those
+    with a waiting member; none with an excluded member or one that it is excluded with, and none that is closed."""
+    anchored, placed = cut(_anchored(v)), cut(code_placement(v))
+    made = placed.select(F.col("ordinal").alias("m"), "grp", F.lit(False).alias("human"), F.lit(False).alias("closed"))
+    groups = cut(anchored.select("m", "grp", F.lit(True).alias("human"), "closed").union(made.join(anchored.select("grp").distinct(), "grp", "left_anti").select("m", "grp", "human", "closed")).union(made.join(anchored.select("grp", "closed").distinct(), "grp", "left_semi").select("m", "grp", F.lit(True), F.lit(False))))
+    alone = groups.groupBy("grp").agg(F.max("m").alias("m"), F.count("m").alias("n"), F.max("human").alias("human")).where("n = 1 AND NOT human").select("m", F.lit(True).alias("alone"))
+    waits = placed.select(F.col("ordinal").alias("m"), (F.col("state") == "pending_candidates").alias("waits"))
+    members = cut(v["coded"].select(F.col("ordinal").alias("m"), "code").join(waits, "m", "left").join(alone, "m", "left").na.fill({"waits": False, "alone": False}))
+    barred = v["excluded_members"]
+    found = grouping.legal_groups(members, groups, v["code_exclusions"], barred)
+    # of a member without a code: all groups that anyone may join, less its own and those against it
+    kept = groups.join(members.select("m", "waits"), "m").join(barred.withColumn("out", F.lit(True)), "m", "left").groupBy("grp").agg(F.max("closed").alias("c"), F.max("waits").alias("w"), F.max("out").alias("o")).where("NOT c AND NOT w AND o IS NULL")
+    total = kept.count()
+    n = F.sum(F.when(F.col("grp") >= 0, 1).when(F.col("grp").isNull(), total - 1).otherwise(-1)).alias("n")
+    return found.groupBy("m").agg(n).where("n > 0").select(F.col("m").alias("ordinal"), "n")
 
 
 def legal_pairs(v: Views) -> DataFrame:
@@ -197,6 +209,21 @@ owner AS (SELECT s.confirmed, s.root, arg_min(machine, relation) AS machine FROM
 played AS (SELECT p.ordinal, CASE WHEN c.m IS NOT NULL THEN 'confirmed' WHEN d.m IS NOT NULL THEN 'pending' ELSE 'open' END AS state, coalesce(c.root, d.root, p.ordinal) AS root, coalesce(oc.machine, od.machine, '') AS machine
   FROM {products} p LEFT JOIN roots c ON c.m = p.ordinal AND c.confirmed LEFT JOIN roots d ON d.m = p.ordinal AND NOT d.confirmed
   LEFT JOIN owner oc ON oc.confirmed AND oc.root = c.root LEFT JOIN owner od ON NOT od.confirmed AND od.root = d.root AND c.m IS NULL)"""
+#: Codes placed one member after another, the members so far in a list.
+_PLACED = """out_ AS (SELECT m FROM {excluded_members}),
+an AS (SELECT ordinal AS m, root AS g, ordinal IN (FROM out_) AND count(*) OVER (PARTITION BY root) = 1 AS closed FROM played WHERE state = 'confirmed' UNION ALL SELECT ordinal, ordinal, true FROM played WHERE state <> 'confirmed' AND ordinal IN (FROM out_)),
+sg AS (SELECT g, list(m) AS ms, list_distinct(list(code)) AS codes FROM an JOIN {coded} c ON c.ordinal = m WHERE NOT closed GROUP BY g),
+apart AS (SELECT a AS m, b AS e FROM {code_exclusions} UNION SELECT b, a FROM {code_exclusions}),
+partners AS (SELECT ordinal AS m, coalesce(list(e) FILTER (e IS NOT NULL), []) AS ex FROM {coded} LEFT JOIN apart ON apart.m = ordinal GROUP BY ordinal),
+x AS (SELECT c.ordinal AS m, code, row_number() OVER (ORDER BY c.ordinal) AS n, ex, coalesce((SELECT list(g) FROM sg WHERE list_contains(sg.codes, c.code) AND len(list_intersect(sg.ms, p.ex)) = 0), []) AS legal
+  FROM {coded} c JOIN partners p ON p.m = c.ordinal WHERE code IS NOT NULL AND c.ordinal NOT IN (SELECT m FROM an)),
+st(n, done) AS (SELECT 0::BIGINT, []::STRUCT(m BIGINT, code VARCHAR, how VARCHAR, g BIGINT)[] UNION ALL
+  SELECT n, list_append(done, CASE WHEN len(good) = 1 THEN {'m': m, 'code': code, 'how': 'joined', 'g': good[1]} WHEN len(good) > 1 THEN {'m': m, 'code': code, 'how': 'waits', 'g': m}
+    WHEN newest IS NULL OR len(list_filter(hits, lambda h: h.how = 'own' AND h.g = newest)) > 0 THEN {'m': m, 'code': code, 'how': 'own', 'g': m} ELSE {'m': m, 'code': code, 'how': 'own', 'g': newest} END)
+  FROM (SELECT *, list_filter(legal, lambda l: NOT list_contains(list_transform(list_filter(hits, lambda h: h.how = 'joined'), lambda h: h.g), l)) AS good FROM
+    (SELECT x.n, x.m, x.code, x.legal, done, list_filter(done, lambda d: list_contains(x.ex, d.m)) AS hits, list_max(list_transform(list_filter(done, lambda d: d.how = 'own' AND d.code = x.code), lambda d: d.g)) AS newest FROM st JOIN x ON x.n = st.n + 1) a) b),
+placed AS (SELECT p.m, CASE WHEN p.how = 'waits' THEN 'pending_candidates' ELSE 'code_rule' END AS state, p.g AS grp FROM (SELECT unnest(done) AS p FROM (SELECT done FROM st ORDER BY n DESC LIMIT 1) f) g
+  UNION ALL SELECT ordinal, 'unjudged', ordinal FROM {coded} WHERE code IS NULL AND ordinal NOT IN (SELECT m FROM an))"""
 _SORTED = "array_to_string(list_sort(list({0})), ',')"
 _LOCAL = """l AS (SELECT * FROM {relations} WHERE machine <> 'm3'), n AS (SELECT * FROM {relations} WHERE machine = 'm3' AND confirmed),
 lk AS (SELECT DISTINCT x.member AS m, y.member AS o FROM l x JOIN l y USING (relation) WHERE x.confirmed),
@@ -226,13 +253,12 @@ SQL = {
       SELECT s.relation, CASE WHEN count(CASE WHEN e.ms = s.ms THEN 1 END) > 0 THEN CASE WHEN arg_min(e.machine, e.relation) FILTER (e.ms = s.ms) = s.machine THEN 'superseded' ELSE 'kept_first' END
         WHEN count(CASE WHEN e.ms <> s.ms AND e.machine <> s.machine THEN 1 END) > 0 THEN 'conflict' ELSE 'taken' END AS state
       FROM s LEFT JOIN pairs p ON p.relation = s.relation LEFT JOIN s e ON e.relation = p.earlier GROUP BY s.relation, s.machine"""),
-    "code_placement": duck(f"""WITH RECURSIVE {_REACH}, a AS (SELECT DISTINCT code, root FROM played JOIN {{coded}} USING (ordinal) WHERE state = 'confirmed' AND code IS NOT NULL),
-      f AS (SELECT ordinal, code, (SELECT count(*) FROM a WHERE a.code = c.code) AS n FROM {{coded}} c WHERE ordinal NOT IN (SELECT ordinal FROM played WHERE state = 'confirmed'))
-      SELECT ordinal, CASE WHEN n > 1 THEN 'pending_candidates' WHEN code IS NULL THEN 'unjudged' ELSE 'code_rule' END AS state,
-        CASE WHEN n > 1 OR code IS NULL THEN ordinal WHEN n = 1 THEN (SELECT max(root) FROM a WHERE a.code = f.code) ELSE (SELECT min(ordinal) FROM f g WHERE g.code = f.code) END AS grp FROM f"""),
-    "candidate_groups": duck(f"""WITH RECURSIVE {_REACH}, g AS (SELECT root, list(ordinal) AS members, list_distinct(list(code)) AS codes FROM played JOIN {{coded}} USING (ordinal) WHERE state = 'confirmed' GROUP BY root)
-      SELECT p.ordinal, count(*) AS n, {_SORTED.format("g.root")} AS groups FROM played p JOIN {{coded}} c USING (ordinal) JOIN g ON list_contains(g.codes, c.code)
-      WHERE p.state = 'open' AND NOT EXISTS (SELECT 1 FROM {{exclusions}} x WHERE x.a = p.ordinal AND list_contains(g.members, x.b) OR x.b = p.ordinal AND list_contains(g.members, x.a)) GROUP BY p.ordinal"""),
+    "code_placement": duck(f"WITH RECURSIVE {_REACH}, {_PLACED} SELECT m AS ordinal, state, grp FROM placed"),
+    "candidate_groups": duck(f"""WITH RECURSIVE {_REACH}, {_PLACED}, grp_of AS (SELECT m, g, true AS human, closed, false AS waits FROM an UNION ALL SELECT m, grp, grp IN (SELECT g FROM an), false, state = 'pending_candidates' FROM placed),
+      gs AS (SELECT g, list(m) AS ms, bool_or(human) AS human, bool_or(closed) AS closed, bool_or(waits) AS waits, list_distinct(list(code)) AS codes, bool_or(m IN (SELECT m FROM {{excluded_members}})) AS out FROM grp_of JOIN {{coded}} c ON c.ordinal = m GROUP BY g)
+      SELECT c.ordinal, count(*) AS n FROM {{coded}} c JOIN grp_of q ON q.m = c.ordinal JOIN gs own ON own.g = q.g JOIN partners p ON p.m = c.ordinal JOIN gs ON gs.g <> own.g
+      WHERE len(own.ms) = 1 AND NOT own.human AND c.ordinal NOT IN (SELECT m FROM {{excluded_members}}) AND NOT gs.closed AND NOT gs.out AND len(list_intersect(gs.ms, p.ex)) = 0
+        AND CASE WHEN c.code IS NULL THEN NOT gs.waits ELSE gs.human AND list_contains(gs.codes, c.code) END GROUP BY c.ordinal"""),
     "evidence_fields": duck("""WITH t AS (SELECT ordinal, CASE WHEN ordinal % 4 = 0 THEN name || ' #C-' || (ordinal % 37 + CASE WHEN ordinal % 8 = 0 THEN 1 ELSE 0 END) || '#' WHEN ordinal % 7 = 0 THEN name || ' new' ELSE name END AS now FROM (SELECT ordinal, replace(name, '#', '-') AS name FROM {products}))
       SELECT ordinal, now AS name, array_to_string(list_filter([CASE WHEN ordinal % 8 = 0 OR ordinal % 4 <> 0 AND ordinal % 7 = 0 THEN 'name' END, CASE WHEN ordinal % 8 = 0 THEN 'codes' END, CASE WHEN ordinal % 10 = 0 THEN 'picture' END], lambda x: x IS NOT NULL), ',') AS changed FROM t"""),
     "matching_states": duck("""SELECT count(*) FILTER (state = 'judged') AS judged, count(*) FILTER (state IN ('failed', 'needs_config')) AS failed, count(*) FILTER (state = 'failed') AS retryable, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'disabled') AS disabled,
