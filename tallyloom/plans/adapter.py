@@ -74,6 +74,12 @@ VIEWS = {
           UNION ALL
           SELECT 'r' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) AS STRING), 'm' || CAST(CAST(floor(ordinal / 3.0) AS BIGINT) % 3 + 1 AS STRING), CAST(floor(ordinal / 3.0) AS BIGINT) % 4 <> 0, -ordinal, 'gone' FROM {products} WHERE ordinal % 18 = 3) x""",
     "exclusions": """SELECT ordinal AS a, ordinal + 2 AS b FROM {products} WHERE ordinal % 11 = 0""",
+    # members that machines set on their own, and pairs that they keep apart
+    "alone_members": """
+        SELECT ordinal AS member, CASE WHEN ordinal % 14 = 3 THEN 'old' ELSE name || '/' || CAST(image AS STRING) END AS version, 'm' || CAST(m AS STRING) AS machine
+        FROM {products} JOIN (SELECT 1 AS m UNION ALL SELECT 2 UNION ALL SELECT 3) k ON ordinal % 7 = 3 AND (ordinal + m) % 3 > 0""",
+    "machine_exclusions": """
+        SELECT ordinal AS a, ordinal + m AS b, 'm' || CAST(1 + (ordinal + m) % 3 AS STRING) AS machine FROM {products} JOIN (SELECT 1 AS m UNION ALL SELECT 2 UNION ALL SELECT 5) k ON ordinal % 6 = m""",
     # offers' pages: pages with the data of three parts in one of the ways in which shops give it, or in none
     "offer_pages": """
         SELECT g.page_id, g.page_id % 5 AS way, a.p_partkey AS k1, a.p_name AS n1, a.p_size AS s1, b.p_partkey AS k2, b.p_name AS n2, b.p_size AS s2,

@@ -7,11 +7,13 @@ follows another way (recursive reach, lists) than its plan.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import grouping, matching
+from tallyloom.operators import grouping, ledger, matching
 from tallyloom.plans.adapter import Views, duck
 from tallyloom.plans.shared import cut
 
@@ -102,6 +104,26 @@ def ledger_merge(v: Views, source: str = "m3") -> DataFrame:
     return flags.select("relation", verdict.alias("verdict"))
 
 
+#: Machines whose packages arrive, in order; the last one says less than the first time.
+_ARRIVALS = ("m2", "m3", "m2")
+
+
+def ledger_rounds(v: Views) -> DataFrame:
+    """Packages taken into the first machine's ledger one after another, each held against what the ones before left: what
+    becomes of every row."""
+    rows = ledger.Ledger(*(cut(v[n]) for n in ("relations", "alone_members", "machine_exclusions")))
+    of = lambda machine: ledger.Ledger(*(x.where(F.col("machine") == machine) for x in (rows.relations, rows.alone, rows.apart)))
+    now, said = of("m1"), []
+    for turn, machine in enumerate(_ARRIVALS, 1):
+        package = of(machine)
+        package.relations = package.relations.withColumn("relation", F.concat(F.lit(f"{turn}."), "relation"))
+        if turn > len(set(_ARRIVALS)):
+            package.relations = package.relations.where("member % 4 <> 1")
+        verdicts, now = ledger.take_in(now, package, machine, cut)
+        said.append(verdicts.select(F.lit(turn).cast("long").alias("turn"), "kind", "id", "verdict"))
+    return functools.reduce(DataFrame.union, said)
+
+
 def sku_ledger_merge(v: Views) -> DataFrame:
     """Relations by first arrival: of equal member sets the first machine's stays, its own later ones give way; a set
     that overlaps an earlier one of another machine is a conflict."""
@@ -195,7 +217,7 @@ def matching_states(v: Views) -> DataFrame:
 
 
 QUERIES = {
-    "replayed_relations": replay, "evidence_changed": information_changed, "written_back": write_back, "group_conflicts": group_conflicts, "saved_groups": saved_groups, "ledger_merge": ledger_merge,
+    "replayed_relations": replay, "evidence_changed": information_changed, "written_back": write_back, "group_conflicts": group_conflicts, "saved_groups": saved_groups, "ledger_merge": ledger_merge, "ledger_rounds": ledger_rounds,
     "sku_ledger_merge": sku_ledger_merge, "code_placement": code_placement, "picture_placement": picture_placement, "candidate_groups": candidate_groups, "legal_pairs": legal_pairs,
     "evidence_fields": evidence_fields, "matching_states": matching_states,
 }
@@ -232,7 +254,39 @@ grp AS (SELECT m, list_sort(list(o)) AS all_ FROM lr GROUP BY m),
 ns AS (SELECT relation, list_sort(list(member)) AS ms, list_sort(list(member || '=' || version)) AS key FROM n GROUP BY relation),
 near AS (SELECT relation, list_sort(list_distinct(flatten(list(coalesce(all_, [member]))))) AS wide FROM n LEFT JOIN grp ON m = member GROUP BY relation)"""
 
+
+
+def _round(k: int, machine: str, less: str) -> str:
+    """One package's texts: k its number; R, A and E the ledger before it, the next ones after it."""
+    key = "list_sort(list(member || '=' || version))"
+    return f"""P{k} AS (SELECT '{k}.' || relation AS relation, confirmed, member, version FROM {{relations}} WHERE machine = '{machine}' AND {less}),
+lk{k} AS (SELECT DISTINCT x.member AS m, y.member AS o FROM R{k} x JOIN R{k} y USING (relation) WHERE x.confirmed),
+rc{k}(m, o) AS (SELECT m, o FROM lk{k} UNION SELECT r.m, l.o FROM rc{k} r JOIN lk{k} l ON l.m = r.o),
+g{k} AS (SELECT m, min(o) AS root, list_sort(list(o)) AS ms FROM rc{k} GROUP BY m),
+by{k} AS (SELECT root, CASE WHEN min(machine) = max(machine) THEN min(machine) END AS sole FROM R{k} JOIN g{k} ON m = member WHERE confirmed GROUP BY root),
+u{k} AS (SELECT m, root, ms, sole FROM g{k} JOIN by{k} USING (root) UNION ALL SELECT member, NULL, [member], machine FROM A{k} WHERE member NOT IN (SELECT m FROM g{k})),
+n{k} AS (SELECT relation, list_sort(list(member)) AS ms, {key} AS key FROM P{k} WHERE confirmed GROUP BY relation),
+wide{k} AS (SELECT relation, list_distinct(flatten(list(coalesce(ms, [member])))) AS w FROM P{k} LEFT JOIN g{k} ON m = member WHERE confirmed GROUP BY relation),
+shut{k} AS (SELECT relation, a, b, machine FROM wide{k} JOIN E{k} ON list_contains(w, a) AND list_contains(w, b) WHERE NOT EXISTS (SELECT 1 FROM g{k} WHERE m = a AND list_contains(ms, b))),
+met{k} AS (SELECT DISTINCT n.relation, u.root, u.ms, u.sole FROM n{k} n JOIN u{k} u ON list_contains(n.ms, u.m) WHERE u.ms <> n.ms),
+vr{k} AS (SELECT relation, CASE WHEN key IN (SELECT {key} FROM R{k} WHERE confirmed GROUP BY relation) THEN 'known'
+  WHEN EXISTS (SELECT 1 FROM (SELECT list(member) AS ms FROM R{k} WHERE NOT confirmed GROUP BY relation) w WHERE len(list_intersect(w.ms, n.ms)) >= 2) THEN 'confirm_vs_withdraw'
+  WHEN relation IN (SELECT relation FROM shut{k} WHERE machine <> '{machine}') THEN 'group_vs_exclusion' WHEN relation IN (SELECT relation FROM met{k} WHERE sole IS DISTINCT FROM '{machine}') THEN 'different_groups' ELSE 'adopted' END AS verdict FROM n{k} n),
+va{k} AS (SELECT p.member, p.version, g.root, len(g.ms) AS size, CASE WHEN a.version = p.version THEN 'known' WHEN a.machine <> '{machine}' OR len(g.ms) > 1 AND sole IS DISTINCT FROM '{machine}' THEN 'different_groups' ELSE 'adopted' END AS verdict
+  FROM {{alone_members}} p LEFT JOIN A{k} a USING (member) LEFT JOIN g{k} g ON g.m = p.member LEFT JOIN by{k} USING (root) WHERE p.machine = '{machine}'),
+ve{k} AS (SELECT p.a, p.b, g.root, CASE WHEN EXISTS (SELECT 1 FROM E{k} e WHERE e.a = p.a AND e.b = p.b) THEN 'known' WHEN g.root IS NOT NULL AND sole IS DISTINCT FROM '{machine}' THEN 'group_vs_exclusion' ELSE 'adopted' END AS verdict
+  FROM (SELECT DISTINCT a, b FROM {{machine_exclusions}} WHERE machine = '{machine}') p LEFT JOIN g{k} g ON g.m = p.a AND list_contains(g.ms, p.b) LEFT JOIN by{k} USING (root)),
+in{k} AS (SELECT relation FROM vr{k} WHERE verdict = 'adopted'),
+out{k} AS (SELECT root FROM met{k} WHERE root IS NOT NULL AND relation IN (FROM in{k}) UNION SELECT root FROM va{k} WHERE verdict = 'adopted' AND size > 1 UNION SELECT root FROM ve{k} WHERE verdict = 'adopted' AND root IS NOT NULL),
+R{k + 1} AS (SELECT * FROM R{k} WHERE relation NOT IN (SELECT relation FROM R{k} JOIN g{k} ON m = member WHERE confirmed AND root IN (FROM out{k})) UNION ALL SELECT relation, '{machine}', confirmed, member, version FROM P{k} WHERE confirmed AND relation IN (FROM in{k})),
+A{k + 1} AS (SELECT * FROM A{k} WHERE member NOT IN (SELECT ms[1] FROM met{k} WHERE root IS NULL AND relation IN (FROM in{k})) AND member NOT IN (SELECT member FROM va{k} WHERE verdict = 'adopted') UNION ALL SELECT member, version, '{machine}' FROM va{k} WHERE verdict = 'adopted'),
+E{k + 1} AS (SELECT * FROM E{k} e WHERE NOT EXISTS (SELECT 1 FROM shut{k} s WHERE s.a = e.a AND s.b = e.b AND s.relation IN (FROM in{k})) UNION ALL SELECT a, b, '{machine}' FROM ve{k} WHERE verdict = 'adopted'),
+said{k} AS (SELECT {k} AS turn, 'relation' AS kind, relation AS id, verdict FROM vr{k} UNION ALL SELECT {k}, 'alone', CAST(member AS VARCHAR), verdict FROM va{k} UNION ALL SELECT {k}, 'apart', a || '|' || b, verdict FROM ve{k})"""
+
+
 SQL = {
+    "ledger_rounds": duck("WITH RECURSIVE R1 AS (SELECT relation, machine, confirmed, member, version FROM {relations} WHERE machine = 'm1'), A1 AS (SELECT * FROM {alone_members} WHERE machine = 'm1'), E1 AS (SELECT * FROM {machine_exclusions} WHERE machine = 'm1'), "
+        + ", ".join(_round(k, m, "member % 4 <> 1" if k == 3 else "true") for k, m in enumerate(_ARRIVALS, 1)) + " SELECT * FROM said1 UNION ALL SELECT * FROM said2 UNION ALL SELECT * FROM said3"),
     "replayed_relations": duck(f"WITH RECURSIVE {_REACH} SELECT * FROM played"),
     "evidence_changed": duck("SELECT ordinal, NOT (name || '/' || image) IN (SELECT version FROM {relations} r WHERE r.member = ordinal) AS changed FROM {products} WHERE ordinal IN (SELECT member FROM {relations})"),
     "written_back": duck(f"""WITH RECURSIVE {_REACH}, every AS (SELECT m, root FROM roots WHERE confirmed AND m % 17 <> 0 UNION
