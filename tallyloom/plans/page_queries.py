@@ -26,6 +26,6 @@ SQL = {
       UNION ALL SELECT page_id, 'default', 'platform', '默认(单规格)', 12.5, s1, NULL, true FROM {offer_pages} WHERE way = 3""".replace("{x'", "{{x'")).replace("{{x'", "{x'"),
     "page_outcomes": duck("SELECT page_id, ['complete', 'partial', 'text', 'single_spec', 'none'][1 + way] AS outcome FROM {offer_pages}"),
     "main_pictures": duck("SELECT page_id, CASE WHEN way < 2 THEN 'https://i.example/' || k1 || '.jpg' WHEN way = 3 THEN '//i/' || k1 || '.png' END AS picture FROM {offer_pages}"),
-    "visible_lines": f"""WITH s AS (SELECT page_id, replace(replace(replace(replace(replace(replace({_STRIPPED}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM pages)
+    "visible_lines": f"""WITH s AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace({_STRIPPED}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM pages)
       SELECT page_id, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines, CAST(length(regexp_replace(t, '[ \\t\\n\\r\\f\\x0b]', '', 'g')) AS BIGINT) AS n_chars FROM s""",
 }
