@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import bisect
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tallyloom.plans import shared
 
@@ -56,25 +57,68 @@ def deny_windows(events: DataFrame, width: str = "2 hours") -> DataFrame:
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("starts"), "shop", "denies")
 
 
-def first_seen(events: DataFrame) -> DataFrame:
-    """One row for each user and day, however late it comes: the state is a row for each."""
-    return events.select("user_id", F.col("ts").cast("date").alias("date")).dropDuplicates(["user_id", "date"])
+def first_seen(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """One row for each user and day. A day's rows lie within a day of each other, so what was seen is kept for a day and the
+    lateness, then let go; rows later than the lateness may be left out."""
+    rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", f"1 day {lateness}")
+    return rows.select("user_id", F.col("ts").cast("date").alias("date"), "at").dropDuplicatesWithinWatermark(["user_id", "date"]).select("user_id", "date")
 
 
-def sliding_denies(events: DataFrame, width_ms: int = 7_200_000) -> DataFrame:
-    """For each denial, how many its shop had in the time up to it, and whether it is the shop's first (which alone sets
-    off a pause). The state of a shop is the times of its denials inside the window."""
+ROUND_DENIES = "id long, round_id long, shop string, in_window long, in_round long, sets_off boolean"
+
+
+def round_denies(events: DataFrame, width_ms: int = 7_200_000, lateness: str = "1 hour") -> DataFrame:
+    """For each denial of a round, how many its shop had in the time up to it, how many the round had, and whether it is the round's
+    first, which alone sets off a pause. events: id, round_id, shop, at (its event time), ms (that in whole milliseconds), denied.
+
+    Denials may come in any order within the lateness (of the latest denial so far): a denial is held back until the watermark has passed it, so
+    what goes out counts every one before it, in the order of (ms, id), in whatever batches they came. A later row is left out. A
+    round's state is what is held back, the denials inside the window, and whether the pause was set off; it goes a day and
+    a window after the round's last row."""
+    day = 86_400_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ms", "id"])
-        first = not held and not state.exists
-        times = sorted([*held, *rows["ms"].tolist()])
-        at = rows["ms"].to_numpy()
-        counts = [bisect.bisect_right(times, t) - bisect.bisect_left(times, t - width_ms) for t in at.tolist()]
-        state.update((times[bisect.bisect_left(times, times[-1] - width_ms) :],))
-        yield pd.DataFrame({"id": rows["id"], "shop": key[0], "in_window": counts, "sets_off": [first and i == 0 for i in range(len(rows))]})
-
-    denied = events.where(F.col("event_type").isin("signup", "purchase"))
-    keyed = denied.select(F.col("event_id").alias("id"), F.concat(F.lit("S"), (F.col("user_id") % 12).cast("string")).alias("shop"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"))
-    return keyed.groupBy("shop").applyInPandasWithState(step, "id long, shop string, in_window long, sets_off boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+        ms, ids, shops, old_ms, old_shops, fired, done = state.get if state.exists else ([], [], [], [], [], False, 0)
+        held = list(zip(ms, ids, shops, strict=True))
+        for b in batches:
+            held += (r for r in zip(b["ms"].tolist(), b["id"].tolist(), b["shop"].tolist(), strict=True) if r[0] >= done)
+        held.sort()
+        passed = state.getCurrentWatermarkMs()
+        ready = bisect.bisect_left(held, (passed,))
+        window, out = list(zip(old_ms, old_shops, strict=True)), []
+        for at, id_, shop in held[:ready]:
+            out.append((id_, key[0], shop, None, None, not fired))
+            fired = True
+            window.append((at, shop))
+        # denials of the same instant count for each other
+        times = [t for t, _ in window]
+        by_shop: dict[str, list[int]] = {}
+        for t, shop in window:
+            by_shop.setdefault(shop, []).append(t)
+        count = lambda some, t: bisect.bisect_right(some, t) - bisect.bisect_left(some, t - width_ms)
+        out = [(i, r, shop, count(by_shop[shop], at), count(times, at), first) for (i, r, shop, _, _, first), (at, _, _) in zip(out, held[:ready], strict=True)]
+        left, kept = held[ready:], [(t, shop) for t, shop in window if t >= passed - width_ms]
+        last = max([passed, *(t for t, _, _ in left)])
+        if state.hasTimedOut and not left and not kept:
+            state.remove()
+        else:
+            state.update(([x[0] for x in left], [x[1] for x in left], [x[2] for x in left], [t for t, _ in kept], [shop for _, shop in kept], fired, passed))
+            state.setTimeoutTimestamp(left[0][0] + 1 if left else last + day + width_ms)
+        yield pd.DataFrame(out, columns=["id", "round_id", "shop", "in_window", "in_round", "sets_off"])
+
+    rows = events.where("denied").withWatermark("at", lateness).select("id", "round_id", "shop", "ms", "at")
+    held = "ms array<long>, ids array<long>, shops array<string>, window_ms array<long>, window_shops array<string>, fired boolean, done long"
+    return rows.groupBy("round_id").applyInPandasWithState(step, ROUND_DENIES, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def chunked(spark: SparkSession, rows: DataFrame, root: str, number: Column, first: int, last: int) -> None:
+    """Writes rows as the files of a stream, one for each number, in that order."""
+    for n in range(first, last + 1):
+        rows.where(number == n).coalesce(1).write.mode("append").parquet(root)
+
+
+def resumed(spark: SparkSession, root: str, schema: StructType, work: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """Runs a stream over the files that are there, a file a micro-batch, from where an earlier run with this folder ended."""
+    stream = work(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root))
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
