@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import decisions, ledgers, matching_queries, observations, oracles, page_queries, relational, series_queries, storage_queries
+from tallyloom.plans import accounting, decisions, ledgers, matching_queries, observations, oracles, page_queries, relational, series_queries, storage_queries
 from tallyloom.plans.adapter import Views
 
-_MODULES = (series_queries, relational, matching_queries, ledgers, decisions, observations, page_queries, storage_queries)
+_MODULES = (series_queries, relational, matching_queries, ledgers, decisions, observations, page_queries, storage_queries, accounting)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
