@@ -9,12 +9,16 @@ sequential greedy runs inside it, on a heap of gains.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import ordering
+from tallyloom.plans import shared
 
 POSTING, K = 128, 6
 #: Gain of a merge: positive edges less this times negative ones.
@@ -38,19 +42,41 @@ def image_tokens(pixels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("v:"), i.cast("string"), F.lit(":"), F.array_join(F.slice(bits, i * 16 + 1, 16), "")))
 
 
+def _best(k: int):
+    """For each row (i, lists): the k numbers that most lists hold, then the smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, j = [], []
+            for one, lists in zip(b["i"].to_pylist(), b["lists"], strict=True):
+                found, n = np.unique(lists.values.flatten().to_numpy(), return_counts=True)
+                found, n = found[found != one], n[found != one]
+                best = found[np.lexsort((found, -n))[:k]]
+                i += [one] * len(best)
+                j += best.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["i", "j"])
+
+    return run
+
+
 def recall(items: DataFrame, tokens: str = "tokens", posting: int = POSTING, k: int = K, identity: str = "identity") -> DataFrame:
     """a < b, score: pairs found from either side. An item scores others by tokens whose list holds the
-    other, ties by the other's identity; the pair's score counts tokens whose list holds the later one."""
-    rows = items.select("ordinal", F.col(identity).alias("_who"), F.explode(tokens).alias("token"))
-    # lists hold a token's first items, so a token gives at most ``posting`` rows for each of its holders
+    other, ties by the other's identity; the pair's score counts tokens of the earlier one whose list holds the later one.
+
+    A token's list is one array of at most ``posting`` numbers, so what is dealt by token are the holders, and what comes together for an item
+    is an array for each of its tokens. The best few are counted there; scores are then worked out for these pairs only."""
+    named = ordering.numbered(items.select("ordinal", F.col(identity).alias("_who"), F.col(tokens).alias("tokens")), "_who", "ordinal", name="w").drop("_who")
+    rows = named.select("ordinal", "w", F.explode("tokens").alias("token")).distinct()
     place = F.row_number().over(Window.partitionBy("token").orderBy("ordinal"))
-    lists = rows.withColumn("place", place).where(F.col("place") <= posting).select(F.col("ordinal").alias("j"), F.col("_who").alias("who"), "token")
-    found = rows.select(F.col("ordinal").alias("i"), "token").join(lists, "token").where("i <> j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.first("who").alias("who"))
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "who", "j")))
-    # seen from the earlier item, the list holds the later one; rows of both sides meet in one aggregation
-    a, b = F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")
-    pairs = best.select(a, b, (F.col("_r") <= k).alias("kept"), F.when(F.col("i") < F.col("j"), F.col("n")).alias("n")).groupBy("a", "b").agg(F.max("kept").alias("kept"), F.max("n").alias("n"))
-    return pairs.where("kept").select("a", "b", F.coalesce("n", F.lit(0)).alias("score"))
+    listed = shared.cut(rows.withColumn("place", place).where(F.col("place") <= posting).select("w", "token"))
+    lists = listed.groupBy("token").agg(F.collect_list("w").alias("list"))
+    met = rows.select(F.col("w").alias("i"), "token").join(lists, "token").groupBy("i").agg(F.collect_list("list").alias("lists"))
+    best = met.mapInArrow(_best(k), "i long, j long")
+    of = named.join(listed.groupBy("w").agg(F.collect_list("token").alias("held")), "w", "left").select("w", "ordinal", "tokens", F.coalesce("held", F.array().cast("array<string>")).alias("held"))
+    ends = best.join(of.select(F.col("w").alias("i"), F.col("ordinal").alias("x")), "i").join(of.select(F.col("w").alias("j"), F.col("ordinal").alias("y")), "j")
+    pairs = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    scored = pairs.join(of.select(F.col("ordinal").alias("a"), "tokens"), "a").join(of.select(F.col("ordinal").alias("b"), "held"), "b")
+    return scored.select("a", "b", F.size(F.array_intersect("tokens", "held")).cast("long").alias("score"))
 
 
 def evidence_version(name: Column, image: Column) -> Column:

@@ -62,8 +62,11 @@ def sku_series(inventory: DataFrame, start: str, end: str, cap: bool = False) ->
     before, later = F.col("date") < F.col("low"), F.col("date") > F.col("low")
     facts = rows.groupBy(*keys, "begins", "low", "high").agg(
         F.min("date").alias("first"), F.max_by("stock", F.when(before, F.col("date"))).alias("prior"), F.min_by("stock", F.when(later, F.col("date"))).alias("next"),
-        F.map_from_entries(F.collect_list(F.struct("date", "stock"))).alias("seen"),
+        F.array_sort(F.collect_list(F.struct("date", "stock"))).alias("_days"),
     )
+    # a day that is there twice counts with its larger stock
+    once = F.filter("_days", lambda x, i: F.coalesce(F.get("_days", i + 1)["date"] != x["date"], F.lit(True)))
+    facts = facts.withColumn("seen", F.map_from_entries(once)).drop("_days")
     line = facts.withColumn("date", F.explode(F.sequence("low", "high"))).withColumn("actual", F.try_element_at("seen", F.col("date"))).drop("seen")
     w = Window.partitionBy(*keys).orderBy("date")
     carried = F.last("actual", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))

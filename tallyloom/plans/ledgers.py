@@ -21,7 +21,11 @@ TEXTS = {
     "decision_conflicts": f"""
       SELECT a.member, min(a.relation) AS one, max(a.relation) AS other FROM (SELECT relation, member FROM ({_RELATIONS}) r UNION ALL SELECT 'p' || CAST(image AS STRING), ordinal FROM {{products}} WHERE ordinal % 7 = 0) a GROUP BY a.member HAVING count(DISTINCT a.relation) > 1""",
     "adopted_edges": """
-      SELECT source, count(*) AS n FROM {products} p WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = p.ordinal AND l.quality = 1) AND EXISTS (SELECT 1 FROM {labels} m WHERE m.doc_id = p.ordinal AND m.toxic = 0) GROUP BY source""",
+      WITH now AS (SELECT DISTINCT name || '/' || CAST(image AS STRING) AS version FROM {products}),
+      judged AS (SELECT 'm' || CAST(a.ordinal % 3 + 1 AS STRING) AS machine, CASE WHEN a.ordinal % 13 = 0 THEN 'old' ELSE a.name || '/' || CAST(a.image AS STRING) END AS va, CASE WHEN b.ordinal % 13 = 0 THEN 'old' ELSE b.name || '/' || CAST(b.image AS STRING) END AS vb,
+        CASE WHEN a.ordinal % 9 = 0 THEN 'v1' ELSE 'v2' END AS contract FROM {products} a JOIN {products} b ON b.ordinal = a.ordinal + 2)
+      SELECT machine, count(CASE WHEN contract = 'v2' AND x.version IS NOT NULL AND y.version IS NOT NULL THEN 1 END) AS adopted, count(CASE WHEN contract = 'v2' AND (x.version IS NULL OR y.version IS NULL) THEN 1 END) AS stale, count(CASE WHEN contract <> 'v2' THEN 1 END) AS other_contract
+      FROM judged LEFT JOIN now x ON x.version = va LEFT JOIN now y ON y.version = vb GROUP BY machine""",
     "package_meta": """
       SELECT machine, max(CASE WHEN k = 'rows' THEN v END) AS n_rows, max(CASE WHEN k = 'shops' THEN v END) AS n_shops, max(CASE WHEN k = 'days' THEN v END) AS n_days FROM (
         SELECT machine, 'rows' AS k, count(*) AS v FROM {machine_inventory} GROUP BY machine UNION ALL SELECT machine, 'shops', count(DISTINCT shop) FROM {machine_inventory} GROUP BY machine

@@ -48,7 +48,7 @@ def _constrained(v: Views) -> tuple[DataFrame, DataFrame]:
     p = v["products"]
     frozen = p.where("image < 20").select("ordinal", F.concat(F.lit("M"), F.col("image").cast("string")).alias("group"))
     excluded = p.select(F.col("ordinal").alias("a"), (F.col("ordinal") + 12).alias("b")).where("a % 5 = 0")
-    judged = _cut(_judgments(v).select("va", "vb", "positive").groupBy("va", "vb").agg(F.max("positive").alias("positive")))
+    judged = _cut(_judgments(v).select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb"), "positive").groupBy("va", "vb").agg(F.max("positive").alias("positive")))
     return frozen, matching.assemble(_versions(v), judged, _cut, frozen, excluded)
 
 

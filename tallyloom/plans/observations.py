@@ -57,8 +57,8 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     # rounds without an ending, newest first; what may go on at this moment and what must stop
     "active_rounds": (
-        f"SELECT round_id, run_date, run_date = CAST({_NOW} + INTERVAL '8' HOUR AS DATE) AS resumable, NOT (run_date = CAST({_NOW} + INTERVAL '8' HOUR AS DATE) AND date_format({_NOW} + INTERVAL '8' HOUR, 'HH:mm') < '23:55') AS must_stop, row_number() OVER (PARTITION BY run_date ORDER BY round_id DESC) AS nth FROM (SELECT round_id, CAST(min(ts) + INTERVAL '8' HOUR AS DATE) AS run_date, max(CASE WHEN event = 'deny_hit' AND id % 401 = 0 THEN 1 ELSE 0 END) AS ended FROM {{event_log}} GROUP BY round_id) x WHERE ended = 0",
-        f"WITH r AS (SELECT round_id, CAST(min(ts) + INTERVAL 8 HOUR AS DATE) AS run_date FROM {{event_log}} e WHERE NOT EXISTS (SELECT 1 FROM {{event_log}} x WHERE x.round_id = e.round_id AND x.event = 'deny_hit' AND x.id % 401 = 0) GROUP BY round_id) SELECT *, run_date = DATE '2024-01-20' AS resumable, true AS must_stop, (SELECT count(*) FROM r o WHERE o.run_date = r.run_date AND o.round_id >= r.round_id) AS nth FROM r",
+        f"SELECT x.*, m.moment, run_date = CAST(m.at + INTERVAL '8' HOUR AS DATE) AS resumable, NOT (run_date = CAST(m.at + INTERVAL '8' HOUR AS DATE) AND date_format(m.at + INTERVAL '8' HOUR, 'HH:mm') < '23:55') AS must_stop, row_number() OVER (PARTITION BY m.moment, run_date ORDER BY round_id DESC) AS nth FROM (SELECT round_id, CAST(min(ts) + INTERVAL '8' HOUR AS DATE) AS run_date FROM {{event_log}} GROUP BY round_id HAVING max(CASE WHEN event = 'deny_hit' AND id % 401 = 0 THEN 1 ELSE 0 END) = 0) x JOIN (SELECT 'late' AS moment, {_NOW} AS at UNION ALL SELECT 'early', {_NOW} - INTERVAL '3' MINUTE) m ON true",
+        f"WITH r AS (SELECT round_id, CAST(min(ts) + INTERVAL 8 HOUR AS DATE) AS run_date FROM {{event_log}} e WHERE NOT EXISTS (SELECT 1 FROM {{event_log}} x WHERE x.round_id = e.round_id AND x.event = 'deny_hit' AND x.id % 401 = 0) GROUP BY round_id) SELECT r.*, moment, run_date = DATE '2024-01-20' AS resumable, moment = 'late' OR run_date <> DATE '2024-01-20' AS must_stop, (SELECT count(*) FROM r o WHERE o.run_date = r.run_date AND o.round_id >= r.round_id) AS nth FROM r, (SELECT unnest(['late', 'early']) AS moment) m",
     ),
     "trusted_sources": (
         "SELECT s_nationkey AS machine, s_name AS source FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM {supplier} WHERE s_acctbal > 0 AND s_name RLIKE '^[A-Za-z]+#[0-9]+$') x WHERE n = 1",

@@ -14,6 +14,11 @@ _MISSED = f"SELECT DISTINCT round_id, shop, {_CARD} AS card FROM {{click_log}} W
 _TIMED = "t AS (SELECT *, max(observed_at) OVER (PARTITION BY shop, date, machine) AS claim_at FROM {machine_inventory})"
 
 SQL = {
+    "top_values": """WITH b AS (SELECT p_size % 7 AS source, list(p_brand) AS all_ FROM part WHERE p_brand <> '' GROUP BY 1),
+      o AS (SELECT source, list_sort(list_transform(map_entries(list_histogram(all_)), lambda e: {'n': -e.value::BIGINT, 'v': e.key})) AS kinds FROM b)
+      SELECT source, e.v AS value, -e.n AS n FROM (SELECT source, unnest(kinds[1:5]) AS e FROM o) x UNION ALL SELECT source, '*', len(kinds) - 5 FROM o WHERE len(kinds) > 5""",
+    "adopted_edges": duck("""WITH now AS (SELECT ordinal, name || '/' || image AS version FROM {products}), j AS (SELECT a.ordinal AS a, b.ordinal AS b, a.ordinal % 3 + 1 AS m, a.ordinal % 13 = 0 OR b.ordinal % 13 = 0 AS stale, a.ordinal % 9 = 0 AS other FROM now a JOIN now b ON b.ordinal = a.ordinal + 2)
+      SELECT 'm' || m AS machine, count(*) FILTER (NOT stale AND NOT other) AS adopted, count(*) FILTER (stale AND NOT other) AS stale, count(*) FILTER (other) AS other_contract FROM j GROUP BY m"""),
     "round_tally": duck(f"""WITH keys AS (SELECT round_id, shop FROM {{shop_offers}} UNION SELECT round_id, shop FROM {{snapshots}}), l AS (SELECT s.*, {_LISTED} AS listed FROM {{snapshots}} s),
       d AS (SELECT round_id, shop, count(*) AS discovered FROM {{shop_offers}} GROUP BY ALL),
       c AS (SELECT round_id, shop, count(DISTINCT offer) FILTER (listed AND {_DONE}) AS handled, count(DISTINCT offer) FILTER (listed AND status = 'success') AS success_offers, count(DISTINCT (offer, sku)) FILTER (listed AND status = 'success') AS success_skus, count(DISTINCT offer) FILTER (NOT listed) AS orphans FROM l GROUP BY ALL)

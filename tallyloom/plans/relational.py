@@ -192,8 +192,8 @@ TEXTS = {
     "page_limits": """SELECT week, shop, coalesce(CASE WHEN shop % 7 = 0 THEN 3 END, pages, nullif(shop % 2, 0), 10) AS pages FROM {weekly_plan}""",
     # ---- histograms and ledgers
     "top_values": """
-      SELECT source, value, n FROM (
-        SELECT source, CASE WHEN k <= 5 THEN lang ELSE '*' END AS value, CAST(sum(n) AS BIGINT) AS n FROM (SELECT source, lang, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang NULLS LAST) AS k FROM (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang) a) b GROUP BY source, CASE WHEN k <= 5 THEN lang ELSE '*' END) c""",
+      WITH k AS (SELECT source, value, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, value) AS place FROM (SELECT p_size % 7 AS source, p_brand AS value, count(*) AS n FROM {part} WHERE p_brand <> '' GROUP BY p_size % 7, p_brand) a)
+      SELECT source, value, n FROM k WHERE place <= 5 UNION ALL SELECT source, '*', max(place) - 5 FROM k GROUP BY source HAVING max(place) > 5""",
     "outcome_lattice": """SELECT round_id, greatest(2 * max(CASE WHEN event = 'deny_hit' THEN 1 ELSE 0 END), max(CASE WHEN event = 'click_deny' THEN 1 ELSE 0 END)) AS outcome FROM {event_log} GROUP BY round_id""",
 }
 
