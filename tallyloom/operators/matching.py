@@ -177,6 +177,54 @@ def greedy(versions: dict[int, str], edges: list[tuple[str, str, bool]], exclude
     return {i: c for c, some in members.items() for i in some}
 
 
+def cliques(items: list[tuple[int, str]], edges: list[tuple[str, str]]) -> list[int]:
+    """Each item's group (its first item): in order, an item joins the oldest group all of whose members have a positive judgment with it, else
+    begins one. items: ordinal, version, in order.
+
+    A group is what its members' versions have in common as neighbours, so an item fits if its version is in there; a
+    version's list of groups only loses those that have since given it up."""
+    near: dict[str, set[str]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    shared_: list[set[str]] = []
+    firsts, open_, out = [], {}, []
+    for ordinal, version in items:
+        mine = near.get(version, set())
+        open_[version] = [g for g in open_.get(version, ()) if version in shared_[g]]
+        if open_[version]:
+            g = open_[version][0]
+            shared_[g] &= mine
+        else:
+            g = len(firsts)
+            firsts.append(ordinal)
+            shared_.append(set(mine))
+            for v in mine:
+                open_.setdefault(v, []).append(g)
+        out.append(firsts[g])
+    return out
+
+
+def clique_groups(items: DataFrame, edges: DataFrame, cut) -> DataFrame:
+    """ordinal, grp: groups of items that are all judged alike in pairs, filled in the order of ordinals. items: ordinal, version; edges:
+    va, vb (positive judgments). A component of versions is one group of work; items without a judgment are groups of their own."""
+    known = cut(edges.select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb")).distinct())
+    linked = components(known.select(F.col("va").alias("a"), F.col("vb").alias("b")), cut)
+    placed = cut(items.select("ordinal", "version").join(linked.select(F.col("node").alias("version"), "root"), "version", "left"))
+    none = F.lit(None)
+    rows = placed.where("root IS NOT NULL").select("root", "ordinal", F.col("version").alias("va"), none.cast("string").alias("vb"))
+    rows = rows.union(known.join(linked.select(F.col("node").alias("va"), "root"), "va").select("root", none.cast("long"), "va", "vb"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf[pdf["ordinal"].notna()].sort_values("ordinal")
+        pairs = pdf[pdf["ordinal"].isna()]
+        found = cliques(list(zip(some["ordinal"].astype(int), some["va"], strict=True)), list(zip(pairs["va"], pairs["vb"], strict=True)))
+        return pd.DataFrame({"ordinal": some["ordinal"].astype(int), "grp": found})
+
+    grouped = rows.groupBy("root").applyInPandas(run, "ordinal long, grp long")
+    return grouped.union(placed.where("root IS NULL").select("ordinal", F.col("ordinal").alias("grp")))
+
+
 def assemble(items: DataFrame, edges: DataFrame, cut, frozen: DataFrame | None = None, excluded: DataFrame | None = None, weight: float = WEIGHT) -> DataFrame:
     """ordinal, cluster: the constrained clustering. items: ordinal, version; edges: va, vb, positive; frozen
     (ordinal, group): items of confirmed groups, which neither grow nor part and come back under their smallest item;

@@ -114,6 +114,7 @@ QUERIES = {
     "package_digest": lambda v: packages.digest(v["machine_inventory"].select("machine", "shop", "offer", "sku", "date", "stock")),
     "planned_weeks": _planned,
     "stream_deny_windows": lambda v: events.completed(events.deny_windows(events.source(v.spark, v.sf_dir, "events"))),
+    "clique_groups": lambda v: matching.clique_groups(_versions(v), _judgments(v).where("positive"), _cut),
     "stream_deny_window": _deny_window,
     "stream_first_seen": lambda v: events.finished(events.first_seen(events.source(v.spark, v.sf_dir, "events"))),
 }
