@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyloom.operators import budget, surrogates
-from tallyloom.plans import shared
+from tallyloom.plans import oracles, relational, shared
 from tallyloom.plans.adapter import Views, duck
 from tallyloom.sources import snapshots
 
@@ -69,10 +69,59 @@ def usage_counters(v: Views) -> DataFrame:
     return v.spark.createDataFrame([tuple(None if got[n] is None else int(got[n]) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-QUERIES = {"surrogate_ids": surrogate_ids, "call_admission": call_admission, "pinned_snapshot": pinned_snapshot, "usage_counters": usage_counters}
+#: Judgments of neighbours as machines packed them: some on evidence that is not known here, some without any, some of another contract.
+_PACKED = """SELECT a.ordinal AS a, b.ordinal AS b, 'm' || CAST(a.ordinal % 3 + 1 AS STRING) AS machine, CASE WHEN a.ordinal % 13 = 0 THEN 'old' ELSE a.name || '/' || CAST(a.image AS STRING) END AS va,
+  CASE WHEN b.ordinal % 17 = 0 THEN NULL ELSE b.name || '/' || CAST(b.image AS STRING) END AS vb, CASE WHEN a.ordinal % 9 = 0 THEN 'v1' WHEN a.ordinal % 9 = 1 THEN NULL ELSE 'v2' END AS signature
+FROM {products} a JOIN {products} b ON b.ordinal = a.ordinal + 2"""
+
+
+def gates(judged: DataFrame, known: DataFrame, contract: str) -> DataFrame:
+    """judged with class: of another contract (``signature``), else on evidence that isn't known (``evidence_version``), else ``gated``; without a
+    contract to hold them against, ``unevaluated``. judged: va, vb, signature; known: version."""
+    have = known.where("version <> ''").select("version").distinct()
+    side = lambda df, v: df.join(have.select(F.col("version").alias(v), F.lit(True).alias(f"has_{v}")), v, "left")
+    other = F.lit(contract != "") & (F.coalesce("signature", F.lit("")) != contract)
+    kind = F.when(other, "signature").when(F.col("has_va").isNull() | F.col("has_vb").isNull(), "evidence_version").otherwise("gated" if contract else "unevaluated")
+    return side(side(judged, "va"), "vb").withColumn("class", kind).drop("has_va", "has_vb")
+
+
+def gate_classes(v: Views) -> DataFrame:
+    """How many packed judgments of each machine pass the gate, under this contract and without one."""
+    known = v["products"].select(F.concat_ws("/", "name", F.col("image").cast("string")).alias("version"))
+    rows = v.sql(_PACKED)
+    both = [gates(rows, known, c).select(F.lit(c).alias("contract"), "machine", "class") for c in ("v2", "")]
+    return both[0].union(both[1]).groupBy("contract", "machine", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def conflict_packages(v: Views) -> DataFrame:
+    """A week's merge conflicts with the package that brought each, if it is on record."""
+    found = relational.QUERIES["merge_conflicts"](v).where("date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
+    sha = lambda machine: F.sha2(F.concat_ws("|", machine, F.weekofyear("date").cast("string")), 256)
+    taken = v["machine_inventory"].where("machine <> 'm2'").select(sha(F.col("machine")).alias("package"), F.concat(F.lit("raw-"), "machine").alias("source")).distinct()
+    return found.withColumn("package", sha(F.col("loser"))).join(taken, "package", "left").select("shop", "date", "winner", "loser", "replaced", "kept", "source")
+
+
+def sku_evidence(v: Views) -> DataFrame:
+    """What a SKU's judgment rests on, as one digest of nine fields; fields that are lacking are told from empty ones."""
+    text_ = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null"))
+    rows = v["coded"].join(v["products"].select("ordinal", "image", "source"), "ordinal")
+    day = F.format_string("2024-01-%02d", F.pmod("ordinal", F.lit(28)) + 1)
+    fields = (
+        F.concat(F.lit("["), text_(F.col("shop")), F.lit(", "), text_(F.col("ordinal").cast("string")), F.lit("]")), text_(F.col("name")), text_(F.concat_ws(" ", "name", "code")), text_(F.lower("name")), text_(F.when(F.col("image") % 5 > 0, F.md5(F.col("image").cast("string").cast("binary")))),
+        text_(F.when(F.col("image") % 5 > 0, "own").otherwise("missing")), text_(F.concat(day, F.lit("T08:00:00+00:00"))), text_(day), F.coalesce(F.concat(F.lit("["), text_(F.col("code")), F.lit("]")), F.lit("[]")),
+    )
+    return rows.select("ordinal", F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *fields), F.lit("]")), 256).alias("version"))
+
+
+QUERIES = {"gate_classes": gate_classes, "conflict_packages": conflict_packages, "sku_evidence": sku_evidence, "surrogate_ids": surrogate_ids, "call_admission": call_admission, "pinned_snapshot": pinned_snapshot, "usage_counters": usage_counters}
 
 _COST = """c AS (SELECT *, CAST((CASE WHEN input_rate = cached_rate THEN prompt * CAST(input_rate AS DECIMAL(12, 4)) WHEN hit + miss = prompt THEN hit * CAST(cached_rate AS DECIMAL(12, 4)) + miss * CAST(input_rate AS DECIMAL(12, 4)) END + completion * CAST(output_rate AS DECIMAL(12, 4))) AS DOUBLE) / 1000000 AS cost FROM calls)"""
 SQL = {
+    "gate_classes": duck(f"""WITH j AS ({_PACKED}), k AS (SELECT list(name || '/' || image) AS all_ FROM {{products}}), c AS (SELECT unnest(['v2', '']) AS contract)
+      SELECT contract, machine, CASE WHEN contract = 'v2' AND signature IS DISTINCT FROM 'v2' THEN 'signature' WHEN NOT coalesce(list_contains(all_, va), false) OR NOT coalesce(list_contains(all_, vb), false) THEN 'evidence_version' WHEN contract = '' THEN 'unevaluated' ELSE 'gated' END AS class, count(*) AS n FROM j, k, c GROUP BY ALL"""),
+    "conflict_packages": f"""SELECT shop, date, winner, loser, replaced, kept, CASE WHEN loser <> 'm2' THEN 'raw-' || loser END AS source FROM ({(relational.SQL | oracles.SQL)["merge_conflicts"]}) WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""",
+    "sku_evidence": duck("""WITH f AS (SELECT c.*, image, '2024-01-' || lpad(CAST(c.ordinal % 28 + 1 AS VARCHAR), 2, '0') AS day FROM {coded} c JOIN {products} p ON p.ordinal = c.ordinal)
+      SELECT ordinal, sha256('[["' || shop || '", "' || ordinal || '"], "' || name || '", "' || name || coalesce(' ' || code, '') || '", "' || lower(name) || '", ' || CASE WHEN image % 5 > 0 THEN '"' || md5(CAST(image AS VARCHAR)) || '", "own"' ELSE 'null, "missing"' END || ', "' || day || 'T08:00:00+00:00", "' || day || '", [' || coalesce('"' || code || '"', 'null') || ']]') AS version FROM f"""),
     "surrogate_ids": duck(f"""WITH r AS (SELECT machine, id, count(DISTINCT content) AS n FROM ({_ROUNDS}) GROUP BY ALL), rn AS (SELECT machine, id, row_number() OVER (ORDER BY machine, id) AS new_id FROM r WHERE n = 1),
       s AS (SELECT DISTINCT machine, id, round FROM ({_SHOPS})), sp AS (SELECT s.machine, s.id, rn.new_id AS p FROM s LEFT JOIN rn ON rn.machine = s.machine AND rn.id = s.round),
       sn AS (SELECT machine, id, p, row_number() OVER (ORDER BY machine, id) AS new_id FROM sp WHERE p IS NOT NULL),
