@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyloom.plans import relational
 from tallyloom.plans.adapter import duck
 
 #: Relations of several members: products of one source and picture are said to belong together.
@@ -63,3 +64,5 @@ TEXTS = {
 
 QUERIES = {name: (lambda v, text=text: v.sql(text)) for name, text in TEXTS.items()}
 SQL = {name: duck(text) for name, text in TEXTS.items()}
+
+QUERIES["pause_accounting"] = relational.pause_accounting

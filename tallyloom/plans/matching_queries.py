@@ -73,20 +73,24 @@ def _planned(v: Views) -> DataFrame:
     return planning.weekly_plan(past.where("week = 4").select("region", "shop", "pages"), past, ["m1", "m2", "m3"], 5)
 
 
-def _deny_window(v: Views) -> DataFrame:
-    """The event log as a stream of files that overlap in time by up to fifty minutes, stopped after the third and begun again."""
-    root, log = f"{shared.folder(v.spark)}/log-{uuid.uuid4().hex}", shared.cut(v.sql(_STREAMED))
+def _streamed(v: Views, key: str, last: str, ends_ms: int | None) -> DataFrame:
+    """The event log as a stream of files that overlap in time by up to fifty minutes, stopped after the third and begun again.
+    key: what denials are counted by; last: a row that comes at the end, if any."""
+    work = lambda stream: events.round_denies(stream, ends_ms=ends_ms)
+    root, log = f"{shared.folder(v.spark)}/log-{uuid.uuid4().hex}", shared.cut(v.sql(_STREAMED.replace("KEY", key).replace("LAST", last)))
     schema, out, number = log.schema, f"{root}-out", F.col("file")
     events.chunked(v.spark, log, f"{root}/in", number, 0, 2)
-    events.resumed(v.spark, f"{root}/in", schema, events.round_denies, out)
-    events.chunked(v.spark, log, f"{root}/in", number, 3, 5)
-    return events.resumed(v.spark, f"{root}/in", schema, events.round_denies, out)
+    events.resumed(v.spark, f"{root}/in", schema, work, out)
+    events.chunked(v.spark, log, f"{root}/in", number, 3, 6 if last else 5)
+    return events.resumed(v.spark, f"{root}/in", schema, work, out)
 
 
 #: Files by time, each row up to fifty minutes late.
-_STREAMED = """SELECT event_id AS id, CAST(day(ts) AS BIGINT) AS round_id, 'S' || CAST(user_id % 12 AS STRING) AS shop, CAST(ts AS TIMESTAMP) AS at, EPOCHMS(ts) AS ms, event_type IN ('signup', 'purchase') AS denied,
+_STREAMED = """SELECT event_id AS id, CAST(KEY AS BIGINT) AS round_id, 'S' || CAST(user_id % 12 AS STRING) AS shop, CAST(ts AS TIMESTAMP) AS at, EPOCHMS(ts) AS ms, event_type IN ('signup', 'purchase') AS denied,
   least(5, CAST(floor(6.0 * (EPOCHMS(ts) - low + event_id % 50 * 60000) / (high - low + 1)) AS BIGINT)) AS file
-FROM {events} JOIN (SELECT min(EPOCHMS(ts)) AS low, max(EPOCHMS(ts)) AS high FROM {events}) m ON true"""
+FROM {events} JOIN (SELECT min(EPOCHMS(ts)) AS low, max(EPOCHMS(ts)) AS high FROM {events}) m ON true LAST"""
+#: Lets the watermark pass all rows before it, and is held back itself.
+_LAST = "UNION ALL SELECT -1, -1, '', max(CAST(ts AS TIMESTAMP)) + INTERVAL '1' DAY, max(EPOCHMS(ts)) + 86400000, true, 6 FROM {events}"
 
 QUERIES = {
     "name_tokens": lambda v: v["products"].select("ordinal", F.explode(matching.name_tokens(F.col("name"))).alias("token")),
@@ -115,7 +119,8 @@ QUERIES = {
     "planned_weeks": _planned,
     "stream_deny_windows": lambda v: events.completed(events.deny_windows(events.source(v.spark, v.sf_dir, "events"))),
     "clique_groups": lambda v: matching.clique_groups(_versions(v), _judgments(v).where("positive"), _cut),
-    "stream_deny_window": _deny_window,
+    "stream_deny_window": lambda v: _streamed(v, "user_id % 12", _LAST, None).select("id", "shop", "in_window", "sets_off"),
+    "stream_round_denies": lambda v: _streamed(v, "day(ts)", "", 86_400_000),
     "stream_first_seen": lambda v: events.finished(events.first_seen(events.source(v.spark, v.sf_dir, "events"))),
 }
 
@@ -155,7 +160,8 @@ SQL = {
     "stock_counts": "SELECT event_id, CAST(CAST(round(value, 2) AS DECIMAL(18, 2)) * 10000 AS BIGINT) AS stock FROM events",
     "clocks": "SELECT event_id, (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT event_id, CAST(floor(value * 10) AS BIGINT) AS s FROM events)",
     "stream_deny_windows": "SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') AS starts, 'S' || (user_id % 12) AS shop, count(*) AS denies FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1, 2",
-    "stream_deny_window": """WITH e AS (SELECT event_id AS id, day(ts)::BIGINT AS round_id, 'S' || (user_id % 12) AS shop, epoch_us(ts) // 1000 AS ms, event_type IN ('signup', 'purchase') AS denied FROM events),
+    "stream_deny_window": "WITH d AS (SELECT event_id AS id, 'S' || (user_id % 12) AS shop, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('signup', 'purchase')) SELECT a.id, a.shop, count(*) AS in_window, NOT EXISTS (SELECT 1 FROM d c WHERE c.shop = a.shop AND (c.ms, c.id) < (a.ms, a.id)) AS sets_off FROM d a JOIN d b ON b.shop = a.shop AND b.ms BETWEEN a.ms - 7200000 AND a.ms GROUP BY a.id, a.shop, a.ms",
+    "stream_round_denies": """WITH e AS (SELECT event_id AS id, day(ts)::BIGINT AS round_id, 'S' || (user_id % 12) AS shop, epoch_us(ts) // 1000 AS ms, event_type IN ('signup', 'purchase') AS denied FROM events),
       d AS (SELECT * FROM e WHERE denied), seen AS (SELECT *, row_number() OVER (PARTITION BY round_id ORDER BY ms, id) = 1 AS sets_off FROM d)
       SELECT a.id, a.round_id, a.shop, count(*) FILTER (b.shop = a.shop) AS in_window, count(*) AS in_round, a.sets_off FROM seen a JOIN d b ON b.round_id = a.round_id AND b.ms BETWEEN a.ms - 7200000 AND a.ms
       WHERE a.ms < (SELECT max(ms) FROM d) - 3600000 GROUP BY a.id, a.round_id, a.shop, a.sets_off""",

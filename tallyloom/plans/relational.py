@@ -6,10 +6,11 @@ Where an identifier needs a total order, every window spells out its ties and wh
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import ordering
-from tallyloom.plans.adapter import duck
+from tallyloom.plans.adapter import Views, duck
 
 HANDLED = "status IN ('success', 'skipped')"
 #: Bins of the interval histogram, in milliseconds: label, from.
@@ -202,3 +203,45 @@ SQL = {name: duck(text) for name, text in TEXTS.items()}
 
 QUERIES["review_pages"] = lambda v: ordering.numbered(v.sql("SELECT offer, count(*) AS n FROM {inventory} GROUP BY offer"), F.desc("n"), "offer").select("offer", "rn", F.ceil(F.col("rn") / 20).alias("page"))
 SQL["review_pages"] = duck("SELECT offer, rn, CAST(ceil(rn / 20.0) AS BIGINT) AS page FROM (SELECT offer, row_number() OVER (ORDER BY n DESC, offer) AS rn FROM (SELECT offer, count(*) AS n FROM {inventory} GROUP BY offer) a) b")
+
+
+def _bucketed(rows: DataFrame, width: int, side: int) -> DataFrame:
+    """Rows in their stretch of time of this width (ms), and once more, not as their own, in the stretch after it (side 1) or before it
+    (side -1): so what lies within a width of a row, on one side, is with it, and no group is longer than two stretches."""
+    at = F.floor(F.col("ms") / width)
+    return rows.withColumn("_in", F.explode(F.array(F.struct(at.alias("bucket"), F.lit(True).alias("own")), F.struct((at + side).alias("bucket"), F.lit(False).alias("own"))))).select("*", "_in.bucket", "_in.own").drop("_in")
+
+
+_TIMED = "SELECT id, shop, event, EPOCHMS(ts) AS ms FROM {event_log}"
+
+
+def deny_window(v: Views) -> DataFrame:
+    """For each denial, how many its shop had in the two hours up to it."""
+    rows = _bucketed(v.sql(_TIMED + " WHERE event IN ('deny_hit', 'click_deny')"), 7_200_000, 1)
+    window = Window.partitionBy("shop", "bucket").orderBy("ms").rangeBetween(-7_200_000, Window.currentRow)
+    return rows.withColumn("in_window", F.count("id").over(window)).where("own").select("id", "shop", "in_window")
+
+
+def elapsed_sessions(v: Views) -> DataFrame:
+    """A shop's sessions: runs of events without a gap of over half an hour."""
+    rows = _bucketed(v.sql(_TIMED), 1_800_000, 1)
+    before = F.lag("ms").over(Window.partitionBy("shop", "bucket").orderBy("ms", "id"))
+    marked = rows.withColumn("fresh", F.when(F.col("ms") - before <= 1_800_000, 0).otherwise(1)).where("own").select("id", "shop", "event", "ms", "fresh")
+    numbered = ordering.running(marked, ["ms", "id"], {"_before": F.col("fresh")}, ("shop",)).withColumn("session", F.col("_before") + F.col("fresh"))
+    quality = F.when(F.count("id") == 1, "lower_bound").when(F.bool_or(F.col("event") == "verification_appear"), "recorded").otherwise("complete")
+    return numbered.groupBy("shop", "session").agg(F.count("id").alias("events"), (F.max("ms") - F.min("ms")).alias("elapsed_ms"), quality.alias("quality"))
+
+
+def pause_accounting(v: Views) -> DataFrame:
+    """How long verifications held each shop up: to the next event, ten minutes at most; those that are the shop's last event go on."""
+    log = v.sql(_TIMED)
+    rows = _bucketed(log, 600_000, -1)
+    after = F.lead("ms").over(Window.partitionBy("shop", "bucket").orderBy("ms", "id"))
+    held = rows.withColumn("ms_held", F.least(F.coalesce(after - F.col("ms"), F.lit(600_000)), F.lit(600_000))).where("own AND event = 'verification_appear'")
+    last = log.groupBy("shop").agg(F.max(F.struct("ms", "id"))["id"].alias("last"))
+    open_ = F.col("id") == F.col("last")
+    out = held.join(last, "shop").groupBy("shop").agg(F.sum(F.when(open_, 0).otherwise(F.col("ms_held"))).alias("paused_ms"), F.count_if(open_).alias("ongoing"))
+    return out.select("shop", F.col("paused_ms").cast("long").alias("paused_ms"), "ongoing")
+
+
+QUERIES |= {"deny_window": deny_window, "elapsed_sessions": elapsed_sessions}

@@ -67,15 +67,14 @@ def first_seen(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
 ROUND_DENIES = "id long, round_id long, shop string, in_window long, in_round long, sets_off boolean"
 
 
-def round_denies(events: DataFrame, width_ms: int = 7_200_000, lateness: str = "1 hour") -> DataFrame:
+def round_denies(events: DataFrame, width_ms: int = 7_200_000, lateness: str = "1 hour", ends_ms: int | None = 86_400_000) -> DataFrame:
     """For each denial of a round, how many its shop had in the time up to it, how many the round had, and whether it is the round's
     first, which alone sets off a pause. events: id, round_id, shop, at (its event time), ms (that in whole milliseconds), denied.
 
     Denials may come in any order within the lateness (of the latest denial so far): a denial is held back until the watermark has passed it, so
     what goes out counts every one before it, in the order of (ms, id), in whatever batches they came. A later row is left out. A
-    round's state is what is held back, the denials inside the window, and whether the pause was set off; it goes a day and
-    a window after the round's last row."""
-    day = 86_400_000
+    round's state is what is held back, the denials inside the window, and whether the pause was set off; it goes ends_ms and
+    a window after the round's last row. None: whether the pause was set off is kept for good."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ms, ids, shops, old_ms, old_shops, fired, done = state.get if state.exists else ([], [], [], [], [], False, 0)
@@ -99,11 +98,12 @@ def round_denies(events: DataFrame, width_ms: int = 7_200_000, lateness: str = "
         out = [(i, r, shop, count(by_shop[shop], at), count(times, at), first) for (i, r, shop, _, _, first), (at, _, _) in zip(out, held[:ready], strict=True)]
         left, kept = held[ready:], [(t, shop) for t, shop in window if t >= passed - width_ms]
         last = max([passed, *(t for t, _, _ in left)])
-        if state.hasTimedOut and not left and not kept:
+        if state.hasTimedOut and not left and not kept and ends_ms is not None:
             state.remove()
         else:
             state.update(([x[0] for x in left], [x[1] for x in left], [x[2] for x in left], [t for t, _ in kept], [shop for _, shop in kept], fired, passed))
-            state.setTimeoutTimestamp(left[0][0] + 1 if left else last + day + width_ms)
+            if left or ends_ms is not None:
+                state.setTimeoutTimestamp(left[0][0] + 1 if left else last + ends_ms + width_ms)
         yield pd.DataFrame(out, columns=["id", "round_id", "shop", "in_window", "in_round", "sets_off"])
 
     rows = events.where("denied").withWatermark("at", lateness).select("id", "round_id", "shop", "ms", "at")
