@@ -67,4 +67,6 @@ def read_plans(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("_broken").isNotNull(), "unreadable").when(~F.coalesce(F.col("week").rlike("^[0-9]{4}-W[0-9]{2}$"), F.lit(False)), "no week").when(F.size(F.array_except(named, "machines")) > 0, "unknown machine")
         .when(F.size(F.array_distinct(F.transform("shops", lambda s: s["shop"]))) < F.size("shops"), "repeated shop")
     )
-    return docs.select("week", problem.alias("problem"), F.explode_outer("shops").alias("s")).select("week", "s.shop", "s.pages", "s.machine", "problem")
+    # once for each document: beside the generator it would be worked out, and the whole document copied, for each shop
+    checked = docs.select("week", problem.alias("problem"), "shops")
+    return checked.select("week", "problem", F.explode_outer("shops").alias("s")).select("week", "s.shop", "s.pages", "s.machine", "problem")

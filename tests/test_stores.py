@@ -102,3 +102,13 @@ def test_packed_and_foreign_packages(spark, tmp_path):
     rows, failures = stores.scan(spark, str(tmp_path), StructType.fromDDL("x long"))
     assert rows.count() == 20 and failures.count() == 2
     assert stores.scan(spark, str(tmp_path / "empty"), StructType.fromDDL("x long"))[0].count() == 0
+
+
+def test_a_plan_is_checked_once(spark, tmp_path):
+    """Not once for each of its shops, with the whole document beside each."""
+    shops = spark.range(5000).select(F.struct(F.col("id").alias("shop"), F.lit(1).alias("pages"), F.lit("m1").alias("machine")).alias("s")).agg(F.collect_list("s").alias("shops"))
+    shops.select(F.lit("2026-W01").alias("week"), F.array(F.lit("m1")).alias("machines"), "shops").write.json(str(tmp_path / "plans"))
+    read = stores.read_plans(spark, str(tmp_path / "plans"))
+    assert read.where("problem IS NULL").count() == 5000
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Generate") < plan.index("array_except")
