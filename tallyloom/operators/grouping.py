@@ -89,6 +89,17 @@ def _runs(rows: DataFrame, apart: DataFrame, cut: Cut) -> DataFrame:
     return marked.withColumn("first", F.max(F.when(F.col("begins"), F.col("m"))).over(so_far)).select("m", "first")
 
 
+def _alone(members: DataFrame, groups: DataFrame, pairs: DataFrame, barred: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members that are alone (m, code), groups that anyone may join (grp, human, waits), those among them of human hand by the codes that they
+    have (code, grp), and the groups that each member is kept out of by an excluded pair (m, grp)."""
+    of = groups.join(members.select("m", "code", "waits"), "m").join(barred.withColumn("out", F.lit(True)), "m", "left")
+    fit = of.groupBy("grp").agg(F.max("human").alias("human"), F.max("closed").alias("closed"), F.max(F.coalesce("out", F.lit(False))).alias("out"), F.max("waits").alias("waits")).where("NOT closed AND NOT out")
+    single = members.where("alone").join(barred, "m", "left_anti").join(groups.where("human").select("m"), "m", "left_anti").select("m", "code")
+    coded = of.where("code IS NOT NULL").select("code", "grp").distinct().join(fit.where("human"), "grp", "left_semi").select("code", "grp")
+    against = _apart(pairs).join(groups.select(F.col("m").alias("e"), "grp"), "e").select("m", "grp").distinct()
+    return single, fit, coded, against
+
+
 def legal_groups(members: DataFrame, groups: DataFrame, pairs: DataFrame, barred: DataFrame) -> DataFrame:
     """m, grp: groups that members which are alone may join. members: m, code, waits (several groups have its code), alone. groups: m,
     grp, human, closed. barred: m, excluded members.
@@ -97,11 +108,20 @@ def legal_groups(members: DataFrame, groups: DataFrame, pairs: DataFrame, barred
     group that has it; one without joins groups without a waiting member. Pairs are made only where a code is shared; a
     member without a code may join any other group, so these are told by what keeps them out: grp is null once for each such member, and its
     barred groups follow with the sign turned."""
-    of = groups.join(members.select("m", "code", "waits"), "m").join(barred.withColumn("out", F.lit(True)), "m", "left")
-    fit = of.groupBy("grp").agg(F.max("human").alias("human"), F.max("closed").alias("closed"), F.max(F.coalesce("out", F.lit(False))).alias("out"), F.max("waits").alias("waits")).where("NOT closed AND NOT out")
-    single = members.where("alone").join(barred, "m", "left_anti").join(groups.where("human").select("m"), "m", "left_anti").select("m", "code")
-    against = _apart(pairs).join(groups.select(F.col("m").alias("e"), "grp"), "e").select("m", "grp").distinct()
-    shared = single.join(of.where("code IS NOT NULL").select("code", "grp").distinct().join(fit.where("human"), "grp", "left_semi"), "code").select("m", "grp")
-    named = shared.join(against, ["m", "grp"], "left_anti")
+    single, fit, coded, against = _alone(members, groups, pairs, barred)
+    named = single.join(coded, "code").select("m", "grp").join(against, ["m", "grp"], "left_anti")
     free = single.where("code IS NULL").select("m")
     return named.union(free.select("m", F.lit(None).cast("long"))).union(free.join(against, "m").join(fit.where("NOT waits"), "grp", "left_semi").select("m", -F.col("grp")))
+
+
+def legal_counts(members: DataFrame, groups: DataFrame, pairs: DataFrame, barred: DataFrame) -> DataFrame:
+    """m, n: how many groups each member that is alone may join, by the rules of ``legal_groups``: those of its code, or all others if it has
+    none, less those that it is kept out of. Only excluded pairs are joined, so a code that many members and groups share makes no pairs."""
+    single, fit, coded, against = _alone(members, groups, pairs, barred)
+    open_ = fit.where("NOT waits").select("grp")
+    out = single.join(against, "m")
+    lost = out.where("code IS NOT NULL").join(coded, ["code", "grp"], "left_semi").select("m", "grp").union(out.where("code IS NULL").join(open_, "grp", "left_semi").select("m", "grp"))
+    lost = lost.groupBy("m").agg(F.count("grp").alias("lost"))
+    # its own group is among those that a member without a code finds
+    every = single.join(coded.groupBy("code").agg(F.count("grp").alias("n")), "code").select("m", "n").union(single.where("code IS NULL").crossJoin(open_.agg((F.count("grp") - 1).alias("n"))).select("m", "n"))
+    return every.join(lost, "m", "left").select("m", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))

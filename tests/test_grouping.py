@@ -73,3 +73,29 @@ def test_legal_groups(spark):
     pairs, out = spark.createDataFrame([(6, 2), (3, 5), (3, 4)], "a long, b long"), spark.createDataFrame([(7,)], "m long")
     got = sorted(map(tuple, grouping.legal_groups(members, groups, pairs, out).collect()), key=str)
     assert got == [(1, 10), (3, -30), (3, None)]
+
+
+def test_legal_counts_equal_legal_groups(spark):
+    rng = random.Random(3)
+    members = [(m, rng.choice([None, "A", "B", "C"]), rng.random() < 0.2, m % 3 > 0) for m in range(300)]
+    groups = [(m, m if m % 3 else m // 9, m % 6 == 0, m % 18 == 0) for m, *_ in members]
+    args = (
+        spark.createDataFrame(members, "m long, code string, waits boolean, alone boolean").withColumn("waits", F.expr("waits AND code IS NOT NULL AND NOT alone")),
+        spark.createDataFrame(groups, "m long, grp long, human boolean, closed boolean"),
+        spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(2000)], "a long, b long"), spark.createDataFrame([(m,) for m in range(0, 300, 23)], "m long"),
+    )
+    groups_, waiting = args[1], args[0].where("waits").join(args[1], "m").select("grp")
+    fit = groups_.groupBy("grp").agg(F.max("closed").alias("c")).where("NOT c").join(groups_.join(args[3], "m").select("grp"), "grp", "left_anti").join(waiting, "grp", "left_anti").count()
+    want = {}
+    for m, grp in grouping.legal_groups(*args).collect():
+        want[m] = want.get(m, 0) + (fit - 1 if grp is None else 1 if members[m][1] else -1)
+    assert {m: n for m, n in grouping.legal_counts(*args).collect() if n} == {m: n for m, n in want.items() if n}
+
+
+def test_a_hot_code_makes_no_pairs(spark):
+    """Forty thousand members and twenty thousand groups of one code: eight hundred million pairs."""
+    every = spark.range(60_000).select(F.col("id").alias("m"))
+    members = every.select("m", F.lit("A").alias("code"), F.lit(False).alias("waits"), (F.col("m") < 40_000).alias("alone"))
+    groups = every.select("m", F.col("m").alias("grp"), (F.col("m") >= 40_000).alias("human"), F.lit(False).alias("closed"))
+    got = grouping.legal_counts(members, groups, spark.createDataFrame([(7, 50_000)], "a long, b long"), every.limit(0))
+    assert sorted(map(tuple, got.groupBy("n").count().collect())) == [(19_999, 1), (20_000, 39_999)]
