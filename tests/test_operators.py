@@ -64,6 +64,33 @@ def test_recall_scores_and_cap(spark):
     assert (0, 127) in {(r["a"], r["b"]) for r in matching.recall(back).collect()}  # ties go by identity, not by place
 
 
+
+@pytest.mark.parametrize("most", [0, matching.LISTED])
+def test_recall_equals_all_pairs_of_lists(spark, most):
+    """By lists that go to every task, and by lists dealt by token."""
+    rng = random.Random(11)
+    held = {i: {f"t{rng.randrange(40)}" for _ in range(rng.randrange(9))} | {"all"} for i in rng.sample(range(-50, 900), 400)}
+    who = {i: str(rng.randrange(90)) for i in held}
+    lists = {t: set(sorted(i for i in held if t in held[i])[:5]) for t in set().union(*held.values())}
+    score = lambda a, b: sum(b in lists[t] for t in held[a])
+    want = {}
+    for i in held:
+        for j in sorted((j for j in held if j != i and score(i, j)), key=lambda j: (-score(i, j), who[j], j))[:3]:
+            want[min(i, j), max(i, j)] = score(min(i, j), max(i, j))
+    items = spark.createDataFrame([(i, who[i], [*ts, "all"]) for i, ts in held.items()], "ordinal long, identity string, tokens array<string>")
+    got = matching.recall(items, posting=5, k=3, most=most).collect()
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
+def test_recall_does_not_move_items(spark):
+    """What is shuffled follows the lists: of many items, no exchange takes all."""
+    items = spark.range(20_000).selectExpr("id AS ordinal", "CAST(id AS STRING) AS identity", "array('all', concat('m', id % 7)) AS tokens")
+    pairs = matching.recall(items)
+    assert pairs.count() == pairs.distinct().count() > 20_000
+    others = pairs._jdf.queryExecution().optimizedPlan().children().head().toString()
+    assert "MapInArrow" in others and not any(x in others for x in ("Join", "Aggregate", "Window", "Repartition"))
+
+
 def merged(nodes, positive, negative, weight=2.0):
     """Every item its own version."""
     return matching.greedy({n: str(n) for n in nodes}, [(str(a), str(b), s) for s, es in ((True, positive), (False, negative)) for a, b in es], weight=weight)
