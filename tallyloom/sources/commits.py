@@ -152,10 +152,11 @@ def observed(rows: DataFrame) -> Changes:
     sku = F.struct("sku", F.col("sku_name").alias("name"), "stock", "price")
     when = F.struct("seen_at", "round_id")
     late = lambda c: F.max_by(c, when).alias(c)
-    known = lambda c, as_: F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(as_)
+    # observations of one moment and round are told apart by the value itself, so reruns agree
+    known = lambda c, as_: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seen_at", "round_id", c))).alias(as_)
     return {
         "products": full.groupBy("offer").agg(known("detail_title", "name"), known("image", "image"), F.max("seen_at").alias("seen_at")),
-        "skus": full.groupBy("offer", "sku").agg(F.max_by("sku_name", F.struct("seen_at", "round_id")).alias("name"), F.max("seen_at").alias("seen_at")),
+        "skus": full.groupBy("offer", "sku").agg(F.max_by("sku_name", F.struct("seen_at", "round_id", "sku_name")).alias("name"), F.max("seen_at").alias("seen_at")),
         "batches": full.groupBy(*one).agg(F.array_sort(F.collect_list(sku)).alias("skus")),
         "versions": full.groupBy("shop", "offer", "seen_at").agg(F.max(F.coalesce("detail_title", "name")).alias("name"), F.max("image").alias("image")),
         "snapshots": full.select("round_id", "shop", "offer", "sku", F.col("sku_name").alias("name"), "stock", "price", "seen_at", "attempt", F.lit("success").alias("status")),

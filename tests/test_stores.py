@@ -112,3 +112,11 @@ def test_a_plan_is_checked_once(spark, tmp_path):
     assert read.where("problem IS NULL").count() == 5000
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.index("Generate") < plan.index("array_except")
+
+
+def test_names_of_one_moment_are_picked_the_same_way(spark):
+    """Two shops see an offer at once, under two titles: whichever row comes first."""
+    a, b = rows(spark, 1, shop="s", detail_title="cup").collect(), rows(spark, 1, shop="t", detail_title="mug").collect()
+    schema = rows(spark, 1).schema
+    for both in (a + b, b + a):
+        assert commits.observed(spark.createDataFrame(both, schema).coalesce(1))["products"].first()["name"] == "mug"
