@@ -118,3 +118,19 @@ def test_packages_equal_plain(spark):
         assert state(now) == state(frames(spark, plain))
     assert {v for k, v in met if k == "relation"} == {"known", "confirm_vs_withdraw", "group_vs_exclusion", "different_groups", "adopted"}
     assert {v for k, v in met if k == "apart"} == {"known", "group_vs_exclusion", "adopted"} and ("alone", "different_groups") in met
+
+
+def test_only_adopted_relations_are_joined_anew(spark, monkeypatch):
+    """Groups after a package: those that stay as they were, beside those of the package's relations; a ledger after the last package is whole too."""
+    joined, was = [], ledger.matching.components
+    monkeypatch.setattr(ledger.matching, "components", lambda edges, cut: joined.append(edges.count()) or was(edges, cut))
+    plain = Plain({f"r{i}": ("m1", True, {3 * i: "v", 3 * i + 1: "v"}) for i in range(50)})
+    now = frames(spark, plain)
+    for turn, machine in enumerate(("m2", "m2", "m1"), 1):
+        ms = {0: "w", 1: "w", 2: "w"} if machine == "m1" else {1000: "v", 1001 + turn: "v"}
+        incoming = Plain({f"{turn}": (machine, True, ms)})
+        want, plain = plain.take_in(incoming, machine)
+        said, now = ledger.take_in(now, frames(spark, incoming), machine, shared.cut, last=turn == 3)
+        assert {(r["kind"], r["id"]): r["verdict"] for r in said.collect()} == want == {("relation", f"{turn}"): "adopted"}
+        assert state(now) == state(frames(spark, plain))
+    assert joined == [100, 2, 2]
