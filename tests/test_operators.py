@@ -1,8 +1,12 @@
 """Hand-computed cases of the stock series, matching, text and package operators."""
 
+import collections
 import itertools
 import random
+import types
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +95,42 @@ def test_recall_does_not_move_items(spark):
     assert "MapInArrow" in others and not any(x in others for x in ("Join", "Aggregate", "Window", "Repartition"))
 
 
+def test_name_tokens_clean_a_name_once(spark):
+    """By hand, with characters beyond 16 bits and names that are too short; recall works them out once a row, for names and for rows alike."""
+    names = ["Ab-Ab c9", "x", "", None, "\U00020000\U00020001 a", "\u00c4\u00d6 \u0130z", "a\u2028b\n\u0663"]
+    rows = spark.createDataFrame([(i, str(i), n) for i, n in enumerate(names)], "ordinal long, identity string, name string")
+    got = {r[0]: r[1] for r in rows.select("ordinal", matching.name_tokens(F.col("name"))).collect()}
+    for i, n in enumerate(names):
+        bare = "".join(c for c in n or "" if c.isalnum()).lower()
+        assert got[i] == list(dict.fromkeys("t:" + bare[j : j + 2] for j in range(len(bare) - 1)))
+    pairs = matching.recall(rows.withColumn("tokens", matching.name_tokens(F.col("name"))))
+    assert pairs._jdf.queryExecution().optimizedPlan().children().head().toString().count("regexp_replace") == 1
+
+
+def test_recall_counts_rows_alike_once(monkeypatch):
+    """Rows with the same tokens that lie together are counted once, and each gets its own pairs: none with itself, k at most."""
+    calls, often = [], matching._often
+    monkeypatch.setattr(matching, "_often", lambda numbers, k: calls.append(k) or often(numbers, k))
+    # token a lists items 0 to 3 (ordinals 10 to 13), token b item 3
+    lists = types.SimpleNamespace(value=(pa.array(["a", "b"]), np.array([0, 4, 5]), np.array([0, 1, 2, 3, 3], np.int32), np.arange(10, 14)))
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.list_(pa.string()))], names=["ordinal", "tokens"])
+    found = lambda rows, listed: [tuple(r.values()) for b in matching._found(lists, 2, listed)(iter([batch(rows[:3]), batch(rows[3:])])) for r in b.to_pylist()]
+    rows = [(10, ["a"]), (11, ["a"]), (20, ["a", "b"]), (21, ["a", "b"]), (22, ["none"]), (13, ["a"])]
+    assert found(rows, True) == [(10, 11, 1), (10, 12, 1), (11, 10, 1), (11, 12, 1), (20, 13, 2), (20, 10, 1), (21, 13, 2), (21, 10, 1), (13, 10, 1), (13, 11, 1)]
+    assert len(calls) == 4
+    calls.clear()
+    assert found(rows, False) == [(20, 13, 2), (20, 10, 1), (21, 13, 2), (21, 10, 1)] and len(calls) == 2
+
+
+def test_most_frequent_numbers():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        numbers = rng.integers(0, rng.integers(1, 200), rng.integers(0, 300)).astype(rng.choice([np.int32, np.int64]))
+        k = int(rng.integers(1, 9))
+        want = sorted(collections.Counter(numbers.tolist()).items(), key=lambda x: (-x[1], x[0]))[:k]
+        assert list(zip(*(x.tolist() for x in matching._often(numbers, k)), strict=True)) == want
+
+
 def merged(nodes, positive, negative, weight=2.0):
     """Every item its own version."""
     return matching.greedy({n: str(n) for n in nodes}, [(str(a), str(b), s) for s, es in ((True, positive), (False, negative)) for a, b in es], weight=weight)
