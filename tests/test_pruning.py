@@ -44,6 +44,16 @@ def test_clusters_keep_judgments_inside_components_only(graph, kept):
     assert max(kept.rows) < 20
 
 
+def test_replay_keeps_edges_among_merged_items_only(graph, kept, spark):
+    items, edges = graph
+    placed = items.withColumn("cluster", F.when(F.col("ordinal").isin(2, 3), 1).otherwise(F.col("ordinal")))
+    assert tuple(matching.replay(edges, placed, kept).first()) == (ITEMS - 2, 0.666667, 0.666667)
+    assert max(kept.rows) < 20
+    none = edges.where("false")
+    assert tuple(matching.replay(none, placed, kept).first()) == (ITEMS - 2, None, None)
+    assert tuple(matching.replay(edges, items.withColumn("cluster", F.col("ordinal")), kept).first()) == (ITEMS, 0.0, None)
+
+
 def test_many_rows_are_not_sent_to_every_task(graph, monkeypatch):
     """Past the bound joins shuffle, with the same clusters."""
     items, edges = graph
