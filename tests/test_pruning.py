@@ -44,6 +44,16 @@ def test_clusters_keep_judgments_inside_components_only(graph, kept):
     assert max(kept.rows) < 20
 
 
+def test_weights_share_components(graph, kept, monkeypatch):
+    items, edges = graph
+    calls, components = [], matching.components
+    monkeypatch.setattr(matching, "components", lambda *x: calls.append(1) or components(*x))
+    got = {r["weight"]: tuple(r)[1:] for r in matching.replays(items, edges, [0.0, 2.0], kept).collect()}
+    # weight 0: 1, 2, 3 and 4, 5 with one negative edge inside
+    assert got == {0.0: (ITEMS - 3, 1.0, 0.75), 2.0: (ITEMS - 2, 0.666667, 1.0)}
+    assert len(calls) == 1 and max(kept.rows) < 20
+
+
 def test_replay_keeps_edges_among_merged_items_only(graph, kept, spark):
     items, edges = graph
     placed = items.withColumn("cluster", F.when(F.col("ordinal").isin(2, 3), 1).otherwise(F.col("ordinal")))
