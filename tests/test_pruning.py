@@ -64,6 +64,14 @@ def test_replay_keeps_edges_among_merged_items_only(graph, kept, spark):
     assert tuple(matching.replay(edges, items.withColumn("cluster", F.col("ordinal")), kept).first()) == (ITEMS, 0.0, None)
 
 
+def test_candidates_keep_positive_edges_only(graph, kept):
+    items, edges = graph
+    placed = items.withColumn("cluster", F.when(F.col("ordinal") == 2, 1).otherwise(F.col("ordinal")))
+    got = {r["ordinal"]: (r["n_groups"], r["label"]) for r in matching.candidates(edges, placed, kept).collect()}
+    assert got == {i: (1, "unique") if i in (2, 3, 4, 5) else (0, "none") for i in range(ITEMS)}
+    assert max(kept.rows) < 20
+
+
 def test_many_rows_are_not_sent_to_every_task(graph, monkeypatch):
     """Past the bound joins shuffle, with the same clusters."""
     items, edges = graph
