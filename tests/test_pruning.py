@@ -72,6 +72,14 @@ def test_candidates_keep_positive_edges_only(graph, kept):
     assert max(kept.rows) < 20
 
 
+def test_clique_groups_keep_items_with_judgments_only(graph, kept, spark):
+    items, edges = graph
+    links = edges.where("positive").select(F.col("a").cast("string").alias("va"), F.col("b").cast("string").alias("vb"))
+    got = {r[0]: r[1] for r in matching.clique_groups(items.withColumn("version", F.col("ordinal").cast("string")), links, kept).collect()}
+    assert got == {i: {2: 1, 5: 4}.get(i, i) for i in range(ITEMS)}
+    assert max(kept.rows) < 20
+
+
 def test_many_rows_are_not_sent_to_every_task(graph, monkeypatch):
     """Past the bound joins shuffle, with the same clusters."""
     items, edges = graph
