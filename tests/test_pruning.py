@@ -90,3 +90,14 @@ def test_many_rows_are_not_sent_to_every_task(graph, monkeypatch):
     assert hinted() == 0
     got = {r["ordinal"]: r["cluster"] for r in matching.clusters(items, edges, cut).collect()}
     assert got == {i: {2: 1, 5: 4}.get(i, i) for i in range(ITEMS)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_near_judgments_are_those_of_versions_with_a_positive_one(spark, monkeypatch):
+    v = Views(spark, DATA)
+    edges = shared.cut(matching_queries._edges(v).withColumn("positive", F.pmod(F.col("a") * 7 + F.col("b"), F.lit(211)) == 0))
+    monkeypatch.setattr(matching_queries, "_edges", lambda _: edges)
+    every = matching_queries._judgments(v).groupBy(F.least("va", "vb"), F.greatest("va", "vb")).agg(F.max("positive")).collect()
+    ends = {x for r in every if r[2] for x in r[:2]}
+    got = set(map(tuple, matching_queries._near(v).collect()))
+    assert got == {tuple(r) for r in every if r[0] in ends and r[1] in ends} and 0 < len(got) < len(every)
