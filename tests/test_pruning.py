@@ -92,6 +92,31 @@ def test_many_rows_are_not_sent_to_every_task(graph, monkeypatch):
     assert got == {i: {2: 1, 5: 4}.get(i, i) for i in range(ITEMS)}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_picture_placement_turns_few_judgments(spark, monkeypatch):
+    """As by looking at all judgments both ways; what it joins with the groups are those of items with a positive one."""
+    v, sizes, few = Views(spark, DATA), [], shared.few
+    edges = shared.cut(matching_queries._edges(v))
+    # judgments with more positive ones than names give, so that some are placed, some wait, and some are kept out by negative ones
+    edges = shared.cut(edges.withColumn("positive", F.pmod(F.col("a") * 7 + F.col("b"), F.lit(23)) == 0))
+    monkeypatch.setattr(matching_queries, "_edges", lambda _: edges)
+    monkeypatch.setattr(decisions, "few", lambda df: sizes.append((df := few(df)).count()) or df)
+    got = {r["ordinal"]: (r["state"], r["grp"]) for r in decisions.picture_placement(v).collect()}
+    of = {r["ordinal"]: (r["state"], r["root"]) for r in decisions.replay(v).collect()}
+    judged = {}
+    for a, b, good in edges.select("a", "b", "positive").collect():
+        for x, y in ((a, b), (b, a)):
+            if of[x][0] == "open" and of[y][0] == "confirmed":
+                judged.setdefault(x, {}).setdefault(of[y][1], []).append(good)
+    want = {}
+    for x, (state, _) in of.items():
+        if state == "open":
+            fit = [g for g, some in judged.get(x, {}).items() if all(some)]
+            want[x] = ("placed", fit[0]) if len(fit) == 1 else ("pending" if fit else "alone", None)
+    assert got == want and {s for s, _ in want.values()} >= {"placed", "alone"}
+    assert max(sizes) < edges.count()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_near_judgments_are_those_of_versions_with_a_positive_one(spark, monkeypatch):
     v = Views(spark, DATA)
