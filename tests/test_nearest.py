@@ -75,7 +75,7 @@ def rows(df):
     return collections.Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 
 
-QUERIES = ["candidate_labels", "clique_groups"]
+QUERIES = ["candidate_labels", "clique_groups", "cluster_replay"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
