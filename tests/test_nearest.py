@@ -75,7 +75,7 @@ def rows(df):
     return collections.Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
 
 
-QUERIES = ["candidate_labels", "clique_groups", "cluster_replay", "constrained_groups", "group_names", "group_sizes", "positive_components", "recall_coverage", "score_curve", "style_clusters"]
+QUERIES = ["candidate_labels", "clique_groups", "cluster_replay", "constrained_groups", "group_names", "group_sizes", "positive_components", "recall_coverage", "score_curve", "style_clusters", "weight_replay"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
